@@ -116,8 +116,12 @@ def _measures(df: DataFrame) -> DataFrame:
 
 def health(df: DataFrame) -> DataFrame:
     """One row: score (0-100), completeness, row_uniqueness, column_usefulness."""
-    factors = _measures(df).select(
-        "completeness",
+    return _scored(_measures(df)).select("score", "completeness", "row_uniqueness", "column_usefulness")
+
+
+def _scored(measures: DataFrame) -> DataFrame:
+    factors = measures.select(
+        "*",
         (1 - F.col("duplicates") / F.greatest("rows", F.lit(1))).alias("row_uniqueness"),
         (1 - F.col("constant") / F.greatest("columns", F.lit(1))).alias("column_usefulness"),
     )
@@ -127,7 +131,7 @@ def health(df: DataFrame) -> DataFrame:
         + USEFULNESS_WEIGHT * F.col("column_usefulness")
     )
     score = F.least(F.greatest(F.bround(100 * weighted).cast("int"), F.lit(0)), F.lit(100))
-    return factors.select(score.alias("score"), "*")
+    return factors.withColumn("score", score)
 
 
 def data_health(df: DataFrame) -> tuple[int, dict[str, float]]:
@@ -390,30 +394,23 @@ def report_tables(df: DataFrame, small_input_bytes: int | None = None) -> DataFr
     """The report as rows ``section, field, metric, value``."""
     groups = column_groups(df)
 
-    def rows(section: str, entries: dict[str, Column]) -> Column:
-        return F.inline(F.array(*[
-            F.struct(
-                F.lit(section).alias("section"), F.lit(None).cast("string").alias("field"),
-                F.lit(metric).alias("metric"), value.cast("double").alias("value"),
-            )
-            for metric, value in entries.items()
-        ]))
-
-    scored = health(df)
-    head = _measures(df).select(rows("overview", {
+    def entry(section: str, metric: str, value: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), F.lit(None).cast("string").alias("field"),
+            F.lit(metric).alias("metric"), value.cast("double").alias("value"),
+        )
+
+    head = {
         "rows": F.col("rows"),
         "columns": F.col("columns"),
         "duplicates": F.col("duplicates"),
         "numeric fields": F.lit(len(groups.numeric)),
         "categorical fields": F.lit(len(groups.categorical)),
         "date fields": F.lit(len(groups.dates)),
-    }))
-    factors = scored.select(rows("quality", {
-        "score": F.col("score"),
-        "completeness": F.col("completeness"),
-        "row uniqueness": F.col("row_uniqueness"),
-        "column usefulness": F.col("column_usefulness"),
-    }))
+    }
+    factors = {n.replace("_", " "): F.col(n) for n in ("score", "completeness", "row_uniqueness", "column_usefulness")}
+    entries = [entry("overview", m, v) for m, v in head.items()] + [entry("quality", m, v) for m, v in factors.items()]
+    report = _scored(_measures(df)).select(F.inline(F.array(*entries)))
     gaps = missing_by_field(df).select(
         F.lit("missing").alias("section"), "field",
         F.inline(F.array(
@@ -421,7 +418,7 @@ def report_tables(df: DataFrame, small_input_bytes: int | None = None) -> DataFr
             F.struct(F.lit("percent").alias("metric"), F.col("percent").alias("value")),
         )),
     )
-    report = head.unionByName(factors).unionByName(gaps)
+    report = report.unionByName(gaps)
     if groups.numeric:
         table = describe(df, groups.numeric, 2, small_input_bytes)
         statistics = [n for n in table.columns if n != "field"]
@@ -468,8 +465,8 @@ def compact_number(value: Column) -> Column:
     """Short display of a number with a B, M or K suffix."""
     size = F.abs(value)
     return (
-        F.when(size >= 1e9, F.concat(F.format_number(value / 1e9, "0.0"), F.lit("B")))
-        .when(size >= 1e6, F.concat(F.format_number(value / 1e6, "0.0"), F.lit("M")))
-        .when(size >= 1e3, F.concat(F.format_number(value / 1e3, "0.0"), F.lit("K")))
+        F.when(size >= 1e9, F.format_string("%.1fB", value / 1e9))
+        .when(size >= 1e6, F.format_string("%.1fM", value / 1e6))
+        .when(size >= 1e3, F.format_string("%.1fK", value / 1e3))
         .otherwise(F.format_number(value.cast("double"), 0))
     )

@@ -52,20 +52,18 @@ def read_csv(
     ``row_id`` attaches the file order as ``_row_id``.
     """
     lines = spark.read.text(path)
-    first = lines.filter(F.length(F.trim("value")) > 0).first()
+    first = lines.filter(F.length(F.trim("value")) > 0).select(F.col("value").cast("binary").alias("raw")).first()
     if first is None:
         raise ValueError("This file does not contain a usable table.")
-    checks = _check_lines(lines, _header(first["value"])) if encoding is None else None
+    checks = _check_lines(lines) if encoding is None else None
     if checks is not None:
         encoding = "UTF-8" if checks["undecodable"] == 0 else "ISO-8859-1"
-    if encoding != "UTF-8":
-        first = spark.read.option("encoding", encoding).text(path).filter(F.length(F.trim("value")) > 0).first()
-    header = _header(first["value"])
+    header = _header(first["raw"].decode(encoding))
     width = len(header)
     spanning = False
     if checks is not None:
         spanning = checks["open_lines"] > 0
-        if spanning and checks["open_quotes"] % 2:
+        if spanning and checks["quotes"] % 2:
             raise ValueError("A quoted cell is never closed.")
         if not spanning and checks["widest"] > width:
             raise ValueError("A line holds more cells than the header.")
@@ -91,7 +89,7 @@ def _header(line: str) -> list[str]:
     return next(csv.reader([line.lstrip("﻿")]))
 
 
-def _check_lines(lines: DataFrame, header: list[str]):
+def _check_lines(lines: DataFrame):
     line = F.regexp_replace("value", "\r$", "")
     valid = F.is_valid_utf8("value")
     closed = line.rlike(_CLOSED_LINE)
@@ -101,7 +99,7 @@ def _check_lines(lines: DataFrame, header: list[str]):
     return lines.agg(
         F.count_if(~valid).alias("undecodable"),
         F.count_if(~closed).alias("open_lines"),
-        F.coalesce(F.sum(F.when(~closed, quotes)), F.lit(0)).alias("open_quotes"),
+        F.coalesce(F.sum(quotes), F.lit(0)).alias("quotes"),
         F.coalesce(F.max(F.when(F.length(F.trim(line)) > 0, cells)), F.lit(0)).alias("widest"),
     ).first()
 
