@@ -63,10 +63,11 @@ def fit_forest(
     require(df, *keys)
     complete = df.filter(complete_rows(df, columns))
     rows = complete.select(F.array(*[finite(df, c) for c in columns]).alias("x"), *[col(k) for k in keys])
-    sample = sample_rows(rows, SAMPLE_ROWS, keys, seed).select("x", F.monotonically_increasing_id().alias("i"))
-    size = sample.count()
-    if size < LEAST_ROWS:
+    total = complete.count()
+    if total < LEAST_ROWS:
         raise ValueError("At least 10 complete rows are required for anomaly detection.")
+    size = min(total, SAMPLE_ROWS)
+    sample = sample_rows(rows, SAMPLE_ROWS, keys, seed, total).select("x", F.monotonically_increasing_id().alias("i"))
     per_tree = min(ROWS_PER_TREE, size)
     depth = max(1, math.ceil(math.log2(per_tree)))
 
@@ -77,6 +78,9 @@ def fit_forest(
 
     all_trees = F.sequence(F.lit(0), F.lit(TREES - 1))
     candidates = sample.withColumn("tree", F.explode(F.filter(all_trees, candidate)))
+    # A fixed number of tasks: the rows are few, but growing takes its time.
+    tasks = min(TREES, df.sparkSession.sparkContext.defaultParallelism)
+    candidates = candidates.repartition(tasks, "tree")
     order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 1), "i", "tree"), "i")
     dealt = candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_tree)
 
@@ -120,7 +124,7 @@ def _grow(points: np.ndarray, depth: int, rng: np.random.Generator):
         if level == depth or len(rows) <= 1 or not len(varying):
             finish(node, level, level + float(average_path(len(rows))))
             continue
-        chosen = int(rng.choice(varying))
+        chosen = int(varying[rng.integers(len(varying))])
         cut = float(rng.uniform(low[chosen], high[chosen]))
         cut = min(cut, float(np.nextafter(high[chosen], low[chosen])))
         feature[node], threshold[node] = chosen, cut
@@ -138,13 +142,14 @@ def forest_score(forest: Forest, values: list[Column]) -> Column:
     @F.pandas_udf("double")
     def score(*series: pd.Series) -> pd.Series:
         points = np.stack([s.to_numpy(dtype=float, na_value=np.nan) for s in series])
-        at = np.arange(points.shape[1])
-        total = np.zeros(points.shape[1])
-        for f, cut, length in zip(feature, threshold, path):
-            node = np.zeros(points.shape[1], dtype=np.int32)
+        width = points.shape[1]
+        cells, row, total = points.ravel(), np.arange(width), np.zeros(width)
+        for start, cut, length in zip(feature.astype(np.intp) * width, threshold, path):
+            node = np.zeros(width, dtype=np.intp)
             for _ in range(depth):
-                node = 2 * node + 1 + (points[f[node], at] > cut[node])
-            total += length[node - splits]
+                right = cells.take(start.take(node) + row) > cut.take(node)
+                node += node + 1 + right
+            total += length.take(node - splits)
         return pd.Series(np.exp2(-total / len(path) / normal))
 
     return score(*values)
@@ -167,19 +172,20 @@ def detect_anomalies(
         raise ValueError("The expected share must lie above 0 and at most at 0.5.")
     forest = fit_forest(df, columns, seed, key)
     complete = complete_rows(df, columns)
-    score = F.when(complete, forest_score(forest, [finite(df, c) for c in columns]))
-    scores = df.filter(complete).select(forest_score(forest, [finite(df, c) for c in columns]).alias("s"))
-    if not is_small(df, SMALL_INPUT_BYTES):
-        # The exact threshold reads the scores several times; score once.
-        scores = materialize(scores)
-    threshold = quantile_table(scores, [], ["s"], [1 - contamination]).select(F.col("s")[0]).scalar()
-    scored = df.withColumn("anomaly_score", score)
+    score = forest_score(forest, [finite(df, c) for c in columns])
     names = [n for n in df.columns if n not in ("anomaly", "anomaly_score")]
-    return scored.select(
-        *[col(n) for n in names],
-        F.coalesce(F.col("anomaly_score") > threshold, F.lit(False)).alias("anomaly"),
-        "anomaly_score",
-    )
+    scored = df.select(*[col(n) for n in names], F.when(complete, score).alias("anomaly_score"))
+    # Scoring is the costly part, and the threshold needs the scores before the rows
+    # can be flagged.  A small table is scored once and kept; of a large one only the
+    # scores are kept, and its rows are scored again on the way out.
+    if is_small(df, SMALL_INPUT_BYTES):
+        scored = materialize(scored)
+        scores = scored.select("anomaly_score")
+    else:
+        scores = materialize(df.filter(complete).select(score.alias("anomaly_score")))
+    threshold = quantile_table(scores, [], ["anomaly_score"], [1 - contamination]).select(F.col("anomaly_score")[0])
+    flag = F.coalesce(F.col("anomaly_score") > threshold.scalar(), F.lit(False))
+    return scored.select(*[col(n) for n in names], flag.alias("anomaly"), "anomaly_score")
 
 
 def top_anomalies(flagged: DataFrame, limit: int = REVIEW_ROWS) -> DataFrame:

@@ -390,7 +390,7 @@ def dataset_summary(df: DataFrame) -> dict:
     return summary
 
 
-def report_tables(df: DataFrame, small_input_bytes: int | None = None) -> DataFrame:
+def report_tables(df: DataFrame, digits: int = 2, small_input_bytes: int | None = None) -> DataFrame:
     """The report as rows ``section, field, metric, value``."""
     groups = column_groups(df)
 
@@ -420,7 +420,7 @@ def report_tables(df: DataFrame, small_input_bytes: int | None = None) -> DataFr
     )
     report = report.unionByName(gaps)
     if groups.numeric:
-        table = describe(df, groups.numeric, 2, small_input_bytes)
+        table = describe(df, groups.numeric, digits, small_input_bytes)
         statistics = [n for n in table.columns if n != "field"]
         cells = [F.struct(F.lit(n).alias("metric"), col(n).cast("double").alias("value")) for n in statistics]
         report = report.unionByName(

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from tablewright.functions.columns import ROW_ID, col, fields, require, text
 
 SEED = 42
-# Fixed value: 15 hexadecimal digits of a digest, as a share of their range.
-_DIGITS = 15
+# Hexadecimal digits of a digest compared with the cut-off.
+_DIGITS = 12
 
 
-def sample_rows(df: DataFrame, n: int, key: list[str] | str | None = None, seed: int = SEED) -> DataFrame:
+def sample_rows(
+    df: DataFrame, n: int, key: list[str] | str | None = None, seed: int = SEED, total: int | None = None
+) -> DataFrame:
     """Exactly ``n`` rows, or the whole table when it has fewer.
 
     Rows are taken in the order of a digest of ``seed`` and ``key``, so with a key
@@ -21,7 +23,7 @@ def sample_rows(df: DataFrame, n: int, key: list[str] | str | None = None, seed:
 
     Only rows below a cut-off on the digest are sorted.  The cut-off aims at a few
     times ``n`` rows; whether enough rows lie below it is counted, and the whole
-    table is sorted otherwise.
+    table is sorted otherwise.  A caller that knows the ``total`` saves the count.
     """
     keys = [key] if isinstance(key, str) else list(key or ([ROW_ID] if ROW_ID in df.columns else []))
     require(df, *keys)
@@ -31,20 +33,26 @@ def sample_rows(df: DataFrame, n: int, key: list[str] | str | None = None, seed:
             cell = F.to_json(F.struct(col(name))) if name == ROW_ID else text(df, name)
             parts.append(F.coalesce(cell, F.lit("")))
         order = F.md5(F.concat_ws(":", *parts))
-        unit = F.conv(F.substring(order, 1, _DIGITS), 16, 10).cast("double") / float(16**_DIGITS)
     else:
-        order = unit = F.rand(seed)
-    digests = df.select(order.alias("__order"), unit.alias("__unit"))
-    total = df.select(F.lit(1).alias("one")).agg(F.count("*")).scalar()
-    share = (F.lit(4.0) * n + 1000) / F.greatest(total, F.lit(1))
-    below = digests.agg(F.count_if(F.col("__unit") < share)).scalar()
-    cutoff = F.when(below >= F.least(total, F.lit(n)), share).otherwise(F.lit(2.0))
+        order = F.rand(seed)
+    ranked = df.withColumn("__order", order)
+    if total is None or 4 * n + 1000 < total:
+        rows = F.lit(total) if total is not None else df.select(F.lit(1)).agg(F.count("*")).scalar()
+        share = F.least((F.lit(4.0) * n + 1000) / F.greatest(rows, F.lit(1)), F.lit(1.0))
+        if keys:
+            # The share as a digest prefix; "g" follows every hexadecimal digit.
+            prefix = F.lpad(F.lower(F.hex((share * 16**_DIGITS).cast("bigint"))), _DIGITS, "0")
+            aim, everything = F.when(share < 1, prefix).otherwise("g"), F.lit("g")
+        else:
+            aim, everything = share, F.lit(1.0)
+        below = df.select(order.alias("__order")).agg(F.count_if(F.col("__order") < aim)).scalar()
+        enough = below >= F.least(rows, F.lit(n))
+        ranked = ranked.filter(F.col("__order") < F.when(enough, aim).otherwise(everything))
     return (
-        df.withColumns({"__order": order, "__unit": unit})
-        .filter(F.col("__unit") < cutoff)
+        ranked
         .orderBy("__order", *[col(name) for name in keys])
         .limit(int(n))
-        .drop("__order", "__unit")
+        .drop("__order")
     )
 
 
