@@ -345,6 +345,12 @@ def _(spark, sf_dir):
     return grouping.value_counts(table(spark, sf_dir, "part"))
 
 
+@query("value_counts_text", "SELECT 'text' AS field, text AS value, count(*) AS count FROM documents GROUP BY text "
+       "ORDER BY count(*) DESC, CASE WHEN length(text) > 64 THEN sha256(text) ELSE text END LIMIT 10")
+def _(spark, sf_dir):
+    return grouping.value_counts(table(spark, sf_dir, "documents"), ["text"], 10)
+
+
 def _description(field: str, digits: int) -> str:
     v = f"CAST({field} AS DOUBLE)"
     return (

@@ -174,11 +174,14 @@ def detect_anomalies(
     complete = complete_rows(df, columns)
     score = forest_score(forest, [finite(df, c) for c in columns])
     names = [n for n in df.columns if n not in ("anomaly", "anomaly_score")]
-    scored = df.select(*[col(n) for n in names], F.when(complete, score).alias("anomaly_score"))
+    small = is_small(df, SMALL_INPUT_BYTES)
+    # A small table may lie in fewer partitions than there are cores to score it.
+    spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
+    scored = spread.select(*[col(n) for n in names], F.when(complete, score).alias("anomaly_score"))
     # Scoring is the costly part, and the threshold needs the scores before the rows
     # can be flagged.  A small table is scored once and kept; of a large one only the
     # scores are kept, and its rows are scored again on the way out.
-    if is_small(df, SMALL_INPUT_BYTES):
+    if small:
         scored = materialize(scored)
         scores = scored.select("anomaly_score")
     else:

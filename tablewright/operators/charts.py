@@ -24,7 +24,7 @@ from tablewright.operators.grouping import (
     sort_rows,
     top_categories,
 )
-from tablewright.operators.quantiles import quantile_table
+from tablewright.operators.quantiles import few_groups, quantile_table
 from tablewright.operators.sampling import sample_rows
 
 RECORD_COUNT = "Record count"
@@ -182,7 +182,7 @@ def box_table(
     """Five-number summary, fences and outlier count per segment."""
     rows = _segmented(df, value, segment)
     stats = _fences(rows, small_input_bytes)
-    flagged = _outside(rows, stats, small_input_bytes)
+    flagged = _outside(rows, stats)
     outliers = flagged.groupBy("segment").agg(F.count("*").alias("outliers"))
     table = join_null_safe(stats, outliers, ["segment"], "left")
     return table.select(
@@ -196,7 +196,7 @@ def box_outliers(
 ) -> DataFrame:
     """The points drawn beyond the fences: ``segment, value``."""
     rows = _segmented(df, value, segment)
-    found = _outside(rows, _fences(rows, small_input_bytes), small_input_bytes)
+    found = _outside(rows, _fences(rows, small_input_bytes))
     return found.select("segment", F.col("v").alias("value"))
 
 
@@ -220,7 +220,9 @@ def _fences(rows: DataFrame, small_input_bytes: int | None) -> DataFrame:
     )
 
 
-def _outside(rows: DataFrame, stats: DataFrame, small_input_bytes: int | None) -> DataFrame:
+def _outside(rows: DataFrame, stats: DataFrame) -> DataFrame:
     fences = stats.select("segment", "lower_fence", "upper_fence")
-    joined = join_null_safe(rows, fences, ["segment"])
+    # With few segments the rows stay where they are; with many, the join shuffles
+    # them and adaptive execution splits a hot segment.
+    joined = join_null_safe(rows, F.broadcast(fences) if few_groups(rows, ["segment"]) else fences, ["segment"])
     return joined.filter((F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence")))

@@ -18,10 +18,14 @@ from tablewright.functions.columns import (
     require_numeric,
     text,
 )
-from tablewright.operators.quantiles import describe_quantiles, quantile_table
+from tablewright.operators.quantiles import describe_quantiles, few_groups, quantile_table
 
 AGGREGATIONS = ("sum", "mean", "median", "min", "max", "count")
 RECORDS = "Records"
+# A pivot column is a column of the result; Spark's own limit on them.
+MAX_PIVOT_KEYS = 10_000
+# Texts beyond this many characters are compared by digest.
+LONG_TEXT = 64
 
 
 def check_aggregation(aggregation: str) -> str:
@@ -114,7 +118,9 @@ def pivot_table(
     rows = df.withColumn("__key", comparable(df, columns)).filter(present)
     labels = text(df, columns).alias("__label")
     if pivot_values is None:
-        keyed = rows.select("__key", labels).distinct().orderBy("__key").collect()
+        keyed = rows.select("__key", labels).distinct().orderBy("__key").limit(MAX_PIVOT_KEYS + 1).collect()
+        if len(keyed) > MAX_PIVOT_KEYS:
+            raise ValueError(f"A pivot table holds at most {MAX_PIVOT_KEYS:,} columns.")
         pairs = [(r["__key"], r["__label"]) for r in keyed]
     else:
         listed = df.sparkSession.createDataFrame([(v,) for v in pivot_values], T.StructType(
@@ -181,17 +187,32 @@ def distinct_count(df: DataFrame, groups: list[str], column: str, name: str = "u
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None, top: int = 5) -> DataFrame:
-    """The most frequent populated values of each field: ``field, value, count``."""
+    """The most frequent populated values of each field: ``field, value, count``.
+
+    Equally frequent values rank in ascending order.  A text over 64 characters is
+    counted, and ranked, by its SHA-256 digest, and only the texts that made the
+    list are read back.
+    """
     columns = list(columns or column_groups(df).categorical)
     require(df, *columns)
-    rows = df.select(*[text(df, c).alias(c) for c in columns]).unpivot(
+    cells = df.select(*[text(df, c).alias(c) for c in columns]).unpivot(
         [], [col(c) for c in columns], "field", "value"
+    ).filter(F.col("value").isNotNull())
+    long = F.length("value") > LONG_TEXT
+    keyed = cells.select(
+        "field", "value", F.when(long, F.sha2("value", 256)).otherwise(F.col("value")).alias("key"), long.alias("long")
     )
-    counts = rows.filter(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count("*").alias("count"))
+    counts = keyed.groupBy("field", "key", "long").agg(F.count("*").alias("count"))
     # The rank filter is applied before the shuffle too, so each task sends at
     # most ``top`` rows per field.
-    ranked = Window.partitionBy("field").orderBy(F.desc("count"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top).drop("rank")
+    ranked = Window.partitionBy("field").orderBy(F.desc("count"), F.asc("key"))
+    leaders = counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
+    short = leaders.filter(~F.col("long")).select("field", F.col("key").alias("value"), "count")
+    # At most ``top`` rows per field, so this side may be broadcast; when no long
+    # text made the list, adaptive execution leaves the second reading out.
+    listed = F.broadcast(leaders.filter("long").select("field", "key", "long", "count"))
+    texts = keyed.filter("long").join(listed, ["field", "key", "long"]).groupBy("field", "key", "count")
+    return short.unionByName(texts.agg(F.first("value").alias("value")).select("field", "value", "count"))
 
 
 def contingency(df: DataFrame, first: str, second: str) -> DataFrame:
@@ -238,7 +259,8 @@ def share_of_total(df: DataFrame, category: str, value: str, name: str = "Share"
     keyed = df.withColumn("__category", comparable(df, category))
     # The per-category totals are joined back rather than taken by a window: a
     # window would gather a hot category in one task.
-    joined = join_null_safe(keyed, totals, ["__category"], "left")
+    side = F.broadcast(totals) if few_groups(keyed, ["__category"]) else totals
+    joined = join_null_safe(keyed, side, ["__category"], "left")
     return joined.withColumn(name, F.try_divide(number(df, value), F.nullif(F.col("__total"), F.lit(0.0))) * 100).drop(
         "__category", "__total"
     )

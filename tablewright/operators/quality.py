@@ -26,7 +26,7 @@ from tablewright.functions.columns import (
     require_numeric,
     text,
 )
-from tablewright.operators.grouping import describe, value_counts
+from tablewright.operators.grouping import LONG_TEXT, describe, value_counts
 from tablewright.operators.quantiles import quantile_table
 from tablewright.operators.sampling import data_only
 
@@ -81,7 +81,7 @@ def unique_counts(df: DataFrame, columns: list[str] | None = None, approx: bool
     if approx:
         return _per_field(df, names, unique=lambda n: F.approx_count_distinct(comparable(df, n))).drop("rows")
     cells = [comparable(df, n).cast("string") for n in names]
-    cells = [F.when(F.length(c) > 64, F.sha2(c, 256)).otherwise(c) for c in cells]
+    cells = [F.when(F.length(c) > LONG_TEXT, F.sha2(c, 256)).otherwise(c) for c in cells]
     stacked = df.select(*[c.alias(str(i)) for i, c in enumerate(cells)]).unpivot(
         [], [str(i) for i in range(len(names))], "i", "value"
     )

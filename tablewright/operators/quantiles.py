@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablewright.functions.columns import col, comparable, is_small, join_null_safe, number, require, require_numeric
 
 # Inputs up to this estimated size may use the one-task ``percentile`` merge.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-# Up to this many groups the wanted cells (a few short rows per group) are broadcast.
+SMALL_INPUT_BYTES = 32 * 1024 * 1024
+# Per-group look-up rows are broadcast when the keys of all rows together are
+# estimated below this size, or when there are no more groups than this.
+BROADCAST_BYTES = 8 * 1024 * 1024
 BROADCAST_GROUPS = 20_000
 FINE_CELLS = 2**20
 CELLS_PER_OCTAVE = 64
@@ -58,19 +60,16 @@ def _by_cell_counts(df: DataFrame, keys: list[str], measures: list[str], probabi
         .filter(F.col("v").isNotNull())
         .withColumn("cell", _coarse_cell(F.col("v")))
     )
-    small_side = not keys or _few_groups(wide, names)
+    small_side = not keys or few_groups(wide, names)
 
     # 1. Coarse cells.  The ranks wanted follow from the group's own count.
     coarse = values.groupBy(*ids, "cell").agg(
         F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
-    group, ordered = Window.partitionBy(*ids), Window.partitionBy(*ids).orderBy("cell")
-    coarse = (
-        coarse.withColumn("total", F.sum("n").over(group))
-        .withColumn("before", F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-        .withColumn("ranks", _wanted_ranks(probabilities))
+    coarse = coarse.withColumns(
+        {"total": F.sum("n").over(Window.partitionBy(*ids)), "before": _rows_before(ids, "cell")}
     )
-    coarse = _holding_a_rank(coarse).select(*ids, "cell", "lo", "hi", "total", "before", "ranks")
+    coarse = _holding_a_rank(coarse, probabilities).select(*ids, "cell", "lo", "hi", "total", "before")
 
     # 2. Fine cells: equal steps between the exact ends of each wanted coarse cell.
     span = F.col("hi") - F.col("lo")
@@ -84,22 +83,20 @@ def _by_cell_counts(df: DataFrame, keys: list[str], measures: list[str], probabi
             F.count("*").alias("n"),
             F.min("v").alias("lo"),
             F.max("v").alias("hi"),
-            *[F.first(c).alias(c) for c in ("total", "before", "ranks")],
+            F.min("total").alias("total"),
+            F.min("before").alias("before"),
         )
     )
-    ordered = Window.partitionBy(*cell_ids).orderBy("fine").rowsBetween(Window.unboundedPreceding, 0)
-    fine = fine.withColumn("before", F.col("before") + F.sum("n").over(ordered) - F.col("n"))
-    fine = _holding_a_rank(fine).select(*cell_ids, "fine", "lo", "hi", "total", "before", "ranks")
+    fine = fine.withColumn("before", F.col("before") + _rows_before(cell_ids, "fine"))
+    fine = _holding_a_rank(fine, probabilities).select(*cell_ids, "fine", "lo", "hi", "total", "before")
 
     # 3. Single values inside the wanted fine cells.
     inside = _join_cells(values, fine, cell_ids, small_side).filter(F.col("v").between(F.col("lo"), F.col("hi")))
     single = inside.groupBy(*cell_ids, "fine", "v").agg(
-        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("total", "before", "ranks")]
-    )
-    ordered = Window.partitionBy(*cell_ids, "fine").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    single = _holding_a_rank(
-        single.withColumn("before", F.col("before") + F.sum("n").over(ordered) - F.col("n"))
+        F.count("*").alias("n"), F.min("total").alias("total"), F.min("before").alias("before")
     )
+    single = single.withColumn("before", F.col("before") + _rows_before([*cell_ids, "fine"], "v"))
+    single = _holding_a_rank(single, probabilities)
     by_rank = (
         single.select(*ids, "total", "v", F.explode("ranks").alias("rank"))
         .groupBy(*ids)
@@ -137,11 +134,15 @@ def _wanted_ranks(probabilities: list[float]) -> Column:
     return F.array_distinct(F.array(*ranks))
 
 
-def _holding_a_rank(cells: DataFrame) -> DataFrame:
+def _rows_before(group: list[str], order: str) -> Column:
+    running = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum("n").over(running) - F.col("n")
+
+
+def _holding_a_rank(cells: DataFrame, probabilities: list[float]) -> DataFrame:
     first, end = F.col("before"), F.col("before") + F.col("n")
-    return cells.withColumn("ranks", F.filter("ranks", lambda r: (r >= first) & (r < end))).filter(
-        F.size("ranks") > 0
-    )
+    held = F.filter(_wanted_ranks(probabilities), lambda r: (r >= first) & (r < end))
+    return cells.withColumn("ranks", held).filter(F.size("ranks") > 0)
 
 
 def _interpolate(probabilities: list[float]) -> Column:
@@ -158,8 +159,14 @@ def _join_cells(values: DataFrame, cells: DataFrame, on: list[str], small_side:
     return join_null_safe(values, F.broadcast(cells) if small_side else cells, on)
 
 
-def _few_groups(wide: DataFrame, names: list[str]) -> bool:
-    return wide.select(*names).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+def few_groups(df: DataFrame, keys: list[str]) -> bool:
+    """Whether one short row per group is certain to be small enough to broadcast.
+
+    A small key projection settles it without a job; otherwise the groups are
+    counted, up to the limit.
+    """
+    groups = df.select(*[col(k) for k in keys])
+    return is_small(groups, BROADCAST_BYTES) or groups.distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
 
 
 def describe_quantiles(df: DataFrame, measures: list[str], small_input_bytes: int | None = None) -> DataFrame:

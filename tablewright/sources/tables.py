@@ -20,9 +20,10 @@ TRUE_TEXTS = ("True", "TRUE", "true")
 FALSE_TEXTS = ("False", "FALSE", "false")
 DATE_SHARE = 0.8
 
-# A line whose quoted cells all close on the line, and one quoted cell.
-_CLOSED_LINE = r'^(?:"(?:[^"]|"")*+"[^,]*+|[^",][^,]*+|)(?:,(?:"(?:[^"]|"")*+"[^,]*+|[^",][^,]*+|))*+$'
-_QUOTED_CELL = r'"(?:[^"]|"")*+"'
+# A quoted stretch on one line (a doubled quote merely joins two), and a quote that
+# opens a cell.
+_QUOTED = '"[^"]*+"'
+_OPENING = '(^|,)"'
 
 
 def clean_names(names: list[str]) -> list[str]:
@@ -92,13 +93,12 @@ def _header(line: str) -> list[str]:
 def _check_lines(lines: DataFrame):
     line = F.regexp_replace("value", "\r$", "")
     valid = F.is_valid_utf8("value")
-    closed = line.rlike(_CLOSED_LINE)
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    bare = F.regexp_replace(line, _QUOTED_CELL, "")
+    bare = F.regexp_replace(line, _QUOTED, "")
     cells = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     return lines.agg(
         F.count_if(~valid).alias("undecodable"),
-        F.count_if(~closed).alias("open_lines"),
+        F.count_if(bare.rlike(_OPENING)).alias("open_lines"),
         F.coalesce(F.sum(quotes), F.lit(0)).alias("quotes"),
         F.coalesce(F.max(F.when(F.length(F.trim(line)) > 0, cells)), F.lit(0)).alias("widest"),
     ).first()

@@ -137,6 +137,14 @@ def test_value_counts_describe_share(frame):
     assert zero.filter("Share is not null").count() == 0
 
 
+def test_value_counts_of_long_texts(spark):
+    data = ["x" * 100 + str(i % 7) for i in range(50)] + ["short"] * 9 + ["y" * 65]
+    df = spark.createDataFrame([(v,) for v in data], "t string")
+    found = {r["value"]: r["count"] for r in G.value_counts(df, ["t"], 3).collect()}
+    assert found == {"short": 9, "x" * 100 + "0": 8, **{v: 7 for v in found if v.endswith(tuple("123456"))}}
+    assert len(found) == 3
+
+
 def test_value_counts_limit_rows_before_the_shuffle(frame):
     plan = G.value_counts(frame, ["region"])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
