@@ -24,7 +24,7 @@ from tablewright.operators.grouping import (
     sort_rows,
     top_categories,
 )
-from tablewright.operators.quantiles import few_groups, quantile_table
+from tablewright.operators.quantiles import look_up, quantile_table
 from tablewright.operators.sampling import sample_rows
 
 RECORD_COUNT = "Record count"
@@ -222,7 +222,5 @@ def _fences(rows: DataFrame, small_input_bytes: int | None) -> DataFrame:
 
 def _outside(rows: DataFrame, stats: DataFrame) -> DataFrame:
     fences = stats.select("segment", "lower_fence", "upper_fence")
-    # With few segments the rows stay where they are; with many, the join shuffles
-    # them and adaptive execution splits a hot segment.
-    joined = join_null_safe(rows, F.broadcast(fences) if few_groups(rows, ["segment"]) else fences, ["segment"])
+    joined = look_up(rows, fences, ["segment"])
     return joined.filter((F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence")))

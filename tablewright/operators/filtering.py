@@ -125,32 +125,39 @@ def search_all(df: DataFrame, query: str) -> DataFrame:
 def calculated(df: DataFrame, name: str, expression: str) -> DataFrame:
     """Append an arithmetic combination of numeric fields, as double.
 
-    Numbers, field names, ``+ - * / % **``, signs and parentheses are accepted.
+    Numbers, field names (in backticks if they are not plain words), ``+ - * / % **``,
+    signs and parentheses are accepted.
     A nonzero number over zero is infinite and zero over zero is missing.
     """
     name = (name or "").strip()
     if not name or name in df.columns:
         raise ValueError("A calculated field needs a new, unique name.")
+    quoted: dict[str, str] = {}
+
+    def plain(match: re.Match) -> str:
+        return quoted.setdefault(match.group(1), f"__field_{len(quoted)}")
+
     try:
-        tree = ast.parse(expression.strip(), mode="eval")
+        tree = ast.parse(re.sub(r"`([^`]+)`", plain, expression.strip()), mode="eval")
     except (SyntaxError, ValueError) as problem:
         raise ValueError(f"Not a valid formula: {expression}") from problem
-    return df.withColumn(name, _arithmetic(df, tree.body))
+    return df.withColumn(name, _arithmetic(df, tree.body, {word: field for field, word in quoted.items()}))
 
 
-def _arithmetic(df: DataFrame, node: ast.expr) -> Column:
+def _arithmetic(df: DataFrame, node: ast.expr, quoted: dict[str, str]) -> Column:
     if isinstance(node, ast.Constant) and type(node.value) in (int, float):
         return F.lit(float(node.value))
     if isinstance(node, ast.Name):
-        require(df, node.id)
-        if not is_numeric(df, node.id):
-            raise ValueError(f"A formula may use numeric fields only: {node.id}")
-        return number(df, node.id)
+        name = quoted.get(node.id, node.id)
+        require(df, name)
+        if not is_numeric(df, name):
+            raise ValueError(f"A formula may use numeric fields only: {name}")
+        return number(df, name)
     if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
-        operand = _arithmetic(df, node.operand)
+        operand = _arithmetic(df, node.operand, quoted)
         return -operand if isinstance(node.op, ast.USub) else operand
     if isinstance(node, ast.BinOp):
-        left, right = _arithmetic(df, node.left), _arithmetic(df, node.right)
+        left, right = _arithmetic(df, node.left, quoted), _arithmetic(df, node.right, quoted)
         if isinstance(node.op, ast.Add):
             return left + right
         if isinstance(node.op, ast.Sub):

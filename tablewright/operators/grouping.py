@@ -18,7 +18,7 @@ from tablewright.functions.columns import (
     require_numeric,
     text,
 )
-from tablewright.operators.quantiles import describe_quantiles, few_groups, quantile_table
+from tablewright.operators.quantiles import describe_quantiles, look_up, quantile_table
 
 AGGREGATIONS = ("sum", "mean", "median", "min", "max", "count")
 RECORDS = "Records"
@@ -259,8 +259,7 @@ def share_of_total(df: DataFrame, category: str, value: str, name: str = "Share"
     keyed = df.withColumn("__category", comparable(df, category))
     # The per-category totals are joined back rather than taken by a window: a
     # window would gather a hot category in one task.
-    side = F.broadcast(totals) if few_groups(keyed, ["__category"]) else totals
-    joined = join_null_safe(keyed, side, ["__category"], "left")
+    joined = look_up(keyed, totals, ["__category"], "left")
     return joined.withColumn(name, F.try_divide(number(df, value), F.nullif(F.col("__total"), F.lit(0.0))) * 100).drop(
         "__category", "__total"
     )

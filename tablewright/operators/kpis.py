@@ -86,5 +86,5 @@ def kpi_breakdown(
     column = definition["column"]
     require(df, column, by)
     table = group_summary(df, [by], [column], definition["aggregation"], small_input_bytes)
-    largest = table.filter(col(column).isNotNull()).orderBy(F.desc(column), F.asc(by)).limit(top)
-    return largest.orderBy(F.asc(column), F.desc(by))
+    largest = table.filter(col(column).isNotNull()).orderBy(col(column).desc(), col(by).asc()).limit(top)
+    return largest.orderBy(col(column).asc(), col(by).desc())

@@ -24,6 +24,8 @@ SMALL_INPUT_BYTES = 32 * 1024 * 1024
 # estimated below this size, or when there are no more groups than this.
 BROADCAST_BYTES = 8 * 1024 * 1024
 BROADCAST_GROUPS = 20_000
+# Parts a group is split into when its look-up row cannot be broadcast.
+SALTS = 64
 FINE_CELLS = 2**20
 CELLS_PER_OCTAVE = 64
 
@@ -55,16 +57,20 @@ def _by_cell_counts(df: DataFrame, keys: list[str], measures: list[str], probabi
         *[comparable(df, k).alias(n) for k, n in zip(keys, names)],
         *[number(df, m).alias(str(i)) for i, m in enumerate(measures)],
     )
-    values = (
-        wide.unpivot(names, [str(i) for i in range(len(measures))], "m", "v")
-        .filter(F.col("v").isNotNull())
-        .withColumn("cell", _coarse_cell(F.col("v")))
-    )
+    values = wide.unpivot(names, [str(i) for i in range(len(measures))], "m", "v").filter(F.col("v").isNotNull())
     small_side = not keys or few_groups(wide, names)
+    if small_side:
+        # The wanted cells are broadcast and the rows stay where they are.
+        values = values.withColumn("w", F.lit(1).cast("bigint"))
+    else:
+        # The wanted cells are joined by shuffling, so equal values are combined
+        # first: however often a value occurs, it travels as one row.
+        values = values.groupBy(*ids, "v").agg(F.count("*").alias("w"))
+    values = values.withColumn("cell", _coarse_cell(F.col("v")))
 
     # 1. Coarse cells.  The ranks wanted follow from the group's own count.
     coarse = values.groupBy(*ids, "cell").agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
     coarse = coarse.withColumns(
         {"total": F.sum("n").over(Window.partitionBy(*ids)), "before": _rows_before(ids, "cell")}
@@ -80,7 +86,7 @@ def _by_cell_counts(df: DataFrame, keys: list[str], measures: list[str], probabi
         .withColumn("fine", F.coalesce(step, F.lit(0)))
         .groupBy(*cell_ids, "fine")
         .agg(
-            F.count("*").alias("n"),
+            F.sum("w").alias("n"),
             F.min("v").alias("lo"),
             F.max("v").alias("hi"),
             F.min("total").alias("total"),
@@ -93,7 +99,7 @@ def _by_cell_counts(df: DataFrame, keys: list[str], measures: list[str], probabi
     # 3. Single values inside the wanted fine cells.
     inside = _join_cells(values, fine, cell_ids, small_side).filter(F.col("v").between(F.col("lo"), F.col("hi")))
     single = inside.groupBy(*cell_ids, "fine", "v").agg(
-        F.count("*").alias("n"), F.min("total").alias("total"), F.min("before").alias("before")
+        F.sum("w").alias("n"), F.min("total").alias("total"), F.min("before").alias("before")
     )
     single = single.withColumn("before", F.col("before") + _rows_before([*cell_ids, "fine"], "v"))
     single = _holding_a_rank(single, probabilities)
@@ -169,6 +175,20 @@ def few_groups(df: DataFrame, keys: list[str]) -> bool:
     return is_small(groups, BROADCAST_BYTES) or groups.distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
 
 
+def look_up(rows: DataFrame, per_group: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join one look-up row per group to the rows of the groups, inner or left.
+
+    With few groups the look-up is broadcast.  With many, every group is split into
+    salted parts and its look-up row copied to each, so that a group holding a large
+    share of the rows is joined by many tasks.
+    """
+    if few_groups(rows, keys):
+        return join_null_safe(rows, F.broadcast(per_group), keys, how)
+    salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    copies = per_group.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return join_null_safe(salted, copies, [*keys, "__salt"], how).drop("__salt")
+
+
 def describe_quantiles(df: DataFrame, measures: list[str], small_input_bytes: int | None = None) -> DataFrame:
     """Quartiles of many fields as rows ``field, q1, median, q3``."""
     table = quantile_table(df, [], measures, [0.25, 0.5, 0.75], small_input_bytes)

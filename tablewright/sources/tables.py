@@ -87,7 +87,15 @@ def read_csv(
 
 
 def _header(line: str) -> list[str]:
-    return next(csv.reader([line.lstrip("﻿")]))
+    """The header cells; a blank one is named by its position, a repeat numbered."""
+    names: list[str] = []
+    for position, cell in enumerate(next(csv.reader([line.lstrip("\ufeff")]))):
+        name = cell if cell.strip() else f"Unnamed: {position}"
+        repeat = 0
+        while (name if not repeat else f"{name}.{repeat}") in names:
+            repeat += 1
+        names.append(f"{name}.{repeat}" if repeat else name)
+    return names
 
 
 def _check_lines(lines: DataFrame):

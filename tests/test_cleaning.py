@@ -186,6 +186,27 @@ def test_calculated(frame):
             calculated(frame, name, expression)
 
 
+def test_awkward_field_names(spark):
+    from tablewright import group_summary, kpi_breakdown, pivot_table, resample
+    from tablewright.operators import charts, grouping, quality
+
+    df = spark.createDataFrame([("x", 1.0, 2.0), ("x", 3.0, 4.0), ("y", None, 6.0)], "`g.1` string, `a b` double, `c.d` double")
+    assert rows(calculated(df, "s", "`a b` + 2 * `c.d`"), "s") == [(11.0,), (5.0,), (None,)]
+    assert treat_missing(df, "a b", "Mean").filter("`a b` = 2").count() == 1
+    assert deduplicate(df, ["g.1"], "last", "c.d").count() == 2
+    assert filter_rows(df, "g.1", "contains", "X").count() == 2
+    assert rows(group_summary(df, ["g.1"], ["c.d"], "median", 0)) == [("x", 3.0), ("y", 6.0)]
+    assert pivot_table(df, "g.1", "a b", "c.d", "sum").columns == ["g.1", "1.0", "3.0"]
+    assert grouping.melt(df, ["g.1"], ["a b", "c.d"]).count() == 6
+    assert grouping.describe(df).count() == 2 and quality.outlier_screen(df).count() == 0
+    assert quality.data_dictionary(df).count() == 3 and quality.correlation_matrix(df).count() == 2
+    assert charts.category_table(df, "g.1", "c.d").count() == 2
+    assert kpi_breakdown(df, {"column": "c.d", "aggregation": "sum"}, "g.1").count() == 2
+    assert treat_outliers(df, "c.d", "Cap values").count() == 3
+    dated = df.selectExpr("`g.1`", "`c.d`", "date'2024-01-31' as `d.t`")
+    assert rows(resample(dated, "d.t", "c.d", "Month", series=["g.1"]), "`c.d`") == [(6.0,), (6.0,)]
+
+
 def test_division_by_zero(spark):
     df = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (4.0, 2.0), (None, 0.0)], "a double, b double")
     assert [r[0] for r in calculated(df, "q", "a / b").select("q").collect()] == [

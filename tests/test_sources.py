@@ -39,6 +39,16 @@ def test_business_file(spark, business):
     assert melt(df, ["date"], ["revenue", "cost"]).count() == 72
 
 
+def test_headers(spark, tmp_path):
+    assert read_csv(spark, put(tmp_path, "a,a,,A,a\n1,2,3,4,5\n")).columns == ["a", "a.1", "unnamed:_2", "a_2", "a.2"]
+
+
+def test_long_quoted_cells(spark, tmp_path):
+    cell = '"' + 'say ""hi"", ' * 20_000 + '"'
+    df = read_csv(spark, put(tmp_path, f"t,n\n{cell},1\n{cell},2\n"))
+    assert df.count() == 2 and len(df.first()["t"]) == len('say "hi", ') * 20_000
+
+
 def test_types_and_missing_tokens(spark, tmp_path):
     path = put(tmp_path, 'A,a,b,flag,none,id\n1,x,1.5,True,,007\nNA,NaN,1e3,FALSE,null,5d\n3,"",n/a,TRUE,,1\n')
     df = read_csv(spark, path)

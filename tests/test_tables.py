@@ -117,6 +117,35 @@ def test_quantiles_by_cell_counts_agree_with_numpy(spark, keys):
                 assert np.allclose(r[m], expected[key][m], rtol=1e-12, atol=0), (key, m)
 
 
+def test_many_groups_take_the_shuffled_plans(spark, monkeypatch):
+    from tablewright.operators import charts, quantiles
+
+    rng = np.random.default_rng(11)
+    n = 3000
+    pdf = pd.DataFrame({
+        "g": rng.choice(["hot", "a", "b", None], n, p=[.8, .1, .05, .05]),
+        "x": np.where(rng.random(n) < .4, 7.5, np.round(rng.normal(0, 50, n), 2)),
+    })
+    df = spark.createDataFrame([(g, x) for g, x in zip(pdf["g"], pdf["x"].tolist())], "g string, x double")
+    expected = {
+        "quantiles": rows(quantile_table(df, ["g"], ["x"], [.25, .5, .9])),
+        "box": rows(charts.box_table(df, "x", "g")),
+        "outliers": rows(charts.box_outliers(df, "x", "g")),
+        "share": rows(G.share_of_total(df, "g", "x").select("g", "x", F.round("Share", 9))),
+    }
+    monkeypatch.setattr(quantiles, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(quantiles, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(quantiles, "SMALL_INPUT_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(quantile_table(df, ["g"], ["x"], [.25, .5, .9])) == expected["quantiles"]
+        assert rows(charts.box_table(df, "x", "g")) == expected["box"]
+        assert rows(charts.box_outliers(df, "x", "g")) == expected["outliers"]
+        assert rows(G.share_of_total(df, "g", "x").select("g", "x", F.round("Share", 9))) == expected["share"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_quantiles_edge_cases(spark):
     df = spark.createDataFrame([("a", float("inf")), ("a", 1.0), ("a", float("nan")), ("b", None), (None, 2.0), (None, -0.0)],
                                "g string, v double")
