@@ -69,6 +69,10 @@ def summarize_chart_data(
     keep the ``top_n`` categories by total.  Returns the table and its value column."""
     grouping = [category] + ([series] if series else [])
     table, value = _labelled_summary(df, grouping, measure, aggregation, small_input_bytes)
+    if series is None:
+        # One row per category: its value is its total.
+        total = F.coalesce(col(value), F.lit(0))
+        return table.orderBy(total.desc(), col(category).asc()).limit(int(top_n)), value
     return top_categories(table, category, value, top_n), value
 
 
@@ -180,14 +184,14 @@ def box_table(
     df: DataFrame, value: str, segment: str | None = None, small_input_bytes: int | None = None
 ) -> DataFrame:
     """Five-number summary, fences and outlier count per segment."""
-    rows = _segmented(df, value, segment)
-    stats = _fences(rows, small_input_bytes)
-    flagged = _outside(rows, stats)
-    outliers = flagged.groupBy("segment").agg(F.count("*").alias("outliers"))
-    table = join_null_safe(stats, outliers, ["segment"], "left")
+    rows = _with_quartiles(_segmented(df, value, segment), small_input_bytes)
+    table = rows.groupBy("segment", "q1", "median", "q3").agg(
+        F.count("*").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.count_if(_outside()).alias("outliers"),
+    )
     return table.select(
         *(["segment"] if segment else []), "count", "min", "q1", "median", "q3", "max",
-        "lower_fence", "upper_fence", F.coalesce("outliers", F.lit(0)).alias("outliers"),
+        _fence("q1", -1).alias("lower_fence"), _fence("q3", 1).alias("upper_fence"), "outliers",
     )
 
 
@@ -195,9 +199,8 @@ def box_outliers(
     df: DataFrame, value: str, segment: str | None = None, small_input_bytes: int | None = None
 ) -> DataFrame:
     """The points drawn beyond the fences: ``segment, value``."""
-    rows = _segmented(df, value, segment)
-    found = _outside(rows, _fences(rows, small_input_bytes))
-    return found.select("segment", F.col("v").alias("value"))
+    rows = _with_quartiles(_segmented(df, value, segment), small_input_bytes)
+    return rows.filter(_outside()).select("segment", F.col("v").alias("value"))
 
 
 def _segmented(df: DataFrame, value: str, segment: str | None) -> DataFrame:
@@ -207,20 +210,16 @@ def _segmented(df: DataFrame, value: str, segment: str | None) -> DataFrame:
     return rows.filter(F.col("v").isNotNull())
 
 
-def _fences(rows: DataFrame, small_input_bytes: int | None) -> DataFrame:
+def _with_quartiles(rows: DataFrame, small_input_bytes: int | None) -> DataFrame:
     quartiles = quantile_table(rows, ["segment"], ["v"], [0.25, 0.5, 0.75], small_input_bytes).select(
         "segment", F.col("v")[0].alias("q1"), F.col("v")[1].alias("median"), F.col("v")[2].alias("q3")
     )
-    ends = rows.groupBy("segment").agg(
-        F.count("*").alias("count"), F.min("v").alias("min"), F.max("v").alias("max")
-    )
-    spread = 1.5 * (F.col("q3") - F.col("q1"))
-    return join_null_safe(ends, quartiles, ["segment"]).withColumns(
-        {"lower_fence": F.col("q1") - spread, "upper_fence": F.col("q3") + spread}
-    )
+    return look_up(rows, quartiles, ["segment"])
+
+
+def _fence(quartile: str, side: int) -> Column:
+    return F.col(quartile) + side * 1.5 * (F.col("q3") - F.col("q1"))
 
 
-def _outside(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    fences = stats.select("segment", "lower_fence", "upper_fence")
-    joined = look_up(rows, fences, ["segment"])
-    return joined.filter((F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence")))
+def _outside() -> Column:
+    return (F.col("v") < _fence("q1", -1)) | (F.col("v") > _fence("q3", 1))
