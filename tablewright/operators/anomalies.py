@@ -65,7 +65,7 @@ def fit_forest(
     rows = complete.select(F.array(*[finite(df, c) for c in columns]).alias("x"), *[col(k) for k in keys])
     total = complete.count()
     if total < LEAST_ROWS:
-        raise ValueError("At least 10 complete rows are required for anomaly detection.")
+        raise ValueError(f"Only {total} rows hold all fields; {LEAST_ROWS} are needed.")
     size = min(total, SAMPLE_ROWS)
     sample = sample_rows(rows, SAMPLE_ROWS, keys, seed, total).select("x", F.monotonically_increasing_id().alias("i"))
     per_tree = min(ROWS_PER_TREE, size)

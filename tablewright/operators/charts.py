@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.columns import (
     col,
-    comparable,
-    is_small,
     join_null_safe,
     number,
     require,
@@ -16,8 +14,6 @@ from tablewright.functions.columns import (
 )
 from tablewright.operators.grouping import (
     RECORDS,
-    aggregate_column,
-    check_aggregation,
     group_summary,
     record_count,
     share_of_total,

@@ -28,22 +28,29 @@ from tablewright.operators.quantiles import quantile_table
 
 
 def treat_missing(df: DataFrame, column: str, method: str, value=None) -> DataFrame:
+    """Drop the rows missing a field, drop the field, or fill its gaps."""
     require(df, column)
+    if method == "Drop column":
+        return drop_field(df, column)
     if method == "Drop rows":
         return df.filter(~is_missing(df, column))
-    if method == "Drop column":
-        return df.drop(column)
-    if method == "Mean":
-        require_numeric(df, column)
-        return _fill(df, column, df.agg(F.avg(number(df, column))).scalar())
-    if method == "Median":
-        middle = quantile_table(df, [], [column], [0.5]).select(col(column)[0])
-        return _fill(df, column, middle.scalar())
-    if method == "Mode":
-        return _fill(df, column, F.lit(mode_value(df, column)))
     if method == "Custom value":
         return _fill(df, column, _custom(df, column, value))
-    raise ValueError(f"Unsupported missing-value treatment: {method}")
+    if method not in _REPLACEMENTS:
+        raise ValueError(f"Unsupported missing-value treatment: {method}")
+    return _fill(df, column, _REPLACEMENTS[method](df, column))
+
+
+def _mean(df: DataFrame, column: str) -> Column:
+    require_numeric(df, column)
+    return df.agg(F.avg(number(df, column))).scalar()
+
+
+def _median(df: DataFrame, column: str) -> Column:
+    return quantile_table(df, [], [column], [0.5]).select(col(column)[0]).scalar()
+
+
+_REPLACEMENTS = {"Mean": _mean, "Median": _median, "Mode": lambda df, column: F.lit(mode_value(df, column))}
 
 
 def _fill(df: DataFrame, column: str, replacement: Column) -> DataFrame:
@@ -129,25 +136,24 @@ BOOLEAN_WORDS = {
 
 
 def convert_type(df: DataFrame, column: str, target: str, format: str | None = None) -> DataFrame:
-    """Convert a field; cells that cannot be converted become missing."""
+    """Convert a field; cells that cannot be converted become missing.
+
+    ``format`` names the format of date text and saves the look at its first values.
+    """
     require(df, column)
+    if target not in _CONVERSIONS:
+        raise ValueError(f"Unsupported type: {target}")
+    return df.withColumn(column, _CONVERSIONS[target](df, column, format))
+
+
+def _to_boolean(df: DataFrame, column: str) -> Column:
+    words = {flag: [w for w, f in BOOLEAN_WORDS.items() if f is flag] for flag in (True, False)}
+    word = F.lower(text(df, column))
+    return F.when(word.isin(words[True]), True).when(word.isin(words[False]), False)
+
+
+def _to_number(df: DataFrame, column: str) -> Column:
     kind = field_type(df, column)
-    if target == "Number":
-        return df.withColumn(column, _to_number(df, column, kind))
-    if target == "Date/time":
-        return df.withColumn(column, _to_timestamp(df, column, kind, format))
-    if target == "Text":
-        return df.withColumn(column, text(df, column))
-    if target == "Category":
-        return df.withColumn(column, text(df, column).alias(column, metadata={"category": True}))
-    if target == "Boolean":
-        word = F.lower(text(df, column))
-        words = {flag: [w for w, f in BOOLEAN_WORDS.items() if f is flag] for flag in (True, False)}
-        return df.withColumn(column, F.when(word.isin(words[True]), True).when(word.isin(words[False]), False))
-    raise ValueError(f"Unsupported type: {target}")
-
-
-def _to_number(df: DataFrame, column: str, kind: T.DataType) -> Column:
     if is_numeric(df, column):
         return populated(df, column)
     if isinstance(kind, T.StringType):
@@ -159,7 +165,8 @@ def _to_number(df: DataFrame, column: str, kind: T.DataType) -> Column:
     return F.unix_micros(col(column).cast("timestamp")) * 1000
 
 
-def _to_timestamp(df: DataFrame, column: str, kind: T.DataType, format: str | None) -> Column:
+def _to_timestamp(df: DataFrame, column: str, format: str | None) -> Column:
+    kind = field_type(df, column)
     if is_date(df, column):
         return col(column) if not isinstance(kind, T.DateType) else col(column).cast("timestamp_ntz")
     if isinstance(kind, T.NumericType):
@@ -172,6 +179,16 @@ def _to_timestamp(df: DataFrame, column: str, kind: T.DataType, format: str | No
     return F.lit(None).cast("timestamp_ntz") if chosen is None else parse_with(col(column), chosen)
 
 
+_CONVERSIONS = {
+    "Number": lambda df, column, format: _to_number(df, column),
+    "Date/time": _to_timestamp,
+    "Text": lambda df, column, format: text(df, column),
+    # Parquet dictionary-encodes text; the metadata remembers the choice.
+    "Category": lambda df, column, format: text(df, column).alias(column, metadata={"category": True}),
+    "Boolean": lambda df, column, format: _to_boolean(df, column),
+}
+
+
 def treat_outliers(
     df: DataFrame, column: str, method: str, factor: float = 1.5, small_input_bytes: int | None = None
 ) -> DataFrame:

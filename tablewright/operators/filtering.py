@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import operator as compare
 import re
 from datetime import datetime
 from functools import reduce
@@ -23,10 +24,13 @@ from tablewright.functions.columns import (
     text,
 )
 
-# The filter conditions a recipe may name.
-TEXT_CONDITIONS = ("equals", "not equal", "contains")
-ORDER_CONDITIONS = ("greater than", "less than", "at least", "at most")
-NULL_CONDITIONS = ("is missing", "is populated")
+# The conditions a filter may name.
+ORDERINGS = {
+    "greater than": compare.gt,
+    "less than": compare.lt,
+    "at least": compare.ge,
+    "at most": compare.le,
+}
 
 
 def filter_rows(df: DataFrame, column: str, operator: str, value=None) -> DataFrame:
@@ -36,20 +40,12 @@ def filter_rows(df: DataFrame, column: str, operator: str, value=None) -> DataFr
 
 
 def condition(df: DataFrame, column: str, operator: str, value=None) -> Column:
-    if operator not in TEXT_CONDITIONS + ORDER_CONDITIONS + NULL_CONDITIONS:
+    if operator not in ORDERINGS and operator not in _CONDITIONS:
         raise ValueError(f"Unsupported filter: {operator}")
     require(df, column)
-    if operator == "is missing":
-        return is_missing(df, column)
-    if operator == "is populated":
-        return ~is_missing(df, column)
-    if operator == "equals":
-        return _equals(df, column, str(value))
-    if operator == "not equal":
-        return is_missing(df, column) | ~_equals(df, column, str(value))
-    if operator == "contains":
-        return _matches(df, column, _checked_pattern(str(value)))
-    return _ordered(df, column, operator, value)
+    if operator in ORDERINGS:
+        return _ordered(df, column, operator, value)
+    return _CONDITIONS[operator](df, column, str(value))
 
 
 def _equals(df: DataFrame, column: str, wanted: str) -> Column:
@@ -87,19 +83,10 @@ def _never(cell: Column) -> Column:
 def _ordered(df: DataFrame, column: str, operator: str, value) -> Column:
     if not is_numeric(df, column):
         raise ValueError(f"{operator} needs a numeric field: {column}")
-    bound, cell = F.lit(literal_number(value)), col(column)
-    if operator == "greater than":
-        kept = cell > bound
-    elif operator == "less than":
-        kept = cell < bound
-    elif operator == "at least":
-        kept = cell >= bound
-    else:
-        kept = cell <= bound
+    kept = ORDERINGS[operator](col(column), F.lit(literal_number(value)))
     # Spark orders NaN above every number; a missing cell must not match.
-    if is_fractional(df, column) and operator in ("greater than", "at least"):
-        kept = kept & ~F.isnan(cell)
-    return kept
+    above = operator in ("greater than", "at least")
+    return kept & ~F.isnan(col(column)) if above and is_fractional(df, column) else kept
 
 
 def _checked_pattern(pattern: str) -> str:
@@ -114,6 +101,15 @@ def _matches(df: DataFrame, column: str, pattern: str) -> Column:
     return F.coalesce(text(df, column).rlike(pattern), F.lit(False))
 
 
+_CONDITIONS = {
+    "equals": _equals,
+    "not equal": lambda df, column, value: is_missing(df, column) | ~_equals(df, column, value),
+    "contains": lambda df, column, value: _matches(df, column, _checked_pattern(value)),
+    "is missing": lambda df, column, _: is_missing(df, column),
+    "is populated": lambda df, column, _: ~is_missing(df, column),
+}
+
+
 def search_all(df: DataFrame, query: str) -> DataFrame:
     """Keep the rows in which any field's text matches, ignoring case."""
     if not query:

@@ -39,7 +39,7 @@ def forecast_series(
     lengths = history.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("n"))
     shortest = lengths.agg(F.min("n")).first()[0]
     if (shortest or 0) < LEAST_PERIODS:
-        raise ValueError("At least six time periods are required for a basic forecast.")
+        raise ValueError(f"A forecast needs a history of {LEAST_PERIODS} periods or more.")
 
     names = [f"k{i}" for i in range(len(keys))]
     rows = history.select(

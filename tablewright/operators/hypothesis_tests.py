@@ -64,7 +64,7 @@ def mean_interval_statistics(df: DataFrame, measure: str) -> DataFrame:
 def mean_confidence_interval(df: DataFrame, measure: str, confidence: float = 0.95) -> dict[str, float]:
     row = mean_interval_statistics(df, measure).first()
     if row["n"] < 2:
-        raise ValueError("At least two populated values are required.")
+        raise ValueError(f"{measure} needs two values or more for an interval.")
     margin = t_quantile((1 + confidence) / 2, row["n"] - 1) * row["sem"]
     return {"mean": row["mean"], "lower": row["mean"] - margin, "upper": row["mean"] + margin, "n": row["n"]}
 
@@ -161,6 +161,46 @@ def pearson_statistics(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.count_if(a.isNotNull() & b.isNotNull()).alias("n"), correlation(df, x, y).alias("statistic"))
 
 
+def _two_groups(df: DataFrame, measure: str, group: str, _) -> tuple:
+    row = welch_statistics(df, measure, group).first()
+    if row["groups"] != 2:
+        raise ValueError(f"{group} holds {row['groups']} groups with values; this test compares two.")
+    pvalue = _tail(row["statistic"], lambda s: t_two_sided(s, row["dof"]))
+    return "Welch's t-test", row["statistic"], pvalue, row["effect"], group_means(df, measure, group).select("label", "mean")
+
+
+def _many_groups(df: DataFrame, measure: str, group: str, _) -> tuple:
+    row = anova_statistics(df, measure, group).first()
+    if row["groups"] < 2:
+        raise ValueError(f"{group} needs two groups of two values or more.")
+    pvalue = _tail(row["statistic"], lambda s: f_upper(s, row["dof_between"], row["dof_within"]))
+    return "One-way ANOVA", row["statistic"], pvalue, None, group_means(df, measure, group).select("label", "mean")
+
+
+def _association(df: DataFrame, _, first: str, second: str) -> tuple:
+    row = chi_square_statistics(df, first, second).first()
+    if min(row["rows"] or 0, row["columns"] or 0) < 2:
+        raise ValueError(f"{first} and {second} need two values each.")
+    pvalue = _tail(row["statistic"], lambda s: chi_square_upper(s, row["dof"]))
+    return "Chi-square association test", row["statistic"], pvalue, row["effect"], contingency(df, first, second)
+
+
+def _relationship(df: DataFrame, x: str, _, y: str) -> tuple:
+    row = pearson_statistics(df, x, y).first()
+    if row["n"] < 4:
+        raise ValueError(f"Only {row['n']} rows hold both {x} and {y}; four are needed.")
+    r = row["statistic"]
+    return "Pearson correlation test", r, _tail(r, lambda s: _pearson_tail(s, row["n"])), r, r
+
+
+_TESTS = {
+    TWO_GROUPS: _two_groups,
+    MANY_GROUPS: _many_groups,
+    ASSOCIATION: _association,
+    RELATIONSHIP: _relationship,
+}
+
+
 def statistical_test(
     df: DataFrame,
     test_name: str,
@@ -169,38 +209,12 @@ def statistical_test(
     second_column: str | None = None,
     confidence: float = 0.95,
 ) -> TestResult:
-    effect = None
-    if test_name == TWO_GROUPS:
-        row = welch_statistics(df, numeric_column, group_column).first()
-        if row["groups"] != 2:
-            raise ValueError("Select a field containing exactly two populated groups.")
-        name, effect = "Welch's t-test", row["effect"]
-        pvalue = _tail(row["statistic"], lambda s: t_two_sided(s, row["dof"]))
-        estimate = group_means(df, numeric_column, group_column).select("label", "mean")
-    elif test_name == MANY_GROUPS:
-        row = anova_statistics(df, numeric_column, group_column).first()
-        if row["groups"] < 2:
-            raise ValueError("At least two groups with two observations each are required.")
-        name = "One-way ANOVA"
-        pvalue = _tail(row["statistic"], lambda s: f_upper(s, row["dof_between"], row["dof_within"]))
-        estimate = group_means(df, numeric_column, group_column).select("label", "mean")
-    elif test_name == ASSOCIATION:
-        row = chi_square_statistics(df, group_column, second_column).first()
-        if (row["rows"] or 0) < 2 or (row["columns"] or 0) < 2:
-            raise ValueError("Both fields need at least two categories.")
-        name, effect = "Chi-square association test", row["effect"]
-        pvalue = _tail(row["statistic"], lambda s: chi_square_upper(s, row["dof"]))
-        estimate = contingency(df, group_column, second_column)
-    elif test_name == RELATIONSHIP:
-        row = pearson_statistics(df, numeric_column, second_column).first()
-        if row["n"] < 4:
-            raise ValueError("At least four complete paired observations are required.")
-        name, effect = "Pearson correlation test", row["statistic"]
-        pvalue = _tail(row["statistic"], lambda r: _pearson_tail(r, row["n"]))
-        estimate = row["statistic"]
-    else:
+    """Run a test by name; it is significant when its p-value lies under 1 - confidence."""
+    if test_name not in _TESTS:
         raise ValueError(f"Unsupported statistical test: {test_name}")
-    statistic = math.nan if row["statistic"] is None else row["statistic"]
+    run = _TESTS[test_name]
+    name, statistic, pvalue, effect, estimate = run(df, numeric_column, group_column, second_column)
+    statistic = math.nan if statistic is None else statistic
     return TestResult(name, statistic, pvalue, confidence, pvalue < 1 - confidence, effect, estimate)
 
 

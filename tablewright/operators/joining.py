@@ -34,9 +34,9 @@ def join_tables(
     an inner join and the unmatched rows, found against distinct keys.
     """
     if how not in JOIN_METHODS:
-        raise ValueError(f"Unsupported join method: {how}")
-    if left_on not in left.columns or right_on not in right.columns:
-        raise ValueError("Both join keys must exist in their respective datasets.")
+        raise ValueError(f"{how!r} is no way to join; choose one of {', '.join(JOIN_METHODS)}.")
+    require(left, left_on)
+    require(right, right_on)
     _check_key_types(field_type(left, left_on), field_type(right, right_on))
 
     right = right.drop(ROW_ID) if ROW_ID in right.columns else right

@@ -60,8 +60,8 @@ def evidence_sample(df: DataFrame, limit: int = 300, key: list[str] | str | None
     """All rows of a small table, else a reproducible sample, and a sentence saying which."""
     total = df.count()
     if total <= limit:
-        return df, f"all {total:,} rows"
-    return sample_rows(df, limit, key), f"a reproducible sample of {limit:,} from {total:,} rows"
+        return df, f"the whole table of {total:,} rows"
+    return sample_rows(df, limit, key), f"{limit:,} of {total:,} rows, drawn reproducibly"
 
 
 def data_only(df: DataFrame) -> DataFrame:

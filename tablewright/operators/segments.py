@@ -29,7 +29,7 @@ def segment_rows(
     needed = clusters * ROWS_PER_SEGMENT
     training = prepared.filter(complete).select(*inputs)
     if training.limit(needed).count() < needed:
-        raise ValueError("Use at least three complete rows per segment.")
+        raise ValueError(f"{clusters} segments need {needed} rows that hold all fields.")
 
     assembler = VectorAssembler(inputCols=inputs, outputCol="__raw", handleInvalid="keep")
     scaler = StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True)

@@ -8,7 +8,6 @@ from tablewright.functions.columns import (
     col,
     comparable,
     is_date,
-    number,
     populated,
     require,
     require_numeric,

@@ -55,7 +55,7 @@ def read_csv(
     lines = spark.read.text(path)
     first = lines.filter(F.length(F.trim("value")) > 0).select(F.col("value").cast("binary").alias("raw")).first()
     if first is None:
-        raise ValueError("This file does not contain a usable table.")
+        raise ValueError("The table has no rows or no fields.")
     checks = _check_lines(lines) if encoding is None else None
     if checks is not None:
         encoding = "UTF-8" if checks["undecodable"] == 0 else "ISO-8859-1"
@@ -167,5 +167,5 @@ def read_parquet(spark: SparkSession, path: str, row_id: bool = False) -> DataFr
 def require_usable(df: DataFrame) -> DataFrame:
     """Reject a table without fields or rows."""
     if not fields(df) or df.isEmpty():
-        raise ValueError("This file does not contain a usable table.")
+        raise ValueError("The table has no rows or no fields.")
     return df

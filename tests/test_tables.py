@@ -199,8 +199,8 @@ def test_sample_is_exact_and_independent_of_partitioning(spark):
 def test_evidence(spark):
     df = spark.range(400)
     sample, scope = evidence_sample(df, key="id")
-    assert sample.count() == 300 and scope == "a reproducible sample of 300 from 400 rows"
-    assert evidence_sample(spark.range(20))[1] == "all 20 rows"
+    assert sample.count() == 300 and scope == "300 of 400 rows, drawn reproducibly"
+    assert evidence_sample(spark.range(20))[1] == "the whole table of 20 rows"
 
 
 RULES = {"Day": "D", "Week": "W", "Month": "ME", "Quarter": "QE", "Year": "YE"}
