@@ -364,7 +364,7 @@ def _description(field: str, digits: int) -> str:
 for _name, _small in [("describe", None), ("describe_by_cells", 0)]:
     @query(_name, GAPPED + " UNION ALL ".join(_description(f, 6) for f in ("event_id", "user_id", "value")))
     def _(spark, sf_dir, small=_small):
-        return grouping.describe(gapped(spark, sf_dir), digits=6, small_input_bytes=small)
+        return grouping.describe(gapped(spark, sf_dir), digits=6, group_rows=small)
 
 
 @query("contingency", f"{GAPPED} SELECT event_type, user_id, count(*) AS count FROM e WHERE event_type IS NOT NULL GROUP BY 1, 2")

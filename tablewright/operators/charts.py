@@ -36,7 +36,7 @@ def label(df: DataFrame, name: str) -> Column:
 
 
 def _labelled_summary(
-    df: DataFrame, grouping: list[str], measure: str, aggregation: str, small_input_bytes: int | None
+    df: DataFrame, grouping: list[str], measure: str, aggregation: str, group_rows: int | None
 ) -> tuple[DataFrame, str]:
     require(df, *grouping)
     counted = measure == RECORD_COUNT
@@ -49,7 +49,7 @@ def _labelled_summary(
     )
     if counted:
         return record_count(working, grouping), RECORDS
-    return group_summary(working, grouping, [measure], aggregation, small_input_bytes), measure
+    return group_summary(working, grouping, [measure], aggregation, group_rows), measure
 
 
 def summarize_chart_data(
@@ -59,12 +59,12 @@ def summarize_chart_data(
     aggregation: str = "sum",
     top_n: int = 15,
     series: str | None = None,
-    small_input_bytes: int | None = None,
+    group_rows: int | None = None,
 ) -> tuple[DataFrame, str]:
     """Aggregate a measure (or count records) per category and optional series, and
     keep the ``top_n`` categories by total.  Returns the table and its value column."""
     grouping = [category] + ([series] if series else [])
-    table, value = _labelled_summary(df, grouping, measure, aggregation, small_input_bytes)
+    table, value = _labelled_summary(df, grouping, measure, aggregation, group_rows)
     if series is None:
         # One row per category: its value is its total.
         total = F.coalesce(col(value), F.lit(0))
@@ -117,13 +117,13 @@ def waterfall_table(df: DataFrame, category: str, measure: str, aggregation: str
 
 def hierarchy_table(
     df: DataFrame, hierarchy: list[str], measure: str = RECORD_COUNT, aggregation: str = "sum",
-    small_input_bytes: int | None = None,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Treemap and sunburst: one row per path of up to three fields."""
     hierarchy = list(hierarchy)
     if not 1 <= len(hierarchy) <= MAX_HIERARCHY:
         raise ValueError("Choose one to three hierarchy fields.")
-    table, value = _labelled_summary(df, hierarchy, measure, aggregation, small_input_bytes)
+    table, value = _labelled_summary(df, hierarchy, measure, aggregation, group_rows)
     _require_non_negative(table, value)
     return table
 
@@ -177,10 +177,10 @@ def histogram_table(df: DataFrame, value: str, bins: int = 30, segment: str | No
 
 
 def box_table(
-    df: DataFrame, value: str, segment: str | None = None, small_input_bytes: int | None = None
+    df: DataFrame, value: str, segment: str | None = None, group_rows: int | None = None
 ) -> DataFrame:
     """Five-number summary, fences and outlier count per segment."""
-    rows = _with_quartiles(_segmented(df, value, segment), small_input_bytes)
+    rows = _with_quartiles(_segmented(df, value, segment), group_rows)
     table = rows.groupBy("segment", "q1", "median", "q3").agg(
         F.count("*").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.count_if(_outside()).alias("outliers"),
@@ -192,10 +192,10 @@ def box_table(
 
 
 def box_outliers(
-    df: DataFrame, value: str, segment: str | None = None, small_input_bytes: int | None = None
+    df: DataFrame, value: str, segment: str | None = None, group_rows: int | None = None
 ) -> DataFrame:
     """The points drawn beyond the fences: ``segment, value``."""
-    rows = _with_quartiles(_segmented(df, value, segment), small_input_bytes)
+    rows = _with_quartiles(_segmented(df, value, segment), group_rows)
     return rows.filter(_outside()).select("segment", F.col("v").alias("value"))
 
 
@@ -206,8 +206,8 @@ def _segmented(df: DataFrame, value: str, segment: str | None) -> DataFrame:
     return rows.filter(F.col("v").isNotNull())
 
 
-def _with_quartiles(rows: DataFrame, small_input_bytes: int | None) -> DataFrame:
-    quartiles = quantile_table(rows, ["segment"], ["v"], [0.25, 0.5, 0.75], small_input_bytes).select(
+def _with_quartiles(rows: DataFrame, group_rows: int | None) -> DataFrame:
+    quartiles = quantile_table(rows, ["segment"], ["v"], [0.25, 0.5, 0.75], group_rows).select(
         "segment", F.col("v")[0].alias("q1"), F.col("v")[1].alias("median"), F.col("v")[2].alias("q3")
     )
     return look_up(rows, quartiles, ["segment"])

@@ -190,13 +190,13 @@ _CONVERSIONS = {
 
 
 def treat_outliers(
-    df: DataFrame, column: str, method: str, factor: float = 1.5, small_input_bytes: int | None = None
+    df: DataFrame, column: str, method: str, factor: float = 1.5, group_rows: int | None = None
 ) -> DataFrame:
     """Cap, remove or blank the values beyond ``factor`` interquartile ranges."""
     require_numeric(df, column)
     if method not in ("Cap values", "Remove rows", "Replace with missing"):
         raise ValueError(f"Unsupported outlier treatment: {method}")
-    bounds = outlier_bounds(df, column, factor, small_input_bytes).select(F.struct("lower", "upper")).scalar()
+    bounds = outlier_bounds(df, column, factor, group_rows).select(F.struct("lower", "upper")).scalar()
     lower, upper = bounds.getField("lower"), bounds.getField("upper")
     value = populated(df, column)
     inside = value.between(lower, upper)
@@ -209,10 +209,10 @@ def treat_outliers(
 
 
 def outlier_bounds(
-    df: DataFrame, column: str, factor: float = 1.5, small_input_bytes: int | None = None
+    df: DataFrame, column: str, factor: float = 1.5, group_rows: int | None = None
 ) -> DataFrame:
     """One row: q1, q3, lower, upper."""
-    quartiles = quantile_table(df, [], [column], [0.25, 0.75], small_input_bytes).select(
+    quartiles = quantile_table(df, [], [column], [0.25, 0.75], group_rows).select(
         col(column)[0].alias("q1"), col(column)[1].alias("q3")
     )
     spread = float(factor) * (F.col("q3") - F.col("q1"))

@@ -55,7 +55,7 @@ def group_summary(
     groups: list[str],
     values: list[str],
     aggregation: str,
-    small_input_bytes: int | None = None,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """One row per group, missing groups included; each measure keeps its name.
 
@@ -70,7 +70,7 @@ def group_summary(
     if repeated or len(set(groups)) < len(groups) or len(set(values)) < len(values):
         raise ValueError("A field cannot be used twice in a summary.")
     if aggregation == "median":
-        table = quantile_table(df, groups, values, [0.5], small_input_bytes)
+        table = quantile_table(df, groups, values, [0.5], group_rows)
         return table.select(*[col(g) for g in groups], *[col(v)[0].alias(v) for v in values])
     return df.groupBy(*[comparable(df, g).alias(g) for g in groups]).agg(
         *[aggregate_column(df, v, aggregation).alias(v) for v in values]
@@ -90,7 +90,7 @@ def pivot_table(
     aggregation: str,
     fill_value=0,
     pivot_values: list | None = None,
-    small_input_bytes: int | None = None,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Spread the values of one field into columns.
 
@@ -131,7 +131,7 @@ def pivot_table(
         raise ValueError("The pivot table would hold no column.")
 
     if aggregation == "median":
-        cells = quantile_table(rows, [*index, "__key"], measures, [0.5], small_input_bytes)
+        cells = quantile_table(rows, [*index, "__key"], measures, [0.5], group_rows)
         cells = cells.withColumns({m: col(m)[0] for m in measures})
     else:
         cells = rows.groupBy(*[comparable(df, n).alias(n) for n in index], "__key").agg(
@@ -227,7 +227,7 @@ def contingency(df: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def describe(
-    df: DataFrame, columns: list[str] | None = None, digits: int = 3, small_input_bytes: int | None = None
+    df: DataFrame, columns: list[str] | None = None, digits: int = 3, group_rows: int | None = None
 ) -> DataFrame:
     """One row per numeric field: count, mean, std, min, quartiles and max."""
     columns = list(columns or column_groups(df).numeric)
@@ -243,7 +243,7 @@ def describe(
         )
 
     basic = df.agg(F.array(*[moments(c) for c in columns]).alias("r")).select(F.inline("r"))
-    quartiles = describe_quantiles(df, columns, small_input_bytes)
+    quartiles = describe_quantiles(df, columns, group_rows)
     joined = join_null_safe(basic, quartiles.withColumnsRenamed({"median": "q2"}), ["field"])
     shown = {"mean": "mean", "std": "std", "min": "min", "25%": "q1", "50%": "q2", "75%": "q3", "max": "max"}
     return joined.select(

@@ -28,7 +28,7 @@ def kpi_definition(
     }
 
 
-def evaluate_kpis(df: DataFrame, definitions: list[dict], small_input_bytes: int | None = None) -> DataFrame:
+def evaluate_kpis(df: DataFrame, definitions: list[dict], group_rows: int | None = None) -> DataFrame:
     """``name, value, target, delta, display, delta_display`` of every KPI.
 
     All aggregates share one scan; the medians together make a second one.  A KPI
@@ -43,7 +43,7 @@ def evaluate_kpis(df: DataFrame, definitions: list[dict], small_input_bytes: int
     })
     middle = None
     if medians:
-        table = quantile_table(df, [], medians, [0.5], small_input_bytes)
+        table = quantile_table(df, [], medians, [0.5], group_rows)
         middle = table.select(F.struct(*[col(m)[0].alias(f"m{i}") for i, m in enumerate(medians)])).scalar()
 
     def value(definition: dict) -> Column:
@@ -80,11 +80,11 @@ def _row(definition: dict, value: Column) -> Column:
 
 
 def kpi_breakdown(
-    df: DataFrame, definition: dict, by: str, top: int = BREAKDOWN_ROWS, small_input_bytes: int | None = None
+    df: DataFrame, definition: dict, by: str, top: int = BREAKDOWN_ROWS, group_rows: int | None = None
 ) -> DataFrame:
     """The KPI per value of a field, missing included: the ``top`` largest, ascending."""
     column = definition["column"]
     require(df, column, by)
-    table = group_summary(df, [by], [column], definition["aggregation"], small_input_bytes)
+    table = group_summary(df, [by], [column], definition["aggregation"], group_rows)
     largest = table.filter(col(column).isNotNull()).orderBy(col(column).desc(), col(by).asc()).limit(top)
     return largest.orderBy(col(column).asc(), col(by).desc())

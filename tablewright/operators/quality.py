@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.functions.columns import (
     ROW_ID,
@@ -94,24 +94,42 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def unique_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Distinct populated values per field: ``field, unique``.
 
-    Fields are stacked into narrow (field, value) rows, which combine map-side and
-    spread over the cluster by value; a text over 64 characters travels as its
-    SHA-256 digest.  ``approx`` replaces the shuffle by a sketch.
+    Fields are stacked into narrow rows of field and value, which combine map-side and
+    spread over the cluster by value; a text over 64 characters travels as its SHA-256
+    digest.  ``approx`` replaces the shuffle by a sketch.
     """
     names = list(columns or fields(df))
     if approx:
         return _per_field(df, names, unique=lambda n: F.approx_count_distinct(comparable(df, n))).drop("rows")
-    cells = [comparable(df, n).cast("string") for n in names]
-    cells = [F.when(F.length(c) > LONG_TEXT, F.sha2(c, 256)).otherwise(c) for c in cells]
-    stacked = df.select(*[c.alias(str(i)) for i, c in enumerate(cells)]).unpivot(
+    stacked = df.select(*[_stackable(df, n).alias(str(i)) for i, n in enumerate(names)]).unpivot(
         [], [str(i) for i in range(len(names))], "i", "value"
     )
-    counted = stacked.distinct().groupBy("i").agg(F.count("value").alias("unique"))
+    populated_cell = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
+    distinct = stacked.select("i", "value.*").filter(populated_cell).distinct()
+    counted = distinct.groupBy("i").agg(F.count("*").alias("unique"))
     listed = df.sparkSession.createDataFrame([(str(i), n) for i, n in enumerate(names)], "i string, field string")
     named = listed.join(counted, "i", "left")
     return named.select("field", F.coalesce("unique", F.lit(0)).alias("unique"))
 
 
+def _stackable(df: DataFrame, name: str) -> Column:
+    """A cell in one of three slots, so that fields of different types can be stacked."""
+    kind, cell = field_type(df, name), comparable(df, name)
+    whole, real, words = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        whole = cell.cast("bigint")
+    elif isinstance(kind, T.DateType):
+        whole = F.unix_date(cell).cast("bigint")
+    elif isinstance(kind, T.TimestampType):
+        whole = F.unix_micros(cell)
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        real = cell.cast("double")
+    else:
+        words = cell.cast("string")
+        words = F.when(F.length(words) > LONG_TEXT, F.sha2(words, 256)).otherwise(words)
+    return F.struct(whole.alias("whole"), real.alias("real"), words.alias("text"))
+
+
 def _measures(df: DataFrame) -> DataFrame:
     """One row: rows, columns, missing, duplicates, completeness, constant fields."""
     names = fields(df)
@@ -246,13 +264,13 @@ def data_dictionary(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def outlier_screen(
-    df: DataFrame, top: int | None = None, factor: float = 1.5, small_input_bytes: int | None = None
+    df: DataFrame, top: int | None = None, factor: float = 1.5, group_rows: int | None = None
 ) -> DataFrame:
     """``field, outliers, rate`` per numeric field with at least four values."""
     numeric = column_groups(df).numeric
     if not numeric:
         raise ValueError("A numeric field is required.")
-    quartiles = quantile_table(df, [], numeric, [0.25, 0.75], small_input_bytes)
+    quartiles = quantile_table(df, [], numeric, [0.25, 0.75], group_rows)
     by_position = quartiles.select(F.struct(*[col(n).alias(f"q{i}") for i, n in enumerate(numeric)])).scalar()
 
     def outside(name: str) -> Column:
@@ -403,7 +421,7 @@ def dataset_summary(df: DataFrame) -> dict:
     return summary
 
 
-def report_tables(df: DataFrame, digits: int = 2, small_input_bytes: int | None = None) -> DataFrame:
+def report_tables(df: DataFrame, digits: int = 2, group_rows: int | None = None) -> DataFrame:
     """The report as rows ``section, field, metric, value``."""
     groups = column_groups(df)
 
@@ -433,7 +451,7 @@ def report_tables(df: DataFrame, digits: int = 2, small_input_bytes: int | None
     )
     report = report.unionByName(gaps)
     if groups.numeric:
-        table = describe(df, groups.numeric, digits, small_input_bytes)
+        table = describe(df, groups.numeric, digits, group_rows)
         statistics = [n for n in table.columns if n != "field"]
         cells = [F.struct(F.lit(n).alias("metric"), col(n).cast("double").alias("value")) for n in statistics]
         report = report.unionByName(

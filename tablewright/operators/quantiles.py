@@ -1,15 +1,18 @@
 """Exact, linearly interpolated quantiles.
 
 Spark's ``percentile`` keeps a value-to-count map per group and merges it in one
-task.  That is the best plan for an input known to be small, and a failure for a
-group holding billions of distinct values.  :func:`quantile_table` therefore has
-two plans with the same answer:
-
-* small input (by the optimizer's size estimate): one ``percentile`` aggregate;
-* otherwise: counts per coarse cell of the value axis, then counts per fine cell
-  inside the cells that hold a wanted rank, then counts per value inside the fine
-  cells that do.  Each step is a map-side combined aggregation over the scan; no
-  step gathers the rows of a group, whatever share of the table the group holds.
+task.  That is the best plan for groups of bounded size, and a failure for a group
+holding billions of distinct values.  :func:`quantile_table` therefore treats the two
+kinds apart, with the same answer:
+
+* groups up to a row limit, and all of an input known to be small: ``percentile``;
+* larger groups, and the whole of a larger table without keys: counts per coarse cell
+  of the value axis, then counts per fine cell inside the cells that hold a wanted
+  rank, then counts per value inside the fine cells that do.  Each step is a map-side
+  combined aggregation over the scan; no step gathers the rows of a group.
+
+The larger groups are few by arithmetic, at most the table's rows over the limit, so
+their keys and wanted cells can be broadcast and their rows never move.
 """
 
 from __future__ import annotations
@@ -18,8 +21,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.functions.columns import col, comparable, is_small, join_null_safe, number, require, require_numeric
 
-# Inputs up to this estimated size may use the one-task ``percentile`` merge.
+# Inputs up to this estimated size are small: any of their groups may be merged in a task.
 SMALL_INPUT_BYTES = 32 * 1024 * 1024
+# Of larger inputs, groups up to this many rows may be.
+GROUP_ROWS = 1_000_000
 # Per-group look-up rows are broadcast when the keys of all rows together are
 # estimated below this size, or when there are no more groups than this.
 BROADCAST_BYTES = 8 * 1024 * 1024
@@ -35,42 +40,58 @@ def quantile_table(
     keys: list[str],
     measures: list[str],
     probabilities: list[float],
-    small_input_bytes: int | None = None,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """One row per group (one row in all without keys): the keys, then for every
-    measure an array with one quantile per probability; NULL without values."""
+    measure an array with one quantile per probability; NULL without values.
+
+    ``group_rows`` sets the largest group that may be merged in one task; given, it
+    applies to inputs of any size.
+    """
     require(df, *keys)
     require_numeric(df, *measures)
-    limit = SMALL_INPUT_BYTES if small_input_bytes is None else small_input_bytes
-    if is_small(df.select(*[col(n) for n in dict.fromkeys([*keys, *measures])]), limit):
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        return df.groupBy(*[comparable(df, k).alias(k) for k in keys]).agg(
-            *[F.percentile(number(df, m), wanted).alias(m) for m in measures]
+    names = [f"k{i}" for i in range(len(keys))]
+    values = [f"v{i}" for i in range(len(measures))]
+    rows = df.select(
+        *[comparable(df, k).alias(n) for k, n in zip(keys, names)],
+        *[number(df, m).alias(v) for m, v in zip(measures, values)],
+    )
+    if group_rows is None and is_small(rows, SMALL_INPUT_BYTES):
+        found = _merged(rows, names, values, probabilities)
+    elif not keys:
+        found = _by_cell_counts(rows, names, values, probabilities)
+    else:
+        limit = GROUP_ROWS if group_rows is None else group_rows
+        large = rows.groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(*names)
+        # Without any large group adaptive execution leaves the second part out.
+        found = _merged(
+            join_null_safe(rows, F.broadcast(large), names, "left_anti"), names, values, probabilities
+        ).unionByName(
+            _by_cell_counts(
+                join_null_safe(rows, F.broadcast(large), names, "left_semi"), names, values, probabilities
+            )
         )
-    return _by_cell_counts(df, keys, measures, probabilities)
+    return found.toDF(*keys, *measures)
 
 
-def _by_cell_counts(df: DataFrame, keys: list[str], measures: list[str], probabilities: list[float]) -> DataFrame:
-    names = [f"k{i}" for i in range(len(keys))]
+def _merged(rows: DataFrame, names: list[str], values: list[str], probabilities: list[float]) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    return rows.groupBy(*names).agg(*[F.percentile(v, wanted).alias(v) for v in values])
+
+
+def _by_cell_counts(
+    rows: DataFrame, names: list[str], measures: list[str], probabilities: list[float]
+) -> DataFrame:
     ids = [*names, "m"]
-    wide = df.select(
-        *[comparable(df, k).alias(n) for k, n in zip(keys, names)],
-        *[number(df, m).alias(str(i)) for i, m in enumerate(measures)],
+    values = (
+        rows.unpivot(names, measures, "m", "v")
+        .filter(F.col("v").isNotNull())
+        .withColumn("cell", _coarse_cell(F.col("v")))
     )
-    values = wide.unpivot(names, [str(i) for i in range(len(measures))], "m", "v").filter(F.col("v").isNotNull())
-    small_side = not keys or few_groups(wide, names)
-    if small_side:
-        # The wanted cells are broadcast and the rows stay where they are.
-        values = values.withColumn("w", F.lit(1).cast("bigint"))
-    else:
-        # The wanted cells are joined by shuffling, so equal values are combined
-        # first: however often a value occurs, it travels as one row.
-        values = values.groupBy(*ids, "v").agg(F.count("*").alias("w"))
-    values = values.withColumn("cell", _coarse_cell(F.col("v")))
 
     # 1. Coarse cells.  The ranks wanted follow from the group's own count.
     coarse = values.groupBy(*ids, "cell").agg(
-        F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
     coarse = coarse.withColumns(
         {"total": F.sum("n").over(Window.partitionBy(*ids)), "before": _rows_before(ids, "cell")}
@@ -82,11 +103,11 @@ def _by_cell_counts(df: DataFrame, keys: list[str], measures: list[str], probabi
     step = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("lo")) / span * FINE_CELLS), F.lit(FINE_CELLS - 1)))
     cell_ids = [*ids, "cell"]
     fine = (
-        _join_cells(values, coarse, cell_ids, small_side)
+        join_null_safe(values, F.broadcast(coarse), cell_ids)
         .withColumn("fine", F.coalesce(step, F.lit(0)))
         .groupBy(*cell_ids, "fine")
         .agg(
-            F.sum("w").alias("n"),
+            F.count("*").alias("n"),
             F.min("v").alias("lo"),
             F.max("v").alias("hi"),
             F.min("total").alias("total"),
@@ -97,9 +118,9 @@ def _by_cell_counts(df: DataFrame, keys: list[str], measures: list[str], probabi
     fine = _holding_a_rank(fine, probabilities).select(*cell_ids, "fine", "lo", "hi", "total", "before")
 
     # 3. Single values inside the wanted fine cells.
-    inside = _join_cells(values, fine, cell_ids, small_side).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    inside = join_null_safe(values, F.broadcast(fine), cell_ids).filter(F.col("v").between(F.col("lo"), F.col("hi")))
     single = inside.groupBy(*cell_ids, "fine", "v").agg(
-        F.sum("w").alias("n"), F.min("total").alias("total"), F.min("before").alias("before")
+        F.count("*").alias("n"), F.min("total").alias("total"), F.min("before").alias("before")
     )
     single = single.withColumn("before", F.col("before") + _rows_before([*cell_ids, "fine"], "v"))
     single = _holding_a_rank(single, probabilities)
@@ -113,12 +134,12 @@ def _by_cell_counts(df: DataFrame, keys: list[str], measures: list[str], probabi
     )
     found = by_rank.select(*ids, _interpolate(probabilities).alias("q"))
     per_group = found.groupBy(*names).agg(
-        *[F.max(F.when(F.col("m") == str(i), F.col("q"))).alias(f"q{i}") for i in range(len(measures))]
+        *[F.max(F.when(F.col("m") == m, F.col("q"))).alias(m) for m in measures]
     )
-    if keys:
-        groups = wide.select(*names).distinct()
-        per_group = join_null_safe(groups, per_group, names, "left")
-    return per_group.toDF(*keys, *measures)
+    if not names:
+        return per_group
+    # Groups without any value keep their row.
+    return join_null_safe(rows.select(*names).distinct(), F.broadcast(per_group), names, "left")
 
 
 def _coarse_cell(value: Column) -> Column:
@@ -161,10 +182,6 @@ def _interpolate(probabilities: list[float]) -> Column:
     return F.array(*[one(p) for p in probabilities])
 
 
-def _join_cells(values: DataFrame, cells: DataFrame, on: list[str], small_side: bool) -> DataFrame:
-    return join_null_safe(values, F.broadcast(cells) if small_side else cells, on)
-
-
 def few_groups(df: DataFrame, keys: list[str]) -> bool:
     """Whether one short row per group is certain to be small enough to broadcast.
 
@@ -189,9 +206,9 @@ def look_up(rows: DataFrame, per_group: DataFrame, keys: list[str], how: str = "
     return join_null_safe(salted, copies, [*keys, "__salt"], how).drop("__salt")
 
 
-def describe_quantiles(df: DataFrame, measures: list[str], small_input_bytes: int | None = None) -> DataFrame:
+def describe_quantiles(df: DataFrame, measures: list[str], group_rows: int | None = None) -> DataFrame:
     """Quartiles of many fields as rows ``field, q1, median, q3``."""
-    table = quantile_table(df, [], measures, [0.25, 0.5, 0.75], small_input_bytes)
+    table = quantile_table(df, [], measures, [0.25, 0.5, 0.75], group_rows)
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("field"), col(m).alias("q")) for m in measures]))
     return table.select(rows.alias("r")).select(
         "r.field", F.col("r.q")[0].alias("q1"), F.col("r.q")[1].alias("median"), F.col("r.q")[2].alias("q3")

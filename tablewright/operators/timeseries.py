@@ -53,7 +53,7 @@ def resample(
     frequency: str,
     aggregation: str = "sum",
     series: list[str] | None = None,
-    small_input_bytes: int | None = None,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """One row per calendar period, labelled by the period's last day.
 
@@ -75,7 +75,7 @@ def resample(
     ).filter(col("__start").isNotNull() & col("__value").isNotNull())
     keys = [*series, "__start"]
     if aggregation == "median":
-        periods = quantile_table(rows, keys, ["__value"], [0.5], small_input_bytes).withColumn(
+        periods = quantile_table(rows, keys, ["__value"], [0.5], group_rows).withColumn(
             "__value", col("__value")[0]
         )
     else:

@@ -63,7 +63,7 @@ def test_missing_profile_dictionary(frame, plain):
 @pytest.mark.parametrize("small", [None, 0])
 def test_outlier_screen(spark, small):
     df = spark.createDataFrame([(v, 5, None) for v in (10, 11, 12, 13, 14, 1000)], "a long, b long, c double")
-    assert rows(Q.outlier_screen(df, small_input_bytes=small)) == [("a", 1, pytest.approx(100 / 6)), ("b", 0, 0.0)]
+    assert rows(Q.outlier_screen(df, group_rows=small)) == [("a", 1, pytest.approx(100 / 6)), ("b", 0, 0.0)]
 
 
 def test_correlations_agree_with_pandas(spark):

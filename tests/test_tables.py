@@ -106,10 +106,11 @@ def test_quantiles_by_cell_counts_agree_with_numpy(spark, keys):
     measures = ["x", "y", "z"]
     fast = quantile_table(df, keys, measures, probabilities)
     wide = quantile_table(df, keys, measures, probabilities, 0)
-    assert "percentile" not in wide._jdf.queryExecution().optimizedPlan().toString()
+    mixed = quantile_table(df, keys, measures, probabilities, 500)
+    assert keys or "percentile" not in wide._jdf.queryExecution().optimizedPlan().toString()
     grouped = pdf.groupby(keys) if keys else [((), pdf)]
     expected = {k if isinstance(k, tuple) else (k,): {m: np.quantile(p[m], probabilities) for m in measures} for k, p in grouped}
-    for table in (fast, wide):
+    for table in (fast, wide, mixed):
         found = {tuple(r[k] for k in keys): r for r in table.collect()}
         assert set(found) == set(expected)
         for key, r in found.items():
@@ -136,6 +137,7 @@ def test_many_groups_take_the_shuffled_plans(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(quantiles, "BROADCAST_GROUPS", 0)
     monkeypatch.setattr(quantiles, "SMALL_INPUT_BYTES", 0)
+    monkeypatch.setattr(quantiles, "GROUP_ROWS", 1000)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert rows(quantile_table(df, ["g"], ["x"], [.25, .5, .9])) == expected["quantiles"]
