@@ -11,8 +11,9 @@ kinds apart, with the same answer:
   rank, then counts per value inside the fine cells that do.  Each step is a map-side
   combined aggregation over the scan; no step gathers the rows of a group.
 
-The larger groups are few by arithmetic, at most the table's rows over the limit, so
-their keys and wanted cells can be broadcast and their rows never move.
+The larger groups are usually few.  They are counted, and if they are, their keys and
+wanted cells are broadcast and their rows never move; otherwise both are joined by
+shuffling, after salting the rows and combining equal values.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from tablewright.functions.columns import col, comparable, is_small, join_null_s
 # Inputs up to this estimated size are small: any of their groups may be merged in a task.
 SMALL_INPUT_BYTES = 32 * 1024 * 1024
 # Of larger inputs, groups up to this many rows may be.
-GROUP_ROWS = 1_000_000
+GROUP_ROWS = 100_000
 # Per-group look-up rows are broadcast when the keys of all rows together are
 # estimated below this size, or when there are no more groups than this.
 BROADCAST_BYTES = 8 * 1024 * 1024
-BROADCAST_GROUPS = 20_000
+BROADCAST_GROUPS = 5_000
 # Parts a group is split into when its look-up row cannot be broadcast.
 SALTS = 64
 FINE_CELLS = 2**20
@@ -62,14 +63,13 @@ def quantile_table(
         found = _by_cell_counts(rows, names, values, probabilities)
     else:
         limit = GROUP_ROWS if group_rows is None else group_rows
-        large = rows.groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(*names)
+        large = rows.groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+        large = large.select(*names, F.lit(True).alias("large"))
+        few = large.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+        marked = look_up(rows, large, names, "left", few)
         # Without any large group adaptive execution leaves the second part out.
-        found = _merged(
-            join_null_safe(rows, F.broadcast(large), names, "left_anti"), names, values, probabilities
-        ).unionByName(
-            _by_cell_counts(
-                join_null_safe(rows, F.broadcast(large), names, "left_semi"), names, values, probabilities
-            )
+        found = _merged(marked.filter(F.col("large").isNull()), names, values, probabilities).unionByName(
+            _by_cell_counts(marked.filter("large").drop("large"), names, values, probabilities, few)
         )
     return found.toDF(*keys, *measures)
 
@@ -80,18 +80,20 @@ def _merged(rows: DataFrame, names: list[str], values: list[str], probabilities:
 
 
 def _by_cell_counts(
-    rows: DataFrame, names: list[str], measures: list[str], probabilities: list[float]
+    rows: DataFrame, names: list[str], measures: list[str], probabilities: list[float], few: bool = True
 ) -> DataFrame:
     ids = [*names, "m"]
-    values = (
-        rows.unpivot(names, measures, "m", "v")
-        .filter(F.col("v").isNotNull())
-        .withColumn("cell", _coarse_cell(F.col("v")))
-    )
+    values = rows.unpivot(names, measures, "m", "v").filter(F.col("v").isNotNull())
+    if few:
+        values = values.withColumn("w", F.lit(1).cast("bigint"))
+    else:
+        # However often a value occurs, it travels to the join as one row.
+        values = values.groupBy(*ids, "v").agg(F.count("*").alias("w"))
+    values = values.withColumn("cell", _coarse_cell(F.col("v")))
 
     # 1. Coarse cells.  The ranks wanted follow from the group's own count.
     coarse = values.groupBy(*ids, "cell").agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
     coarse = coarse.withColumns(
         {"total": F.sum("n").over(Window.partitionBy(*ids)), "before": _rows_before(ids, "cell")}
@@ -103,11 +105,11 @@ def _by_cell_counts(
     step = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("lo")) / span * FINE_CELLS), F.lit(FINE_CELLS - 1)))
     cell_ids = [*ids, "cell"]
     fine = (
-        join_null_safe(values, F.broadcast(coarse), cell_ids)
+        _join_cells(values, coarse, cell_ids, few)
         .withColumn("fine", F.coalesce(step, F.lit(0)))
         .groupBy(*cell_ids, "fine")
         .agg(
-            F.count("*").alias("n"),
+            F.sum("w").alias("n"),
             F.min("v").alias("lo"),
             F.max("v").alias("hi"),
             F.min("total").alias("total"),
@@ -118,9 +120,9 @@ def _by_cell_counts(
     fine = _holding_a_rank(fine, probabilities).select(*cell_ids, "fine", "lo", "hi", "total", "before")
 
     # 3. Single values inside the wanted fine cells.
-    inside = join_null_safe(values, F.broadcast(fine), cell_ids).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    inside = _join_cells(values, fine, cell_ids, few).filter(F.col("v").between(F.col("lo"), F.col("hi")))
     single = inside.groupBy(*cell_ids, "fine", "v").agg(
-        F.count("*").alias("n"), F.min("total").alias("total"), F.min("before").alias("before")
+        F.sum("w").alias("n"), F.min("total").alias("total"), F.min("before").alias("before")
     )
     single = single.withColumn("before", F.col("before") + _rows_before([*cell_ids, "fine"], "v"))
     single = _holding_a_rank(single, probabilities)
@@ -139,7 +141,11 @@ def _by_cell_counts(
     if not names:
         return per_group
     # Groups without any value keep their row.
-    return join_null_safe(rows.select(*names).distinct(), F.broadcast(per_group), names, "left")
+    return _join_cells(rows.select(*names).distinct(), per_group, names, few, "left")
+
+
+def _join_cells(rows: DataFrame, side: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
+    return join_null_safe(rows, F.broadcast(side) if few else side, on, how)
 
 
 def _coarse_cell(value: Column) -> Column:
@@ -192,14 +198,16 @@ def few_groups(df: DataFrame, keys: list[str]) -> bool:
     return is_small(groups, BROADCAST_BYTES) or groups.distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
 
 
-def look_up(rows: DataFrame, per_group: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def look_up(
+    rows: DataFrame, per_group: DataFrame, keys: list[str], how: str = "inner", few: bool | None = None
+) -> DataFrame:
     """Join one look-up row per group to the rows of the groups, inner or left.
 
     With few groups the look-up is broadcast.  With many, every group is split into
     salted parts and its look-up row copied to each, so that a group holding a large
-    share of the rows is joined by many tasks.
+    share of the rows is joined by many tasks.  ``few`` tells when the caller knows.
     """
-    if few_groups(rows, keys):
+    if few_groups(rows, keys) if few is None else few:
         return join_null_safe(rows, F.broadcast(per_group), keys, how)
     salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     copies = per_group.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))

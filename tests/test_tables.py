@@ -135,9 +135,11 @@ def test_many_groups_take_the_shuffled_plans(spark, monkeypatch):
         "share": rows(G.share_of_total(df, "g", "x").select("g", "x", F.round("Share", 9))),
     }
     monkeypatch.setattr(quantiles, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(quantiles, "BROADCAST_GROUPS", 0)
     monkeypatch.setattr(quantiles, "SMALL_INPUT_BYTES", 0)
     monkeypatch.setattr(quantiles, "GROUP_ROWS", 1000)
+    # The one large group is broadcast.
+    assert rows(quantile_table(df, ["g"], ["x"], [.25, .5, .9])) == expected["quantiles"]
+    monkeypatch.setattr(quantiles, "BROADCAST_GROUPS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert rows(quantile_table(df, ["g"], ["x"], [.25, .5, .9])) == expected["quantiles"]
