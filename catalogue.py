@@ -896,6 +896,12 @@ def _(spark, sf_dir):
     return replay_recipe(table(spark, sf_dir, "customer"), steps, {"nation": table(spark, sf_dir, "nation")})[0]
 
 
+@query("recipe_segments")
+def _(spark, sf_dir):
+    steps = [operation_record("segment", "Segment customers", {"columns": ["c_acctbal", "c_nationkey"], "clusters": 3})]
+    return replay_recipe(table(spark, sf_dir, "customer"), steps)[0]
+
+
 # --- Files --------------------------------------------------------------------
 
 

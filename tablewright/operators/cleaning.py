@@ -50,7 +50,13 @@ def _median(df: DataFrame, column: str) -> Column:
     return quantile_table(df, [], [column], [0.5]).select(col(column)[0]).scalar()
 
 
-_REPLACEMENTS = {"Mean": _mean, "Median": _median, "Mode": lambda df, column: F.lit(mode_value(df, column))}
+def _mode(df: DataFrame, column: str) -> Column:
+    value = mode_value(df, column)
+    # A date goes back as text: a Python time literal would pass through a time zone.
+    return F.lit(str(value)).cast(field_type(df, column)) if is_date(df, column) else F.lit(value)
+
+
+_REPLACEMENTS = {"Mean": _mean, "Median": _median, "Mode": _mode}
 
 
 def _fill(df: DataFrame, column: str, replacement: Column) -> DataFrame:

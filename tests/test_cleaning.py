@@ -45,6 +45,14 @@ def test_mode_tie_takes_the_smallest(spark):
     assert treat_missing(df, "x", "Mode").filter("x = 'a'").count() == 3
 
 
+def test_mode_of_dates_and_flags(spark):
+    df = spark.sql("select * from values (timestamp_ntz'2025-01-01 10:00:00.5', true), (timestamp_ntz'2025-01-01 10:00:00.5', null), "
+                   "(null, true), (timestamp_ntz'2024-01-01 00:00:00', false) as t(t, b)")
+    filled = treat_missing(treat_missing(df, "t", "Mode"), "b", "Mode")
+    assert filled.dtypes == df.dtypes
+    assert filled.filter("t = timestamp_ntz'2025-01-01 10:00:00.5'").count() == 3 and filled.filter("b").count() == 3
+
+
 def test_deduplicate(frame, plain):
     assert deduplicate(frame).count() == 5
     assert deduplicate(plain, []).count() == 5
