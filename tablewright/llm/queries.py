@@ -3,19 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewright.llm import near_dedup
+import corpus_pipeline
+from tablewright.llm import mixing, near_dedup, quality, secrets, sentencepiece_scan
+from tablewright.llm.oracles import ORACLES as SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_weighted_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    turns = mixing.schedule(docs)
+    turns = turns.withColumn("row", F.struct("row.doc_id"))
+    return mixing.taken_words(turns).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encoded(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", "ids", "round_trip")
+
+
+def op5_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.judged(docs).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] < 3)
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return secrets.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "row.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"),
+    )
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_weighted_fair_mixing": op2_weighted_fair_mixing,
+    "op3_sentencepiece_scan": op3_sentencepiece_scan,
+    "op5_divergence_quality": op5_divergence_quality,
+    "op9_entropy_secrets": op9_entropy_secrets,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {name: sql for name, sql in SQL.items() if name in QUERIES}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
