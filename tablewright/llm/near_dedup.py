@@ -148,15 +148,6 @@ def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["key", "id", "head"])
 
 
-def _all_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) of each document in every table."""
-    for ids, bands in (_batch(part) for batch in batches for part in _parts(batch)):
-        keys = _cells(ids, bands)
-        yield pa.record_batch(
-            [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, keys.shape[1]))], ["key", "id"]
-        )
-
-
 def _links(classes: DataFrame) -> DataFrame:
     """Distinct (id, head): every class with the smaller leaders of its buckets."""
     rows = classes.select("rep", "bands").mapInArrow(_table_rows, "key long, id long, head long")
@@ -244,7 +235,8 @@ def near_duplicates(
 
     apart = settle(_labelled(links, labels).select("own_label", "head_label"), "apart")
     if not apart.isEmpty():
-        certain = certain.unionByName(_confirmed(_across(classes, labels, apart, links), sets, percent))
+        more = _across(sets, labels, apart, percent).join(links, ["id", "head"], "left_anti")
+        certain = certain.unionByName(_confirmed(more, sets, percent))
         labels = settle(components(certain.select(F.col("id").alias("a"), F.col("head").alias("b"))), "labels")
 
     found = classes.select("digest", "rep").join(
@@ -260,25 +252,38 @@ def near_duplicates(
     )
 
 
-def _across(classes: DataFrame, labels: DataFrame, apart: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs that share a bucket but not a component, among components with such links."""
+def _across(sets: DataFrame, labels: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs that can be similar enough and join two components, among those with open links.
+
+    Shingles are put in order of their number of documents, rare ones first.  Two similar
+    sets share one among the first few of either, and what is behind the first common one
+    must suffice for the overlap.  A copy that was edited too much to be linked begins with
+    shingles of its own, so it meets nothing, however large the group that it stems from.
+    """
     touched = apart.select(F.col("own_label").alias("label")).unionByName(
         apart.select(F.col("head_label").alias("label"))
     ).distinct()
-    of = labels.select(F.col("node").alias("rep"), "component")
+    of = labels.select(F.col("node").alias("id"), "component")
     members = (
-        classes.select("rep", "bands").join(of, "rep", "left")
-        .withColumn("label", F.coalesce("component", "rep")).join(touched, "label", "left_semi")
+        sets.join(of, "id", "left").withColumn("label", F.coalesce("component", "id"))
+        .join(touched, "label", "left_semi").select("id", "label", F.size("shingles").alias("n"), "shingles")
     )
-    owners = settle(members.select(F.col("rep").alias("id"), "label"), "owners")
-    buckets = members.select("rep", "bands").mapInArrow(_all_rows, "key long, id long").join(owners, "id")
-    mixed_buckets = buckets.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    buckets = settle(
-        buckets.join(mixed_buckets.where("least < most").select("key"), "key", "left_semi"), "buckets"
+    rows = settle(members.select("id", "label", "n", F.explode("shingles").alias("shingle")), "members")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("documents"))
+    ordered = rows.join(shared, "shingle").groupBy("id", "label", "n").agg(
+        F.sort_array(F.collect_list(F.struct("documents", "shingle"))).alias("ordered"))
+    few = F.expr(f"slice(ordered, 1, n - ({percent} * n + 99) div 100 + 1)")
+    firsts = settle(
+        ordered.select("id", "label", "n", F.posexplode(few).alias("at", "entry")).where("entry.documents > 1")
+        .select(F.col("entry.shingle").alias("shingle"), "id", "label", "n", "at"),
+        "firsts",
     )
-    other = buckets.select("key", F.col("id").alias("head"), F.col("label").alias("other"))
-    pairs = buckets.join(other, "key").where("label <> other and head < id").select("id", "head").distinct()
-    return pairs.join(links, ["id", "head"], "left_anti")
+    other = firsts.select("shingle", F.col("id").alias("head"), F.col("label").alias("head_label"),
+                          F.col("n").alias("m"), F.col("at").alias("head_at"))
+    return firsts.join(other, "shingle").where(
+        f"""head < id and label <> head_label and 100 * n >= {percent} * m and 100 * m >= {percent} * n
+        and {100 + percent} * least(n - at, m - head_at) >= {percent} * (n + m)"""
+    ).select("id", "head").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
