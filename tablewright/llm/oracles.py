@@ -48,21 +48,21 @@ def quality_sql() -> str:
     share = "list_transform({0}, lambda x: x / greatest(list_sum({0}), 1))"
     return rf"""
 WITH words AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
-parts AS (SELECT *, regexp_replace(t, '[\p{{L}}\p{{M}}]+', '', 'g') AS rest, list_transform(w, lambda x: lower(x)) AS lowered,
+parts AS (SELECT *, regexp_replace(t, {_quoted(quality.LETTERS)}, '', 'g') AS rest, list_transform(w, lambda x: lower(x)) AS lowered,
                  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM words),
 counted AS (SELECT *, [{", ".join(classes)}] AS c, [{", ".join(commons)}] AS f FROM parts),
 measured AS (SELECT *, list_concat([len(t) - len(rest)], c, [len(rest) - list_sum(c)]) AS chars,
                     list_concat(f, [len(w) - list_sum(f)]) AS commons FROM counted),
 sums AS (SELECT lang, {summed("chars", len(classes) + 2)} AS c, {summed("commons", len(commons) + 1)} AS f
-         FROM measured WHERE len(w) >= {quality.MIN_WORDS} AND lang IN ({languages}) GROUP BY lang),
+         FROM measured WHERE len(w) >= {quality.MIN_WORDS} AND 100 * chars[4] <= {quality.REFERENCE_SYMBOL_PERCENT} * len(t) AND lang IN ({languages}) GROUP BY lang),
 learned AS (SELECT {share.format("c")} AS qc, {share.format("f")} AS qf FROM sums),
 starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {quality.WINDOW_WORDS - 2})) AS i FROM words),
 windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + {quality.WINDOW_WORDS - 1}], ' ')) AS n
             FROM starts),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range({quality.WINDOW_WORDS}) r(k)
             WHERE n > 1 GROUP BY doc_id),
-based AS (SELECT m.doc_id, len(w)::BIGINT AS n_words, (len(t) - chars[3])::BIGINT AS word_chars,
-                 chars[5]::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+based AS (SELECT m.doc_id, len(w)::BIGINT AS n_words, (len(t) - chars[2])::BIGINT AS word_chars,
+                 chars[4]::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
                  coalesce(n, 0)::BIGINT AS n_repeat_words, len(t) AS n_chars,
                  {share.format("chars")} AS pc, {share.format("commons")} AS pf
           FROM measured m LEFT JOIN covered USING (doc_id)),
@@ -137,9 +137,25 @@ least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)"""
 
 
+def substring_dedup_sql(window: int = 20) -> str:
+    return rf"""
+WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {window - 2})) AS i FROM words),
+numbered AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + {window - 1}], ' ')
+                                                  ORDER BY doc_id, i) AS turn FROM starts),
+covered AS (SELECT DISTINCT doc_id, i + k AS at FROM numbered, range({window}) r(k) WHERE turn > 1),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM words),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS text
+         FROM placed p WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.doc_id = p.doc_id AND c.at = p.at) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)"""
+
+
 ORACLES = {
     "op2_weighted_fair_mixing": mixing_sql(),
     "op5_divergence_quality": quality_sql(),
+    "op7_rolling_substring_dedup": substring_dedup_sql(),
     "op9_entropy_secrets": secrets_sql(),
     "op10_minhash_near_dedup": near_dedup_sql(),
 }

@@ -30,15 +30,18 @@ COMMON_WORDS = {
     "es": ("de", "la", "que", "el", "los", "del", "las", "por", "con", "para"),
     "fr": ("le", "la", "et", "les", "des", "est", "dans", "pour", "que", "une"),
 }
-#: Character classes apart from letters; what is in none is "other".
+#: Letters and digits are one class: numbers in a short text are no sign of poor quality.
+LETTERS = r"[\p{L}\p{M}\p{Nd}]+"
+#: Character classes apart from letters; what is in none is "other".
 CLASSES = {
-    "digit": r"[0-9]+",
     "space": SPACES,
     "sentence": r"[.,;:!?'\"()-]+",
     "symbol": r"[#*$%&|<>]+",
 }
-MAX_CHAR_DISTANCE = 0.2
-MAX_WORD_DISTANCE = 0.7
+MAX_CHAR_DISTANCE = 0.15
+MAX_WORD_DISTANCE = 0.3
+#: Documents with a larger share of symbols do not shape the references.
+REFERENCE_SYMBOL_PERCENT = 2
 GUARD_CHARS = 200
 GUARD_WORDS = 50
 
@@ -67,7 +70,7 @@ def _histograms(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFra
     def occurring(word: str) -> Column:
         return F.size(F.filter("found", lambda w: F.lower(w) == word))
 
-    rows = rows.withColumn("rest", F.regexp_replace("text", r"[\p{L}\p{M}]+", ""))
+    rows = rows.withColumn("rest", F.regexp_replace("text", LETTERS, ""))
     rows = rows.withColumn("words", F.filter(F.split("text", SPACES), lambda w: w != ""))
     rows = rows.withColumns({
         "n_words": F.size("words").cast("long"),
@@ -109,14 +112,16 @@ def references(
 ) -> list[tuple[list[float], list[float]]]:
     """Shares of character classes and of common words of each language in ``common``.
 
-    One pair for each language that documents of at least 20 words have, or one pair over
-    all documents where none has; at most ``len(common)`` rows reach the driver.
+    Summed over documents of at least 20 words and at most 2 % symbols: one pair for each
+    language that such documents have, or one pair over all of them where none has.  At
+    most ``len(common) + 1`` rows reach the driver.
     """
     vocabulary = _vocabulary(common)
     known = F.when(F.col("lang").isin(sorted(common)), F.col("lang"))
     sums = [F.sum(F.get("chars", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES) + 2)]
     sums += [F.sum(F.get("commons", F.lit(k))).alias(f"w{k}") for k in range(len(vocabulary) + 1)]
-    measured = _histograms(_rows(docs, text_col, lang_col), common).where(F.col("n_words") >= MIN_WORDS)
+    few = 100 * F.get("chars", F.lit(3)) <= REFERENCE_SYMBOL_PERCENT * F.col("n_chars")
+    measured = _histograms(_rows(docs, text_col, lang_col), common).where((F.col("n_words") >= MIN_WORDS) & few)
     found = measured.groupBy(known.alias("lang")).agg(*sums).orderBy("lang").collect()
     named = [row for row in found if row["lang"] is not None] or found
 
@@ -177,8 +182,8 @@ def judged(
     rows = _repeat_words(_histograms(_rows(docs, text_col, lang_col), common))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("lines", lines).withColumns({
-        "word_chars": F.col("n_chars") - F.get("chars", F.lit(2)),
-        "n_symbols": F.get("chars", F.lit(4)),
+        "word_chars": F.col("n_chars") - F.get("chars", F.lit(1)),
+        "n_symbols": F.get("chars", F.lit(3)),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "base_failed": (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),

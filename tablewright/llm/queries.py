@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablewright.llm import mixing, near_dedup, quality, secrets, sentencepiece_scan
+from tablewright.llm import mixing, near_dedup, quality, secrets, sentencepiece_scan, substring_dedup
 from tablewright.llm.oracles import ORACLES as SQL
 
 
@@ -32,6 +32,12 @@ def op5_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_rolling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("intervals", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return substring_dedup.without_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] < 3)
@@ -50,6 +56,7 @@ QUERIES = {
     "op2_weighted_fair_mixing": op2_weighted_fair_mixing,
     "op3_sentencepiece_scan": op3_sentencepiece_scan,
     "op5_divergence_quality": op5_divergence_quality,
+    "op7_rolling_substring_dedup": op7_rolling_substring_dedup,
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "pipeline": corpus_pipeline.run,

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,33 +31,30 @@ WINDOW = 20
 #: Text whose windows one counting task holds, about; the number of ranges is a power of two.
 RANGE_BYTES = 4 << 20
 #: Text of a block: what is resolved before the shuffle.
-PACK_BYTES = 24 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+PACK_BYTES = 12 << 20
+_BASE = 0x9E3779B97F4A7C15
 
 _WORDS = WordHashes()
 
 
 def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp: the sum of hash[i + k] * base ** (width - 1 - k), modulo 2 ** 64, for every i."""
+    """Rabin-Karp: the sum of hash[i + k] * base ** (width - 1 - k), modulo 2 ** 64, for every i.
+
+    Windows of a power of two words come from pairs of half their size; those that make up
+    ``width`` are joined, so a window costs a few multiplications whatever its width.
+    """
     if len(hashes) < width:
         return np.empty(0, np.uint64)
-    total, span = None, 0
-    doubled, size = hashes, 1  # windows of ``size`` words, by doubling
-    power = _BASE
-    bits = width
-    while bits:
-        if bits & 1:
-            if total is None:
-                total, span = doubled, size
-            else:
-                count = len(hashes) - span - size + 1
-                total = total[:count] * power + doubled[span : span + count]
-                span += size
-        bits >>= 1
-        if bits:
-            count = len(doubled) - size
-            doubled = doubled[:count] * power + doubled[size : size + count]
-            size, power = size * 2, power * power
+    total, span = np.zeros(len(hashes) + 1, np.uint64), 0
+    doubled, size, power = hashes, 1, _BASE
+    while size <= width:
+        if width & size:
+            count = len(hashes) - span - size + 1
+            total = total[:count] * np.uint64(power) + doubled[span : span + count]
+            span += size
+        count = max(len(doubled) - size, 0)
+        doubled = doubled[:count] * np.uint64(power) + doubled[size : size + count]
+        size, power = size * 2, power * power % 2**64
     return total
 
 
@@ -111,7 +109,7 @@ def _position_lists(lists: list[np.ndarray]) -> pa.ListArray:
 
 
 def _windows(texts: DataFrame, window: int, range_bits: int) -> DataFrame:
-    """(range, packed, id, starts): packed windows of a range, or starts known to be repeated."""
+    """(range, packed, id, starts): packed windows of a range, or starts known to be repeated (in any range)."""
     width = 8 - range_bits // 8
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +136,7 @@ def _windows(texts: DataFrame, window: int, range_bits: int) -> DataFrame:
         known, starts = _by_document(owners[again], positions[again])
         fresh = ~again
         owners, positions, hashes = owners[fresh], positions[fresh], hashes[fresh]
-        ranges = (hashes >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(hashes), np.int64)
+        ranges = (hashes >> np.uint64(64 - range_bits)).astype(np.int64)
         order = np.argsort(ranges, kind="stable")
         cuts = np.searchsorted(ranges[order], np.arange((1 << range_bits) + 1))
         numbers, packed = [], []
@@ -154,8 +152,7 @@ def _windows(texts: DataFrame, window: int, range_bits: int) -> DataFrame:
             pa.nulls(len(numbers), pa.int64()), pa.nulls(len(numbers), pa.list_(pa.int32())),
         ], ["range", "packed", "id", "starts"])
         yield pa.record_batch([
-            pa.array(mixed(np.arange(len(known), dtype=np.uint64)).view(np.int64) >> 1 | (1 << 62)) if len(known)
-            else pa.array([], pa.int64()),
+            pa.array(np.arange(len(known), dtype=np.int64) % (1 << range_bits)),
             pa.nulls(len(known), pa.binary()), pa.array(ids[known], pa.int64()), _position_lists(starts),
         ], ["range", "packed", "id", "starts"])
 
@@ -168,7 +165,7 @@ def _repeated(range_bits: int):
 
     def work(table: pa.Table) -> pa.Table:
         # Rows that only pass through have no packed windows.
-        passing = table.filter(pa.compute.is_null(table["packed"])).select(["id", "starts"])
+        passing = table.filter(pc.is_null(table["packed"])).select(["id", "starts"])
         packed = [_unpack(data, width) for data in table["packed"].drop_null().to_pylist()]
         if not packed:
             return passing
