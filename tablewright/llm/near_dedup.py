@@ -40,6 +40,10 @@ SIMILARITY_PERCENT = 80
 SHINGLE_WORDS = 2
 KEYS = 14
 VALUES = 3
+#: Documents whose buckets are merged before the shuffle.
+BLOCK_ROWS = 4096
+#: A bucket of so many documents may hold a pair that neither is the smallest of.
+CROWD = 3
 
 _WORDS = WordHashes()
 
@@ -115,44 +119,64 @@ def _cells(ids: np.ndarray, bands: np.ndarray) -> np.ndarray:
     return mixed(left ^ mixed(right + np.uint64(0x51ED270B))).reshape(len(ids), half * half)
 
 
-def _batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _block(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = batch.column(0).to_numpy(zero_copy_only=False)
-    bands = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+    sizes = batch.column(1).to_numpy(zero_copy_only=False)
+    bands = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
     order = np.argsort(ids, kind="stable")
-    return ids[order], bands[order]
-
-
-def _parts(batch: pa.RecordBatch, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+    return ids[order], sizes[order], bands[order]
 
 
 def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, null) of the smallest document of each bucket in a block; (any, id, smallest) of the others."""
-    for ids, bands in (_batch(part) for batch in batches for part in _parts(batch)):
+    """Of each bucket in a block: its smallest document with its key, and the others with that document.
+
+    held is the number of documents a row stands for; rows that bring their head along are
+    known to be linked and get a key of their own.
+    """
+    parts = (batch.slice(start, BLOCK_ROWS) for batch in batches for start in range(0, batch.num_rows, BLOCK_ROWS))
+    for ids, sizes, bands in map(_block, parts):
         keys = _cells(ids, bands).ravel()
         owners = np.repeat(np.arange(len(ids)), keys.size // len(ids))
         order = np.argsort(keys, kind="stable")
         keys, owners = keys[order], owners[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        head = owners[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-        pairs = np.unique(np.stack([owners[~first], head[~first]]), axis=1)
-        pairs = pairs[:, ids[pairs[0]] != ids[pairs[1]]]
-        member, leader = ids[pairs[0]], ids[pairs[1]]
-        spread = mixed(member.view(np.uint64) ^ mixed(leader.view(np.uint64)))
-        yield pa.record_batch([
-            pa.array(np.concatenate([keys[first], spread]).view(np.int64)),
-            pa.array(np.concatenate([ids[owners[first]], member])),
-            pa.array(np.concatenate([np.zeros(first.sum(), np.int64), leader]),
-                     mask=np.concatenate([np.ones(first.sum(), bool), np.zeros(len(leader), bool)])),
-        ], ["key", "id", "head"])
-
-
-def _links(classes: DataFrame) -> DataFrame:
-    """Distinct (id, head): every class with the smaller leaders of its buckets."""
-    rows = classes.select("rep", "bands").mapInArrow(_table_rows, "key long, id long, head long")
-    leader = F.coalesce("head", F.min("id").over(Window.partitionBy("key")))
-    return rows.select("id", leader.alias("head")).where("head < id").distinct()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        held = np.diff(first, append=len(keys))
+        head = np.repeat(owners[first], held)
+        pairs = np.unique(np.stack([owners, head])[:, owners != head], axis=1)
+        member, leader = pairs[:, ids[pairs[0]] != ids[pairs[1]]]
+        spread = mixed(ids[member].view(np.uint64) ^ mixed(ids[leader].view(np.uint64)))
+        known = np.repeat([False, True], [len(first), len(member)])
+        alone = np.zeros(len(first), np.int64)
+        columns = [
+            (np.concatenate([keys[first], spread]).view(np.int64), None),
+            (ids[np.concatenate([owners[first], member])], None),
+            (sizes[np.concatenate([owners[first], member])], None),
+            (np.concatenate([held, np.full(len(member), CROWD)]), None),
+            (np.concatenate([alone, ids[leader]]), ~known),
+            (np.concatenate([alone, sizes[leader]]), ~known),
+        ]
+        yield pa.record_batch(
+            [pa.array(values, pa.int64(), mask=mask) for values, mask in columns],
+            ["key", "id", "n", "held", "head", "m"],
+        )
+
+
+def _links(classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (id, head, fits, crowded): every class with the smaller leaders of its buckets.
+
+    fits: the sizes allow the similarity; crowded: a bucket of both holds a third document.
+    """
+    columns = ("key", "id", "n", "held", "head", "m")
+    rows = classes.select("rep", "n", "bands").mapInArrow(_table_rows, ", ".join(f"{c} long" for c in columns))
+    bucket = Window.partitionBy("key")
+    least = F.min(F.struct("id", "n")).over(bucket)
+    return (
+        rows.withColumns({"least": least, "crowded": F.sum("held").over(bucket) >= CROWD})
+        .select("id", "n", "crowded", F.coalesce("head", "least.id").alias("head"), F.coalesce("m", "least.n").alias("m"))
+        .where("head < id").groupBy("id", "head")
+        .agg(F.min(F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")).alias("fits"),
+             F.max("crowded").alias("crowded"))
+    )
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,22 +242,26 @@ def near_duplicates(
     rows = settle(signatures(shaped, id_col, text_col, width, keys, values), "signatures")
     classes = settle(
         rows.where("n_shingles > 0 and id is not null")
-        .groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")),
+        .groupBy("digest")
+        .agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "classes",
     )
-    links = settle(_links(classes), "links")
-    nearest = settle(links.groupBy("id").agg(F.min("head").alias("head")), "nearest")
-    involved = links.select("id").unionByName(links.select(F.col("head").alias("id"))).distinct()
+    links = settle(_links(classes, percent), "links")
+    fitting = links.where("fits").select("id", "head")
+    nearest = settle(fitting.groupBy("id").agg(F.min("head").alias("head")), "nearest")
+    wanted = links.where("fits or crowded")
+    involved = wanted.select("id").unionByName(wanted.select(F.col("head").alias("id"))).distinct()
     sets = settle(_sets(shaped, involved, id_col, text_col, width), "sets")
 
     certain = settle(_confirmed(nearest, sets, percent), "confirmed")
     labels = components(certain.select(F.col("id").alias("a"), F.col("head").alias("b")))
-    rest = links.join(nearest, ["id", "head"], "left_anti")
+    rest = fitting.join(nearest, ["id", "head"], "left_anti")
     open_links = _labelled(rest, labels).select("id", "head")
     certain = settle(certain.unionByName(_confirmed(open_links, sets, percent)), "confirmed")
     labels = settle(components(certain.select(F.col("id").alias("a"), F.col("head").alias("b"))), "labels")
 
-    apart = settle(_labelled(links, labels).select("own_label", "head_label"), "apart")
+    crowded = links.where("crowded").select("id", "head")
+    apart = settle(_labelled(crowded, labels).select("own_label", "head_label"), "apart")
     if not apart.isEmpty():
         more = _across(sets, labels, apart, percent).join(links, ["id", "head"], "left_anti")
         certain = certain.unionByName(_confirmed(more, sets, percent))

@@ -143,10 +143,10 @@ WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
 starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {window - 2})) AS i FROM words),
 numbered AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + {window - 1}], ' ')
                                                   ORDER BY doc_id, i) AS turn FROM starts),
-covered AS (SELECT DISTINCT doc_id, i + k AS at FROM numbered, range({window}) r(k) WHERE turn > 1),
-placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM words),
-kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS text
-         FROM placed p WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.doc_id = p.doc_id AND c.at = p.at) GROUP BY doc_id)
+covered AS (SELECT DISTINCT doc_id, i + k AS pos FROM numbered, range({window}) r(k) WHERE turn > 1),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+         FROM placed p WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.doc_id = p.doc_id AND c.pos = p.pos) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
        sha256(coalesce(text, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)"""

@@ -118,11 +118,13 @@ def references(
     """
     vocabulary = _vocabulary(common)
     known = F.when(F.col("lang").isin(sorted(common)), F.col("lang"))
-    sums = [F.sum(F.get("chars", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES) + 2)]
-    sums += [F.sum(F.get("commons", F.lit(k))).alias(f"w{k}") for k in range(len(vocabulary) + 1)]
     few = 100 * F.get("chars", F.lit(3)) <= REFERENCE_SYMBOL_PERCENT * F.col("n_chars")
-    measured = _histograms(_rows(docs, text_col, lang_col), common).where((F.col("n_words") >= MIN_WORDS) & few)
-    found = measured.groupBy(known.alias("lang")).agg(*sums).orderBy("lang").collect()
+    # Left out inside the sums: a filter would be moved below the histograms and take a copy of them along.
+    shaping = lambda counts, k: F.sum(F.when((F.col("n_words") >= MIN_WORDS) & few, F.get(counts, F.lit(k))))
+    sums = [shaping("chars", k).alias(f"c{k}") for k in range(len(CLASSES) + 2)]
+    sums += [shaping("commons", k).alias(f"w{k}") for k in range(len(vocabulary) + 1)]
+    measured = _histograms(_rows(docs, text_col, lang_col), common)
+    found = measured.groupBy(known.alias("lang")).agg(*sums).where("c0 is not null").orderBy("lang").collect()
     named = [row for row in found if row["lang"] is not None] or found
 
     def shares(row, letter: str, count: int) -> list[float]:
@@ -205,4 +207,7 @@ def judged(
 
 def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns they came with."""
-    return judged(docs, text_col, lang_col).where("kept").select("row.*")
+    # A filter on plain expressions would be moved below them, with copies of them all;
+    # it stays where it is above a column that is not deterministic.
+    rows = judged(docs, text_col, lang_col).withColumn("at", F.monotonically_increasing_id())
+    return rows.where(F.col("kept") & (F.col("at") >= 0)).select("row.*")
