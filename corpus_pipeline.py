@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import common, mixing, near_dedup, quality, secrets, sentencepiece_scan
+from tablewright.llm import common, mixing, near_dedup, quality, secret_scan, sentencepiece_scan
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in the text masked; n_chars follows the text."""
-    return secrets.masked(docs, count_col="n_chars")
+    return secret_scan.masked(docs, count_col="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

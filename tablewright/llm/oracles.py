@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import quality, secrets
+from tablewright.llm import quality, secret_scan
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -87,14 +87,14 @@ def secrets_sql() -> str:
           FROM (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM {name}_cut)),
 {name} AS (SELECT doc_id, a, a + len(found) AS e, found FROM {name}_at WHERE {wanted})"""
 
-    allowed = " AND ".join(f"NOT regexp_matches(found, {_quoted(p)})" for p in secrets.ALLOWED)
-    w = secrets.WINDOW
+    allowed = " AND ".join(f"NOT regexp_matches(found, {_quoted(p)})" for p in secret_scan.ALLOWED)
+    w = secret_scan.WINDOW
     return rf"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-{matches("assign", secrets.ASSIGN, f"len(regexp_extract(found, {_quoted(secrets.ASSIGN)}, 2)) >= {secrets.ASSIGN_VALUE}")},
-{matches("access", secrets.ACCESS, "true")},
-{matches("hex", secrets.HEX, "true")},
-{matches("candidate", secrets.CANDIDATE, f"regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]') AND {allowed}")},
+{matches("assign", secret_scan.ASSIGN, f"len(regexp_extract(found, {_quoted(secret_scan.ASSIGN)}, 2)) >= {secret_scan.ASSIGN_VALUE}")},
+{matches("access", secret_scan.ACCESS, "true")},
+{matches("hex", secret_scan.HEX, "true")},
+{matches("candidate", secret_scan.CANDIDATE, f"regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]') AND {allowed}")},
 base AS (SELECT doc_id, a, e, 0 AS k FROM assign UNION ALL SELECT doc_id, a, e, 1 FROM access
          UNION ALL SELECT doc_id, a, e, 2 FROM hex),
 slides AS (SELECT doc_id, a, found, unnest(range(1, len(found) - {w - 2})) AS i FROM candidate),
@@ -102,14 +102,14 @@ entropies AS (SELECT doc_id, a, i, found, list_sum(list_transform(list_distinct(
                  lambda c: -(({w} - len(replace(substr(found, i, {w}), c, ''))) / {w}.0)
                       * log2(({w} - len(replace(substr(found, i, {w}), c, ''))) / {w}.0))) AS h FROM slides),
 hot AS (SELECT doc_id, a, i FROM entropies
-        WHERE h >= CASE WHEN regexp_matches(found, '^([0-9a-f]+|[0-9A-F]+)$') THEN {secrets.HEX_BITS} ELSE {secrets.BASE64_BITS} END),
+        WHERE h >= CASE WHEN regexp_matches(found, '^([0-9a-f]+|[0-9A-F]+)$') THEN {secret_scan.HEX_BITS} ELSE {secret_scan.BASE64_BITS} END),
 gaps AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, a ORDER BY i) <= {w} THEN 0 ELSE 1 END AS fresh FROM hot),
 islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, a ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM gaps),
 dense AS (SELECT doc_id, a + min(i) - 1 AS s, a + max(i) - 1 + {w} AS e FROM islands GROUP BY doc_id, a, island),
 spans AS (SELECT * FROM base UNION ALL
           SELECT doc_id, s, e, 3 FROM dense d WHERE NOT EXISTS (
               SELECT 1 FROM base b WHERE b.doc_id = d.doc_id AND b.a <= d.s AND d.e <= b.e)),
-named AS (SELECT *, {list(secrets.KINDS)}[k + 1] || ':' || a || ':' || e AS said FROM spans),
+named AS (SELECT *, {list(secret_scan.KINDS)}[k + 1] || ':' || a || ':' || e AS said FROM spans),
 listed AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
                   count(*) FILTER (k = 2) AS n_hex, string_agg(said, ',' ORDER BY a, k) FILTER (k < 3) AS based,
                   string_agg(said, ',' ORDER BY a, k) AS said FROM named GROUP BY doc_id)
@@ -137,6 +137,17 @@ least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)"""
 
 
+def warc_sql(least_bytes: int = 1000) -> str:
+    return f"""
+WITH payloads AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+                  FROM pages),
+largest AS (SELECT payload_digest, max(page_id) AS origin FROM payloads WHERE payload_bytes >= {least_bytes} GROUP BY 1),
+placed AS (SELECT p.*, CASE WHEN origin > page_id THEN origin END AS refers_to FROM payloads p
+           LEFT JOIN largest l ON p.payload_digest = l.payload_digest AND payload_bytes >= {least_bytes})
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       refers_to FROM placed"""
+
+
 def substring_dedup_sql(window: int = 20) -> str:
     return rf"""
 WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
@@ -154,6 +165,7 @@ FROM words LEFT JOIN kept USING (doc_id)"""
 
 ORACLES = {
     "op2_weighted_fair_mixing": mixing_sql(),
+    "op4_seekable_warc": warc_sql(),
     "op5_divergence_quality": quality_sql(),
     "op7_rolling_substring_dedup": substring_dedup_sql(),
     "op9_entropy_secrets": secrets_sql(),
