@@ -3,8 +3,8 @@
 For every node of a page's element tree the characters per tag are computed, with the
 characters inside links held against it; the densities of a node's children are summed,
 and the subtree with the largest sum is the main text.  The smallest density on the way
-from that subtree to the body is the threshold: the choice widens to a parent as long as
-the parent is as dense, and to the article that encloses it.  Parts that are no text of
+from that subtree to the body is the threshold: the choice widens to a parent as long as all
+of the parent's other parts reach it, and to the article that encloses it.  Parts that are no text of
 the page's author (menus, adverts, forms, comments of readers and so on) count nothing
 and are left out of the result.
 
@@ -189,7 +189,8 @@ def main_node(root: Node) -> Node:
         path = path[: path.index(body) + 1]
     threshold = min(n.density for n in path)
     for node in path[1:]:
-        if node is body or node.density <= threshold:
+        others = [c for c in node.children if isinstance(c, Node) and c is not best and not c.noise and c.chars]
+        if node is body or any(c.density < threshold for c in others):
             break
         best = node
     enclosing = [n for n in path if n.tag in ARTICLE_TAGS]
