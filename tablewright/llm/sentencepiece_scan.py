@@ -6,8 +6,8 @@ themselves.  So the encoding is the best path of a lattice whose edges weigh 0 w
 neighbours agree and minus infinity where they do not; exactly one path of weight 0 spans
 the text.
 
-A document of ordinary length is encoded where it is, word by word, for no piece holds a
-space after another character.  A giant one is cut into chunks at fixed distances:
+A document of ordinary length is encoded where it is, by the library.  A giant one is cut
+into chunks at fixed distances:
 
 1. every chunk yields its transfer matrix: which state at its left boundary leads to which
    state at its right one (a state is the piece that ends at or reaches over the boundary);
@@ -15,14 +15,15 @@ space after another character.  A giant one is cut into chunks at fixed distance
    document, which gives the one state at every boundary that lies on the path;
 3. with both states known, every chunk traces its own pieces, independently of the others.
 
-Matrices hold the entries of weight 0 only, as a map from left to right states.
+No piece holds a space after another character, so between the first and the last begin
+of a word a chunk's pieces don't depend on its boundaries; the lattice is walked at the
+boundaries, or throughout where a chunk has no such place.  Matrices hold the entries of weight 0 only, as a map from left to right states.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,15 +38,14 @@ from tablewright.llm.common import as_bytes, blocks, settle
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of more characters are encoded in chunks of CHUNK_CHARS.
-GIANT_CHARS = 20_000
-CHUNK_CHARS = 5_000
+GIANT_CHARS = 40_000
+CHUNK_CHARS = 10_000
 #: Matrices multiplied by one task before those of a document meet.
 BLOCK_PARTS = 64
-#: Words and pairs remembered by a worker before it starts anew.
+#: Pieces and pairs remembered by a worker before it starts anew.
 REMEMBERED = 300_000
 
 SPACE = "▁"
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 _EDGE = 0  # the state before the first and after the last character
 
 
@@ -73,20 +73,19 @@ class Pieces:
         self.scores = {name: self.model.get_score(i) for i, name in enumerate(names) if plain[i]}
         self.longest = max(map(len, self.ids))
         if any(SPACE in name.lstrip(SPACE) for name in self.ids):
-            raise ValueError("a piece holds a space after another character: words can't be encoded alone")
+            raise ValueError("a piece holds a space after another character: words can't be told apart")
         self.byte = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.spelled = [
             bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(SPACE, " ").encode() if plain[i] else b""
             for i, n in enumerate(names)
         ]
         self.spelled[self.model.unk_id()] = " ⁇ ".encode()
-        self.words = _Memo(self._word)
         self.agrees = _Memo(lambda pair: self._merged(pair[0] + pair[1]) == list(pair))
         self.stands = _Memo(lambda piece: self._merged(piece) == [piece])
 
-    def _word(self, segment: str) -> tuple[int, ...]:
-        # The library puts a space of its own before a text.
-        return tuple(self.model.encode(segment[1:])) if len(segment) > 1 else self.of(segment)
+    def words(self, y: str) -> list[int]:
+        """Ids of whole words; ``y`` begins with the sign of a space, as the library does by itself."""
+        return self.model.encode(y[1:]) if len(y) > 1 else list(itertools.chain.from_iterable(map(self.of, y)))
 
     def of(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece, or of the bytes of a character that the vocabulary lacks."""
@@ -105,15 +104,6 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
-            segments = _SEGMENT.findall(SPACE + text.replace(" ", SPACE))
-        else:
-            segments = [SPACE + word for word in text.split(" ")]
-        return list(itertools.chain.from_iterable(map(self.words.__getitem__, segments)))
-
     def decode(self, ids: list[int]) -> bytes:
         text = b"".join(map(self.spelled.__getitem__, ids))
         return text[1:] if text[:1] == b" " else text
@@ -211,9 +201,7 @@ class Chunk:
             return self._spell(start, before, self._exits(start, before)[until])
         tail = self._tail()
         ids = self._spell(start, before, stop)
-        for segment in _SEGMENT.findall(self.z[stop:tail]):
-            ids.extend(self.pieces.words[segment])
-        return ids + self._spell(tail, None, self._exits(tail, None)[until])
+        return ids + self.pieces.words(self.z[stop:tail]) + self._spell(tail, None, self._exits(tail, None)[until])
 
     def _spell(self, start: int, before: str | None, end: int) -> list[int]:
         if start == end:
@@ -301,7 +289,7 @@ def encoded(
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for start, stop in blocks(texts):
-                found = [pieces.encode(t.decode()) for t in texts[start:stop]]
+                found = pieces.model.encode([t.decode() for t in texts[start:stop]], num_threads=1)
                 fits = [pieces.decode(ids) == t for ids, t in zip(found, texts[start:stop])]
                 yield pa.record_batch(
                     [batch.column(0).slice(start, stop - start), _lists(found), pa.array(fits)],
