@@ -10,7 +10,8 @@ a block of documents into ranges of hashes and ships, for each range, one binary
 the low bytes of the hashes and differences of positions (about 8 bytes a window).  Inside
 a block only the first window of a hash goes on, the others are known to be repeated.  So
 a passage shared by a third of all documents reaches the task that counts it once a block.
-A range is a bounded share of the windows: their number follows the size of the texts.
+Repeated windows travel on to their documents in the same form.  A range is a bounded
+share of the windows: their number follows the size of the texts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ WINDOW = 20
 #: Text whose windows one counting task holds, about; the number of ranges is a power of two.
 RANGE_BYTES = 4 << 20
 #: Text of a block: what is resolved before the shuffle.
-PACK_BYTES = 12 << 20
+PACK_BYTES = 8 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 _WORDS = WordHashes()
@@ -92,94 +92,93 @@ def _unpack(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.repeat(ids, counts), sums - np.repeat(sums[starts] - steps[starts], counts), hashes
 
 
-def _by_document(owners: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Positions grouped by owner, ascending."""
-    if not len(owners):
-        return owners, []
-    order = np.lexsort((positions, owners))
-    owners, positions = owners[order], positions[order]
-    cut = np.flatnonzero(owners[1:] != owners[:-1]) + 1
-    return owners[np.concatenate([[0], cut])], np.split(positions, cut)
-
-
-def _position_lists(lists: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-    values = np.concatenate(lists).astype(np.int32) if lists else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(offsets, pa.array(values))
+def _packed_by(groups: np.ndarray, ids: np.ndarray, positions: np.ndarray, hashes: np.ndarray, width: int):
+    """(group, packed windows) of each group; windows come in order of (id, position) or get it."""
+    order = np.lexsort((positions, ids, groups))
+    groups, ids, positions, hashes = groups[order], ids[order], positions[order], hashes[order]
+    cuts = np.concatenate([[0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]])
+    for start, stop in zip(cuts, cuts[1:]):
+        if start < stop:
+            own = ids[start:stop]
+            first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+            counts = np.diff(first, append=len(own))
+            yield int(groups[start]), _pack(own[first], counts, hashes[start:stop], positions[start:stop], width)
 
 
 def _windows(texts: DataFrame, window: int, range_bits: int) -> DataFrame:
-    """(range, packed, id, starts): packed windows of a range, or starts known to be repeated (in any range)."""
+    """(range, packed, known): windows of a range of hashes; windows known to be repeated, in any range."""
     width = 8 - range_bits // 8
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in batches:
             all_ids = batch.column(0).to_numpy(zero_copy_only=False)
             all_texts = as_bytes(batch.column(1))
             for begin, stop in blocks(all_texts, PACK_BYTES):
-                order = begin + np.argsort(all_ids[begin:stop], kind="stable")
-                ids, owners, positions, hashes = all_ids[order], [], [], []
-                for k, at in enumerate(order):
+                turn += 1
+                ids, positions, hashes = [], [], []
+                for at in begin + np.argsort(all_ids[begin:stop], kind="stable"):
                     rolled = _rolled(_WORDS.of(all_texts[at].split()), window)
                     hashes.append(rolled)
-                    owners.append(np.full(len(rolled), k, np.uint32))
+                    ids.append(np.full(len(rolled), all_ids[at]))
                     positions.append(np.arange(len(rolled), dtype=np.uint32))
-                yield from _ship(ids, *map(np.concatenate, (owners, positions, hashes)))
+                yield _sorted_out(*map(np.concatenate, (ids, positions, hashes)), turn)
 
-    def _ship(ids, owners, positions, hashes) -> Iterator[pa.RecordBatch]:
+    def _sorted_out(ids, positions, hashes, turn) -> pa.RecordBatch:
         hashes = mixed(hashes)
         order = np.argsort(hashes, kind="stable")
         ordered = hashes[order]
         again = np.zeros(len(hashes), bool)
         again[order[1:]] = ordered[1:] == ordered[:-1]
         del order, ordered
-        known, starts = _by_document(owners[again], positions[again])
         fresh = ~again
-        owners, positions, hashes = owners[fresh], positions[fresh], hashes[fresh]
-        ranges = (hashes >> np.uint64(64 - range_bits)).astype(np.int64)
-        order = np.argsort(ranges, kind="stable")
-        cuts = np.searchsorted(ranges[order], np.arange((1 << range_bits) + 1))
-        numbers, packed = [], []
-        for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a == b:
-                continue
-            rows = order[a:b]
-            own, first, counts = np.unique(owners[rows], return_index=True, return_counts=True)
-            numbers.append(number)
-            packed.append(_pack(ids[own], counts, hashes[rows], positions[rows], width))
-        yield pa.record_batch([
-            pa.array(numbers, pa.int64()), pa.array(packed, pa.binary()),
-            pa.nulls(len(numbers), pa.int64()), pa.nulls(len(numbers), pa.list_(pa.int32())),
-        ], ["range", "packed", "id", "starts"])
-        yield pa.record_batch([
-            pa.array(np.arange(len(known), dtype=np.int64) % (1 << range_bits)),
-            pa.nulls(len(known), pa.binary()), pa.array(ids[known], pa.int64()), _position_lists(starts),
-        ], ["range", "packed", "id", "starts"])
-
-    return texts.mapInArrow(work, "range long, packed binary, id long, starts array<int>")
-
-
-def _repeated(range_bits: int):
-    """Counts the windows of one range: the starts of all but the earliest window of each hash."""
+        ranges = (hashes[fresh] >> np.uint64(64 - range_bits)).astype(np.int64)
+        rows = [(k, data, None) for k, data in _packed_by(ranges, ids[fresh], positions[fresh], hashes[fresh], width)]
+        somewhere = np.full(again.sum(), turn % (1 << range_bits))
+        rows += [(k, None, data) for k, data in _packed_by(somewhere, ids[again], positions[again], hashes[again], 0)]
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        return pa.record_batch(
+            [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], ["range", "packed", "known"])
+
+    return texts.mapInArrow(work, "range long, packed binary, known binary")
+
+
+def _all_of(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [_unpack(data, width) for data in column.drop_null().to_pylist()]
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else none
+
+
+def _repeated(range_bits: int, target_bits: int):
+    """Counts the windows of one range; all but the earliest of a hash go on, packed by targets of ids."""
     width = 8 - range_bits // 8
 
     def work(table: pa.Table) -> pa.Table:
-        # Rows that only pass through have no packed windows.
-        passing = table.filter(pc.is_null(table["packed"])).select(["id", "starts"])
-        packed = [_unpack(data, width) for data in table["packed"].drop_null().to_pylist()]
-        if not packed:
-            return passing
-        ids, positions, hashes = map(np.concatenate, zip(*packed))
+        ids, positions, hashes = _all_of(table["packed"], width)
         order = np.lexsort((positions, ids, hashes))
         ordered = hashes[order]
         later = order[1:][ordered[1:] == ordered[:-1]]
-        owners, starts = _by_document(ids[later], positions[later])
-        found = pa.table([pa.array(owners, pa.int64()), _position_lists(starts)], ["id", "starts"])
-        return pa.concat_tables([found.cast(passing.schema), passing])
+        known = _all_of(table["known"], 0)
+        ids, positions = np.concatenate([ids[later], known[0]]), np.concatenate([positions[later], known[1]])
+        targets = (mixed(ids.view(np.uint64)) >> np.uint64(64 - target_bits)).astype(np.int64)
+        rows = list(_packed_by(targets, ids, positions, np.zeros(len(ids), np.uint64), 0))
+        return pa.table([pa.array([k for k, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.binary())],
+                        ["target", "packed"])
 
     return work
 
 
+def _starts(table: pa.Table) -> pa.Table:
+    """(id, starts) of the documents of one target."""
+    ids, positions, _ = _all_of(table["packed"], 0)
+    order = np.lexsort((positions, ids))
+    ids, positions = ids[order], positions[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    offsets = pa.array(np.append(first, len(ids)), pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, pa.array(positions, pa.int32()))
+    return pa.table([pa.array(ids[first], pa.int64()), lists], ["id", "starts"])
+
+
 def _covered(starts: list[int], window: int) -> list[list[int]]:
     """Maximal word intervals [begin, end) that the windows cover."""
     spans: list[list[int]] = []
@@ -201,9 +200,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     range_bits = max(6, int(size // RANGE_BYTES).bit_length())
+    target_bits = range_bits - 3
     found = _windows(texts, window, range_bits).groupBy("range").applyInArrow(
-        _repeated(range_bits), "id long, starts array<int>")
-    return found.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        _repeated(range_bits, target_bits), "target long, packed binary")
+    return found.groupBy("target").applyInArrow(_starts, "id long, starts array<int>")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
