@@ -12,6 +12,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablewright.functions.storage import shared_folder
 from tablewright.operators import charts, cleaning, filtering, grouping, hypothesis_tests, kpis, quality, timeseries
 from tablewright.operators.anomalies import detect_anomalies, top_anomalies
 from tablewright.operators.forecasting import forecast_series
@@ -163,6 +164,14 @@ def _(spark, sf_dir):
     return cleaning.convert_type(orders, "placed", "Date/time").withColumn("placed", F.to_date("placed"))
 
 
+@query("convert_date_ambiguous", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS placed FROM orders")
+def _(spark, sf_dir):
+    # The leading rows, of early days in a month, read day first and month first.
+    written = F.date_format("o_orderdate", "dd/MM/yyyy")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", written.alias("placed")).orderBy(F.dayofmonth("o_orderdate"))
+    return cleaning.convert_type(orders, "placed", "Date/time").withColumn("placed", F.to_date("placed"))
+
+
 @query("convert_text", "SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS o_totalprice FROM orders")
 def _(spark, sf_dir):
     return cleaning.convert_type(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "Text")
@@ -608,6 +617,17 @@ def _(spark, sf_dir):
     return report.withColumn("value", settled)
 
 
+@query("dataset_summary", ORACLES["report_tables"]
+       + " UNION ALL SELECT 'correlation', 'user_id', 'value', round(corr(user_id, value), 3) FROM e"
+       + " UNION ALL SELECT 'distinct', 'event_type', 'values', count(DISTINCT event_type) FROM e"
+       + " UNION ALL SELECT * FROM (SELECT 'top value', 'event_type', event_type, CAST(count(*) AS DOUBLE) FROM e "
+       "WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 2)")
+def _(spark, sf_dir):
+    summary = quality.dataset_summary(_narrow(spark, sf_dir), digits=6, top=2)
+    settled = F.when(F.col("section") == "numeric", F.col("value")).otherwise(F.round("value", 6))
+    return summary.withColumn("value", settled)
+
+
 # --- Chart tables -------------------------------------------------------------
 
 _BY_BRAND = "FROM (SELECT coalesce(p_brand, '(Missing)') AS p_brand, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) AS p_retailprice FROM part GROUP BY 1)"
@@ -902,6 +922,30 @@ def _(spark, sf_dir):
     return replay_recipe(table(spark, sf_dir, "customer"), steps)[0]
 
 
+_TEN_STEPS = [
+    operation_record("outliers", f"Step {k}", {"column": c, "method": "Remove rows", "factor": f})
+    for k, (c, f) in enumerate([("l_extendedprice", 0.9), ("l_quantity", 0.5), ("l_extendedprice", 0.8), ("l_quantity", 0.4),
+                                ("l_extendedprice", 0.7), ("l_quantity", 0.3), ("l_extendedprice", 0.6), ("l_quantity", 0.2),
+                                ("l_extendedprice", 0.5), ("l_quantity", 0.1)])
+]
+
+
+def _ten_steps_sql() -> str:
+    sql = "WITH s0 AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity FROM lineitem)"
+    for k, step in enumerate(_TEN_STEPS):
+        column, factor = step["params"]["column"], step["params"]["factor"]
+        low, high = (f"(SELECT quantile_cont(CAST({column} AS DOUBLE), {q}) FROM s{k})" for q in (0.25, 0.75))
+        sql += (f", s{k + 1} AS (SELECT * FROM s{k} WHERE {column} BETWEEN {low} - {factor} * ({high} - {low}) "
+                f"AND {high} + {factor} * ({high} - {low}))")
+    return sql + " SELECT l_orderkey, l_linenumber FROM s10"
+
+
+@query("recipe_ten_steps", _ten_steps_sql())
+def _(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return replay_recipe(lines, _TEN_STEPS)[0].select("l_orderkey", "l_linenumber")
+
+
 # --- Files --------------------------------------------------------------------
 
 
@@ -909,8 +953,7 @@ def _(spark, sf_dir):
        "AS total_price, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS priority, o_orderstatus = 'O' AS open FROM orders")
 def _(spark, sf_dir):
     # The cluster's shared folder holds the written file.
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/files"
-    path = f"{shared}/orders-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
     status = F.col("o_orderstatus")
     write_csv(table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias(" Order-Key"),
@@ -920,3 +963,15 @@ def _(spark, sf_dir):
         F.when(status == "O", "True").otherwise("False").alias("Open"),
     ), path)
     return read_csv(spark, path).withColumn("order_date", F.to_date("order_date"))
+
+
+@query("csv_many_files", "SELECT o_orderkey AS order_key, o_totalprice AS total_price, o_orderpriority AS priority FROM orders")
+def _(spark, sf_dir):
+    # Two sets of files, with their fields in different orders.
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("Order-Key"), F.col("o_totalprice").cast("string").alias("Total Price"),
+        F.col("o_orderpriority").alias("priority"))
+    write_csv(orders.filter(F.col("`Order-Key`") % 2 == 0), f"{path}/even")
+    write_csv(orders.filter(F.col("`Order-Key`") % 2 != 0).select("priority", "`Order-Key`", "`Total Price`"), f"{path}/odd")
+    return read_csv(spark, f"{path}/*")

@@ -167,13 +167,26 @@ def literal_number(value) -> int | float:
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a DataFrame, or None where it cannot be read.
 
-    The optimizer derives it from file sizes and multiplies through joins and
-    expansions, so it is used only to decide whether data is certainly small.
+    The optimizer derives it from file sizes.  It does not know how far a generator or a
+    join expands its input, so plans that hold more than scans, filters, projections and
+    steps that never add rows have no estimate.
     """
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no JVM handle, as under Spark Connect
+    if not hasattr(df, "_jdf"):  # no JVM handle, as under Spark Connect
         return None
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes())) if _never_grows(plan) else None
+
+
+_BOUNDED_NODES = {
+    "LogicalRelation", "Relation", "LocalRelation", "LogicalRDD", "Range", "Project", "Filter", "Aggregate",
+    "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Window", "Union", "RepartitionByExpression", "Repartition",
+    "InMemoryRelation",
+}
+
+
+def _never_grows(plan) -> bool:
+    children = plan.children()
+    return plan.nodeName() in _BOUNDED_NODES and all(_never_grows(children.apply(i)) for i in range(children.size()))
 
 
 def is_small(df: DataFrame, limit: int) -> bool:

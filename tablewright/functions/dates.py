@@ -1,7 +1,7 @@
 """Recognising and parsing date text.
 
-One format is chosen per field from a short probe; cells in any other format
-become missing, so day-first and month-first text are never mixed in a field.
+One format is chosen per field, the one that reads most of its cells; cells in any other
+format become missing, so day-first and month-first text are never mixed in a field.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ DATE_FORMATS = (
     "yyyy-MM",
 )
 NAME_HINTS = ("date", "time", "month", "year")
-PROBE_VALUES = 200
 
 # ISO text: a date, optionally a time with fraction and zone.
 _ISO_PATTERN = (
@@ -53,18 +52,25 @@ def parse_with(column: Column, format: str) -> Column:
     return F.try_to_timestamp(cell, F.lit(format)).cast("timestamp_ntz")
 
 
-def best_format(df: DataFrame, column: str, least_share: float = 0.0) -> str | None:
-    """The format that reads most of the first populated values, the earlier one on
-    ties; None when it reads none of them or less than ``least_share``."""
+def best_formats(df: DataFrame, columns: list[str], least_share: float = 0.0) -> dict[str, str | None]:
+    """For each text field the format that reads most of its cells, the earlier one on
+    ties; None when it reads none of them or less than ``least_share``.
+
+    One aggregate over all cells serves all fields; it does not depend on their order.
+    """
     candidates = [ISO_FORMAT, *DATE_FORMATS]
-    # take() stops at the first partitions that yield enough values.
-    values = df.select(col(column).alias("v")).filter(F.col("v").isNotNull()).take(PROBE_VALUES)
-    if not values:
-        return None
-    probe = df.sparkSession.createDataFrame(values, "v string")
-    reads = probe.agg(
-        F.count("*").alias("n"), *[F.count(parse_with(F.col("v"), f)).alias(f"f{i}") for i, f in enumerate(candidates)]
-    ).first()
-    best = max(range(len(candidates)), key=lambda i: (reads[f"f{i}"], -i))
-    parsed = reads[f"f{best}"]
-    return candidates[best] if parsed and parsed >= least_share * reads["n"] else None
+    if not columns:
+        return {}
+    counts = [F.count(col(name)).alias(f"n{k}") for k, name in enumerate(columns)]
+    counts += [
+        F.count(parse_with(col(name), form)).alias(f"c{k}_{i}")
+        for k, name in enumerate(columns) for i, form in enumerate(candidates)
+    ]
+    found = df.agg(*counts).first()
+    chosen: dict[str, str | None] = {}
+    for k, name in enumerate(columns):
+        reads = [found[f"c{k}_{i}"] for i in range(len(candidates))]
+        most = max(reads)
+        usable = most > 0 and most >= least_share * found[f"n{k}"]
+        chosen[name] = candidates[reads.index(most)] if usable else None
+    return chosen

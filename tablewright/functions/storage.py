@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``, else one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the session's shared checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
-    local session without that setting gets a folder of its own.
-    """
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to the session's shared checkpoint folder and read it from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("Set spark.checkpoint.dir to a shared folder.")
-            named = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

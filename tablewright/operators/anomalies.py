@@ -67,7 +67,10 @@ def fit_forest(
     if total < LEAST_ROWS:
         raise ValueError(f"Only {total} rows hold all fields; {LEAST_ROWS} are needed.")
     size = min(total, SAMPLE_ROWS)
-    sample = sample_rows(rows, SAMPLE_ROWS, keys, seed, total).select("x", F.monotonically_increasing_id().alias("i"))
+    # Numbered by content, not by partition: the forest is the same however the table is split.
+    drawn = sample_rows(rows, SAMPLE_ROWS, keys, seed, total)
+    numbered = F.row_number().over(Window.orderBy("x", *[col(k) for k in keys])).cast("bigint")  # SAMPLE_ROWS at most
+    sample = drawn.select("x", numbered.alias("i"))
     per_tree = min(ROWS_PER_TREE, size)
     depth = max(1, math.ceil(math.log2(per_tree)))
 

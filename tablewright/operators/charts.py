@@ -26,7 +26,6 @@ from tablewright.operators.sampling import sample_rows
 RECORD_COUNT = "Record count"
 MISSING_LABEL = "(Missing)"
 POINT_LIMIT = 5000
-MAX_CORRELATION_FIELDS = 16
 MIN_BINS, MAX_BINS = 10, 80
 MAX_HIERARCHY = 3
 

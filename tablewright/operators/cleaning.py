@@ -23,7 +23,7 @@ from tablewright.functions.columns import (
     require_numeric,
     text,
 )
-from tablewright.functions.dates import best_format, parse_with
+from tablewright.functions.dates import best_formats, parse_with
 from tablewright.operators.quantiles import quantile_table
 
 
@@ -43,11 +43,20 @@ def treat_missing(df: DataFrame, column: str, method: str, value=None) -> DataFr
 
 def _mean(df: DataFrame, column: str) -> Column:
     require_numeric(df, column)
-    return df.agg(F.avg(number(df, column))).scalar()
+    return _settled(df.agg(F.avg(number(df, column)).alias("value")))
 
 
 def _median(df: DataFrame, column: str) -> Column:
-    return quantile_table(df, [], [column], [0.5]).select(col(column)[0]).scalar()
+    return _settled(quantile_table(df, [], [column], [0.5]).select(col(column)[0].alias("value")))
+
+
+def _settled(one_row: DataFrame) -> Column:
+    """The ``value`` of a one-row summary as a constant.
+
+    Read once, it keeps a chain of steps linear: a step's plan would otherwise hold a
+    copy of all steps before it for every figure that it needs.
+    """
+    return F.lit(one_row.first()["value"]).cast(one_row.schema["value"].dataType)
 
 
 def _mode(df: DataFrame, column: str) -> Column:
@@ -144,7 +153,7 @@ BOOLEAN_WORDS = {
 def convert_type(df: DataFrame, column: str, target: str, format: str | None = None) -> DataFrame:
     """Convert a field; cells that cannot be converted become missing.
 
-    ``format`` names the format of date text and saves the look at its first values.
+    ``format`` names the format of date text and saves the pass that finds it.
     """
     require(df, column)
     if target not in _CONVERSIONS:
@@ -181,7 +190,7 @@ def _to_timestamp(df: DataFrame, column: str, format: str | None) -> Column:
         return F.timestamp_micros(micros).cast("timestamp_ntz")
     if not isinstance(kind, T.StringType):
         raise ValueError(f"{column} cannot be read as a date.")
-    chosen = format or best_format(df, column)
+    chosen = format or best_formats(df, [column])[column]
     return F.lit(None).cast("timestamp_ntz") if chosen is None else parse_with(col(column), chosen)
 
 
@@ -202,8 +211,8 @@ def treat_outliers(
     require_numeric(df, column)
     if method not in ("Cap values", "Remove rows", "Replace with missing"):
         raise ValueError(f"Unsupported outlier treatment: {method}")
-    bounds = outlier_bounds(df, column, factor, group_rows).select(F.struct("lower", "upper")).scalar()
-    lower, upper = bounds.getField("lower"), bounds.getField("upper")
+    bounds = outlier_bounds(df, column, factor, group_rows).first()
+    lower, upper = F.lit(bounds["lower"]).cast("double"), F.lit(bounds["upper"]).cast("double")
     value = populated(df, column)
     inside = value.between(lower, upper)
     if method == "Remove rows":

@@ -8,6 +8,7 @@ import re
 from datetime import datetime
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.functions.columns import (
@@ -89,12 +90,14 @@ def _ordered(df: DataFrame, column: str, operator: str, value) -> Column:
     return kept & ~F.isnan(col(column)) if above and is_fractional(df, column) else kept
 
 
-def _checked_pattern(pattern: str) -> str:
+def _checked_pattern(df: DataFrame, pattern: str) -> str:
+    """The pattern, ignoring case, once Spark has accepted it on one literal row."""
+    chosen = "(?i)" + pattern
     try:
-        re.compile(pattern)
-    except re.error as problem:
-        raise ValueError(f"Not a valid search pattern: {problem}") from problem
-    return "(?i)" + pattern
+        df.sparkSession.range(1).select(F.lit("").rlike(chosen)).first()
+    except PySparkException as problem:
+        raise ValueError(f"Not a valid search pattern: {pattern}") from problem
+    return chosen
 
 
 def _matches(df: DataFrame, column: str, pattern: str) -> Column:
@@ -104,7 +107,7 @@ def _matches(df: DataFrame, column: str, pattern: str) -> Column:
 _CONDITIONS = {
     "equals": _equals,
     "not equal": lambda df, column, value: is_missing(df, column) | ~_equals(df, column, value),
-    "contains": lambda df, column, value: _matches(df, column, _checked_pattern(value)),
+    "contains": lambda df, column, value: _matches(df, column, _checked_pattern(df, value)),
     "is missing": lambda df, column, _: is_missing(df, column),
     "is populated": lambda df, column, _: ~is_missing(df, column),
 }
@@ -114,7 +117,7 @@ def search_all(df: DataFrame, query: str) -> DataFrame:
     """Keep the rows in which any field's text matches, ignoring case."""
     if not query:
         return df
-    pattern = _checked_pattern(query)
+    pattern = _checked_pattern(df, query)
     return df.filter(reduce(lambda a, b: a | b, [_matches(df, name, pattern) for name in fields(df)]))
 
 

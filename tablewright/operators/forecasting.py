@@ -27,7 +27,11 @@ def forecast_series(
     df: DataFrame, date: str, value: str, periods: int, frequency: str, series: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Return the history (``date, value``) and the forecast (``date, forecast,
-    lower, upper``), both led by the ``series`` fields if given."""
+    lower, upper``), both led by the ``series`` fields if given.
+
+    A history of fewer than six periods raises an error; among several series it has NULL
+    forecasts, and the others theirs.
+    """
     if frequency not in SEASONS:
         raise ValueError(f"Unsupported frequency: {frequency}")
     periods = int(periods)
@@ -37,8 +41,7 @@ def forecast_series(
     totals = resample(df, date, value, frequency, "sum", keys)
     history = totals.select(*[col(k) for k in keys], col(date), col(value).cast("double").alias("value"))
     lengths = history.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("n"))
-    shortest = lengths.agg(F.min("n")).first()[0]
-    if (shortest or 0) < LEAST_PERIODS:
+    if not keys and (lengths.first()["n"] or 0) < LEAST_PERIODS:
         raise ValueError(f"A forecast needs a history of {LEAST_PERIODS} periods or more.")
 
     names = [f"k{i}" for i in range(len(keys))]
@@ -54,7 +57,10 @@ def forecast_series(
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        ahead, spread = holt_winters(pdf["value"].to_numpy(dtype=float), season, periods)
+        if len(pdf) < LEAST_PERIODS:  # one of several series: a row for each period, without figures
+            ahead, spread = np.full(periods, np.nan), np.nan
+        else:
+            ahead, spread = holt_winters(pdf["value"].to_numpy(dtype=float), season, periods)
         result = pd.DataFrame({"last": pdf["t"].iloc[-1], "h": np.arange(1, periods + 1), "forecast": ahead})
         result["lower"] = ahead - RANGE_WIDTH * spread
         result["upper"] = ahead + RANGE_WIDTH * spread

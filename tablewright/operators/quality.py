@@ -34,7 +34,6 @@ from tablewright.operators.sampling import data_only
 COMPLETENESS_WEIGHT, UNIQUENESS_WEIGHT, USEFULNESS_WEIGHT = 0.55, 0.30, 0.15
 # Most distinct values a field may hold for each use.
 COLOUR_LIMIT, KPI_SPLIT_LIMIT, CHART_CATEGORY_LIMIT, TEST_GROUP_LIMIT = 20, 30, 40, 20
-MISSING_CHART_FIELDS = OUTLIER_CHART_FIELDS = 18
 # The chart families, and the numeric, categorical and date fields each needs.
 CHART_NEEDS = {
     "Column chart": (0, 1, 0),
@@ -57,7 +56,6 @@ CHART_NEEDS = {
     "Violin plot": (1, 0, 0),
 }
 EXAMPLE_LENGTH = 60
-SUMMARY_CATEGORIES = 12
 NO_EXAMPLE = "—"
 
 
@@ -104,8 +102,7 @@ def unique_counts(df: DataFrame, columns: list[str] | None = None, approx: bool
     stacked = df.select(*[_stackable(df, n).alias(str(i)) for i, n in enumerate(names)]).unpivot(
         [], [str(i) for i in range(len(names))], "i", "value"
     )
-    populated_cell = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
-    distinct = stacked.select("i", "value.*").filter(populated_cell).distinct()
+    distinct = stacked.select("i", "value.*").filter(~(F.col("whole").isNull() & F.col("real").isNull() & F.col("text").isNull() & F.col("digest").isNull())).distinct()
     counted = distinct.groupBy("i").agg(F.count("*").alias("unique"))
     listed = df.sparkSession.createDataFrame([(str(i), n) for i, n in enumerate(names)], "i string, field string")
     named = listed.join(counted, "i", "left")
@@ -113,9 +110,11 @@ def unique_counts(df: DataFrame, columns: list[str] | None = None, approx: bool
 
 
 def _stackable(df: DataFrame, name: str) -> Column:
-    """A cell in one of three slots, so that fields of different types can be stacked."""
+    """A cell in one of four slots, so that fields of different types can be stacked and a
+    long text's digest is no text."""
     kind, cell = field_type(df, name), comparable(df, name)
-    whole, real, words = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    whole, real = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    words = digest = F.lit(None).cast("string")
     if isinstance(kind, (T.IntegralType, T.BooleanType)):
         whole = cell.cast("bigint")
     elif isinstance(kind, T.DateType):
@@ -125,9 +124,9 @@ def _stackable(df: DataFrame, name: str) -> Column:
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         real = cell.cast("double")
     else:
-        words = cell.cast("string")
-        words = F.when(F.length(words) > LONG_TEXT, F.sha2(words, 256)).otherwise(words)
-    return F.struct(whole.alias("whole"), real.alias("real"), words.alias("text"))
+        short = F.length(cell.cast("string")) <= LONG_TEXT
+        words, digest = F.when(short, cell.cast("string")), F.when(~short, F.sha2(cell.cast("string"), 256))
+    return F.struct(whole.alias("whole"), real.alias("real"), words.alias("text"), digest.alias("digest"))
 
 
 def _measures(df: DataFrame) -> DataFrame:
@@ -385,40 +384,28 @@ def field_eligibility(df: DataFrame, approx: bool = False) -> DataFrame:
     return known.select("field", F.inline(F.array(*entries)))
 
 
-def dataset_summary(df: DataFrame) -> dict:
-    """The bounded profile of a table as plain Python values."""
+def dataset_summary(df: DataFrame, digits: int = 2, top: int = 5, categories: list[str] | None = None) -> DataFrame:
+    """The profile of a table as rows ``section, field, metric, value``.
+
+    The rows of :func:`report_tables`; the strongest correlations, with the other field as
+    metric; of each text field (or those in ``categories``) the number of distinct values
+    and its ``top`` values with their counts.
+    """
     groups = column_groups(df)
-    figures = _measures(df).first()
-    summary: dict = {
-        "shape": {"rows": figures["rows"], "columns": figures["columns"]},
-        "column_types": {
-            "numeric": groups.numeric,
-            "categorical": groups.categorical,
-            "datetime": groups.dates,
-        },
-        "data_quality": {
-            "missing_by_column": {r["field"]: r["missing"] for r in missing_by_field(df).collect()},
-            "duplicate_rows": figures["duplicates"],
-        },
-    }
-    if groups.numeric:
-        summary["numeric_statistics"] = {
-            r["field"]: {k: v for k, v in r.asDict().items() if k != "field"} for r in describe(df).collect()
-        }
+    summary = report_tables(df, digits)
     if len(groups.numeric) > 1:
-        summary["strongest_correlations"] = [
-            {"columns": [r["first"], r["second"]], "correlation": r["correlation"]}
-            for r in strongest_correlations(df).collect()
-        ]
-    profiles: dict = {}
-    named = groups.categorical[:SUMMARY_CATEGORIES]
-    if named:
-        for r in unique_counts(df, named).collect():
-            profiles[r["field"]] = {"unique": r["unique"], "top_values": {}}
-        for r in value_counts(df, named).orderBy("field", F.desc("count"), "value").collect():
-            profiles[r["field"]]["top_values"][r["value"]] = r["count"]
-    summary["categorical_profiles"] = {n: profiles[n] for n in named}
-    return summary
+        summary = summary.unionByName(strongest_correlations(df).select(
+            F.lit("correlation").alias("section"), F.col("first").alias("field"),
+            F.col("second").alias("metric"), F.col("correlation").cast("double").alias("value"),
+        ))
+    named = groups.categorical if categories is None else list(categories)
+    if not named:
+        return summary
+    distinct = unique_counts(df, named).select(
+        F.lit("distinct").alias("section"), "field", F.lit("values").alias("metric"), F.col("unique").cast("double").alias("value"))
+    common = value_counts(df, named, top).select(
+        F.lit("top value").alias("section"), "field", F.col("value").alias("metric"), F.col("count").cast("double").alias("value"))
+    return summary.unionByName(distinct).unionByName(common)
 
 
 def report_tables(df: DataFrame, digits: int = 2, group_rows: int | None = None) -> DataFrame:
@@ -458,46 +445,3 @@ def report_tables(df: DataFrame, digits: int = 2, group_rows: int | None = None)
             table.select(F.lit("numeric").alias("section"), "field", F.inline(F.array(*cells)))
         )
     return report
-
-
-def markdown_report(df: DataFrame, source: str) -> str:
-    """The report tables as a Markdown text."""
-    rows = report_tables(df).collect()
-
-    def of(section: str) -> list:
-        return [r for r in rows if r["section"] == section]
-
-    facts = {r["metric"]: r["value"] for r in of("overview") + of("quality")}
-    lines = ["# Dataset report", "", f"**Source:** {source}", "", "## Overview", ""]
-    lines += [f"- Rows: {facts['rows']:,.0f}", f"- Columns: {facts['columns']:,.0f}"]
-    lines += [f"- Health score: {facts['score']:.0f}/100", f"- Duplicate rows: {facts['duplicates']:,.0f}"]
-    kinds = " / ".join(f"{facts[k + ' fields']:.0f}" for k in ("numeric", "categorical", "date"))
-    lines += [f"- Numeric / categorical / date fields: {kinds}", "", "## Quality factors", ""]
-    lines += [f"- {r['metric'].capitalize()}: {r['value']:.1%}" for r in of("quality") if r["metric"] != "score"]
-    lines += ["", "## Missing values", ""]
-    gaps: dict = {}
-    for r in of("missing"):
-        gaps.setdefault(r["field"], {})[r["metric"]] = r["value"]
-    lines += [f"- {f}: {g['count']:,.0f} ({g['percent']:.1f}%)" for f, g in gaps.items()] or ["No missing values."]
-    numbers: dict = {}
-    for r in of("numeric"):
-        numbers.setdefault(r["field"], {})[r["metric"]] = r["value"]
-    if numbers:
-        heads = list(next(iter(numbers.values())))
-        lines += ["", "## Numeric summary", "", "| field | " + " | ".join(heads) + " |"]
-        lines += ["|" + " --- |" * (len(heads) + 1)]
-        for f, cells in numbers.items():
-            shown = ["" if cells[h] is None else f"{cells[h]:g}" for h in heads]
-            lines.append(f"| {f} | " + " | ".join(shown) + " |")
-    return "\n".join(lines) + "\n"
-
-
-def compact_number(value: Column) -> Column:
-    """Short display of a number with a B, M or K suffix."""
-    size = F.abs(value)
-    return (
-        F.when(size >= 1e9, F.format_string("%.1fB", value / 1e9))
-        .when(size >= 1e6, F.format_string("%.1fM", value / 1e6))
-        .when(size >= 1e3, F.format_string("%.1fK", value / 1e3))
-        .otherwise(F.format_number(value.cast("double"), 0))
-    )

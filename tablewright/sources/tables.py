@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import csv
+import functools
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablewright.functions.columns import ROW_ID, col, fields, parse_integer, parse_number
-from tablewright.functions.dates import NAME_HINTS, best_format, parse_with
+from tablewright.functions.dates import NAME_HINTS, best_formats, parse_with
 
 # Cell texts read as missing.
 MISSING_TOKENS = (
@@ -27,13 +29,16 @@ _OPENING = '(^|,)"'
 
 
 def clean_names(names: list[str]) -> list[str]:
-    """Lower-case names with underscores; blanks become ``column``, repeats get a number."""
-    cleaned, seen = [], {}
-    for raw in names:
-        name = re.sub(r"\s+", "_", str(raw).replace("-", " ").strip().lower()) or "column"
-        seen[name] = seen.get(name, 0) + 1
-        cleaned.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
-    return cleaned
+    """Lower-case words joined by underscores, ``column`` for a blank name.
+
+    A name that is taken gets the first number from 2 that makes it free, so all differ.
+    """
+    taken: dict[str, None] = {}
+    for words in (re.findall(r"[^\s-]+", str(raw).lower()) for raw in names):
+        plain = "_".join(words) or "column"
+        choices = itertools.chain([plain], (f"{plain}_{number}" for number in itertools.count(2)))
+        taken[next(choice for choice in choices if choice not in taken)] = None
+    return list(taken)
 
 
 def clean_column_names(df: DataFrame) -> DataFrame:
@@ -53,13 +58,16 @@ def read_csv(
     ``row_id`` attaches the file order as ``_row_id``.
     """
     lines = spark.read.text(path)
-    first = lines.filter(F.length(F.trim("value")) > 0).select(F.col("value").cast("binary").alias("raw")).first()
-    if first is None:
+    heads = _first_lines(lines)
+    if not heads:
         raise ValueError("The table has no rows or no fields.")
     checks = _check_lines(lines) if encoding is None else None
     if checks is not None:
         encoding = "UTF-8" if checks["undecodable"] == 0 else "ISO-8859-1"
-    header = _header(first["raw"].decode(encoding))
+    headers = [(_header(head["raw"].decode(encoding)), head["files"]) for head in heads]
+    header = headers[0][0]
+    if any(sorted(other) != sorted(header) for other, _ in headers):
+        raise ValueError("The files do not have the same fields.")
     width = len(header)
     spanning = False
     if checks is not None:
@@ -69,12 +77,20 @@ def read_csv(
         if not spanning and checks["widest"] > width:
             raise ValueError("A line holds more cells than the header.")
     names = [f"c{i}" for i in range(width)]
-    raw = (
+    source = (
         spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
         .option("header", True).option("quote", '"').option("escape", '"')
         .option("encoding", encoding).option("multiLine", spanning)
-        .csv(path)
     )
+    if len(headers) == 1:
+        raw = source.csv(path).select(*names, "_metadata")
+    else:
+        # Files whose fields come in another order are read apart and put in the first one's.
+        parts = [
+            source.csv(list(files)).select(*[F.col(f"c{other.index(cell)}").alias(n) for n, cell in zip(names, header)], "_metadata")
+            for other, files in headers
+        ]
+        raw = functools.reduce(DataFrame.unionByName, parts)
     cells = [F.when(~F.col(n).isin(*MISSING_TOKENS), F.col(n)).alias(n) for n in names]
     order = F.struct(
         F.col("_metadata.file_path").alias("file"),
@@ -86,6 +102,20 @@ def read_csv(
     return infer_datetime_columns(infer_types(table)) if infer else table
 
 
+def _first_lines(lines: DataFrame):
+    """The different first lines of the files, as bytes, each with the files that begin with it.
+
+    A file's first line is its smallest position that holds text; one row a different
+    line reaches the driver, with the names of files that Spark's listing holds anyway.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    told = lines.filter(F.length(F.trim("value")) > 0).select(
+        F.col("_metadata.file_path").alias("file"), place.alias("place"), F.col("value").cast("binary").alias("raw"))
+    firsts = told.groupBy("file").agg(F.min_by("raw", "place").alias("raw"))
+    grouped = firsts.groupBy("raw").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return sorted(grouped.collect(), key=lambda row: row["files"][0])
+
+
 def _header(line: str) -> list[str]:
     """The header cells; a blank one is named by its position, a repeat numbered."""
     names: list[str] = []
@@ -144,15 +174,13 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 def infer_datetime_columns(df: DataFrame) -> DataFrame:
     """Turn text fields named like dates into timestamps when four in five of their
-    first values parse; cells that do not parse become missing."""
-    converted = {}
-    for n in fields(df):
-        hinted = any(hint in n.lower() for hint in NAME_HINTS)
-        if hinted and isinstance(df.schema[n].dataType, T.StringType):
-            chosen = best_format(df, n, DATE_SHARE)
-            if chosen is not None:
-                converted[n] = parse_with(col(n), chosen)
-    return df.withColumns(converted) if converted else df
+    cells parse; cells that do not parse become missing."""
+    hinted = [
+        n for n in fields(df)
+        if isinstance(df.schema[n].dataType, T.StringType) and any(hint in n.lower() for hint in NAME_HINTS)
+    ]
+    chosen = best_formats(df, hinted, DATE_SHARE)
+    return df.withColumns({n: parse_with(col(n), form) for n, form in chosen.items() if form is not None})
 
 
 def read_parquet(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ def test_names():
     assert clean_names([" Net-Sales ", "net sales", "", "My\tCol  2", None, "net_sales"]) == [
         "net_sales", "net_sales_2", "column", "my_col_2", "none", "net_sales_3",
     ]
+    assert clean_names(["a", "A", "a_2", "a"]) == ["a", "a_2", "a_2_2", "a_3"]
 
 
 @pytest.fixture
@@ -110,3 +111,13 @@ def test_sinks(spark, frame, tmp_path):
     assert again.filter("revenue is null").count() == 1
     write_data_dictionary(frame, str(tmp_path / "d"))
     assert read_csv(spark, str(tmp_path / "d")).columns == ["field", "dtype", "non_null", "unique"]
+
+
+def test_files_in_another_order_of_fields(spark, tmp_path):
+    put(tmp_path, "region,revenue\nWest,1\n", "a.csv")
+    put(tmp_path, "revenue,region\n30,North\n", "b.csv")
+    df = read_csv(spark, str(tmp_path))
+    assert sorted(map(tuple, df.select("region", "revenue").collect())) == [("North", 30), ("West", 1)]
+    put(tmp_path, "revenue,place\n30,North\n", "c.csv")
+    with pytest.raises(ValueError, match="same fields"):
+        read_csv(spark, str(tmp_path))
