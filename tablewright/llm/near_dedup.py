@@ -42,6 +42,8 @@ KEYS = 14
 VALUES = 3
 #: Documents whose buckets are merged before the shuffle.
 BLOCK_ROWS = 4096
+#: Bits of the map of documents that must be compared.
+BITMAP_BITS = 1 << 24
 #: A bucket of so many documents may hold a pair that neither is the smallest of.
 CROWD = 3
 
@@ -119,22 +121,18 @@ def _cells(ids: np.ndarray, bands: np.ndarray) -> np.ndarray:
     return mixed(left ^ mixed(right + np.uint64(0x51ED270B))).reshape(len(ids), half * half)
 
 
-def _block(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     ids = batch.column(0).to_numpy(zero_copy_only=False)
-    sizes = batch.column(1).to_numpy(zero_copy_only=False)
-    bands = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+    bands = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
     order = np.argsort(ids, kind="stable")
-    return ids[order], sizes[order], bands[order]
+    return ids[order], bands[order]
 
 
 def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket in a block: its smallest document with its key, and the others with that document.
-
-    held is the number of documents a row stands for; rows that bring their head along are
-    known to be linked and get a key of their own.
-    """
+    """Of each bucket in a block: (key, smallest document, null), twice if the block holds more
+    of the bucket, and (a key of its own, document, smallest one) of the others."""
     parts = (batch.slice(start, BLOCK_ROWS) for batch in batches for start in range(0, batch.num_rows, BLOCK_ROWS))
-    for ids, sizes, bands in map(_block, parts):
+    for ids, bands in map(_block, parts):
         keys = _cells(ids, bands).ravel()
         owners = np.repeat(np.arange(len(ids)), keys.size // len(ids))
         order = np.argsort(keys, kind="stable")
@@ -145,38 +143,31 @@ def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.stack([owners, head])[:, owners != head], axis=1)
         member, leader = pairs[:, ids[pairs[0]] != ids[pairs[1]]]
         spread = mixed(ids[member].view(np.uint64) ^ mixed(ids[leader].view(np.uint64)))
-        known = np.repeat([False, True], [len(first), len(member)])
-        alone = np.zeros(len(first), np.int64)
-        columns = [
-            (np.concatenate([keys[first], spread]).view(np.int64), None),
-            (ids[np.concatenate([owners[first], member])], None),
-            (sizes[np.concatenate([owners[first], member])], None),
-            (np.concatenate([held, np.full(len(member), CROWD)]), None),
-            (np.concatenate([alone, ids[leader]]), ~known),
-            (np.concatenate([alone, sizes[leader]]), ~known),
-        ]
-        yield pa.record_batch(
-            [pa.array(values, pa.int64(), mask=mask) for values, mask in columns],
-            ["key", "id", "n", "held", "head", "m"],
-        )
+        lead = np.repeat(first, np.minimum(held, 2))
+        known = np.repeat([False, True], [len(lead), len(member)])
+        yield pa.record_batch([
+            pa.array(np.concatenate([keys[lead], spread]).view(np.int64)),
+            pa.array(ids[np.concatenate([owners[lead], member])]),
+            pa.array(np.concatenate([np.zeros(len(lead), np.int64), ids[leader]]), mask=~known),
+        ], ["key", "id", "head"])
 
 
 def _links(classes: DataFrame, percent: int) -> DataFrame:
     """Distinct (id, head, fits, crowded): every class with the smaller leaders of its buckets.
 
-    fits: the sizes allow the similarity; crowded: a bucket of both holds a third document.
+    fits: the sizes allow the similarity; crowded: a bucket of both may hold a third document.
     """
-    columns = ("key", "id", "n", "held", "head", "m")
-    rows = classes.select("rep", "n", "bands").mapInArrow(_table_rows, ", ".join(f"{c} long" for c in columns))
+    rows = classes.select("rep", "bands").mapInArrow(_table_rows, "key long, id long, head long")
     bucket = Window.partitionBy("key")
-    least = F.min(F.struct("id", "n")).over(bucket)
-    return (
-        rows.withColumns({"least": least, "crowded": F.sum("held").over(bucket) >= CROWD})
-        .select("id", "n", "crowded", F.coalesce("head", "least.id").alias("head"), F.coalesce("m", "least.n").alias("m"))
-        .where("head < id").groupBy("id", "head")
-        .agg(F.min(F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")).alias("fits"),
-             F.max("crowded").alias("crowded"))
+    many = F.col("head").isNotNull() | (F.count("*").over(bucket) >= CROWD)
+    links = (
+        rows.withColumns({"leader": F.coalesce("head", F.min("id").over(bucket)), "crowded": many})
+        .where("leader < id").groupBy("id", F.col("leader").alias("head")).agg(F.max("crowded").alias("crowded"))
     )
+    sizes = classes.select(F.col("rep").alias("id"), "n")
+    other = classes.select(F.col("rep").alias("head"), F.col("n").alias("m"))
+    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    return links.join(sizes, "id").join(other, "head").select("id", "head", fits.alias("fits"), "crowded")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,8 +184,26 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, shingles) of the wanted documents.
+
+    Texts are not shuffled: a bitmap of the wanted ids, of a fixed size, goes to all tasks,
+    which pass the sets of the ids that it holds; an exact join leaves out what it holds by
+    chance.
+    """
+    spark = docs.sparkSession
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
+    marks = wanted.select((bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("mark"))
+    found = marks.groupBy("word").agg(F.bit_or("mark").alias("mark")).toArrow()
+    bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
+    bitmap[found["word"].to_numpy()] = found["mark"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bitmap)  # 2 MB, whatever the number of documents
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = shared.value
         for batch in batches:
+            at = batch.column(2).to_numpy().astype(np.uint64)
+            passes = marked[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+            batch = batch.filter(pa.array(passes.astype(bool)))
             texts = as_bytes(batch.column(1))
             for start, stop in blocks(texts):
                 sets = _shingles(texts[start:stop], width)
@@ -205,9 +214,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
                     ["id", "shingles"],
                 )
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(wanted, "id", "left_semi").mapInArrow(work, "id long, shingles array<long>")
-    return found.groupBy("id").agg(F.min("shingles").alias("shingles"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sets = texts.withColumn("bit", bit).mapInArrow(work, "id long, shingles array<long>")
+    return sets.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles"))
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
