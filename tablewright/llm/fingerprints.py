@@ -73,18 +73,20 @@ def _with_fingerprint(rows: DataFrame, text: str, name: str, buckets: Column) ->
         F.when(F.size(terms) >= MIN_TERMS, F.col(terms)).otherwise(F.col(words))))
     rows = rows.withColumn(level, F.floor(F.log2(F.greatest(F.size(hashed), F.lit(1))) / log2(4)).cast("int"))
 
-    def entry(step: int, subset: int) -> Column:
-        at = F.col(level) + step
-        number = at * SUBSETS + subset
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), 2 * at) - 1
-        kept = F.filter(hashed, lambda h: F.xxhash64(h, number).bitwiseAND(mask) == 0)
-        joined = F.aggregate(kept, F.lit(0).cast("long"), lambda a, h: F.xxhash64(a, h))
-        low = joined.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
-        high = F.call_function("shiftleft", number.cast("long"), F.lit(_HASH_BITS))
-        return F.when(F.size(kept) > 0, low.bitwiseOR(high))
-
-    entries = F.array(*[entry(step, subset) for step in range(LEVELS) for subset in range(SUBSETS)])
-    return rows.withColumn(name, F.array_compact(entries)).drop(words, terms, hashed, level)
+    # Subset number and mask first, then one pass over the terms for each subset.
+    shift = lambda value, bits: F.call_function("shiftleft", value.cast("long"), bits.cast("int"))
+    subsets = F.transform(F.sequence(F.lit(0), F.lit(LEVELS * SUBSETS - 1)), lambda k: F.struct(
+        (F.col(level) * SUBSETS + k).alias("number"),
+        (shift(F.lit(1), 2 * (F.col(level) + F.floor(k / SUBSETS))) - 1).alias("mask"),
+    ))
+    read = F.transform(subsets, lambda e: F.struct(e["number"].alias("number"), F.aggregate(
+        hashed, F.lit(0).cast("long"),
+        lambda a, h: F.when(F.xxhash64(h, e["number"]).bitwiseAND(e["mask"]) == 0, F.xxhash64(a, h)).otherwise(a),
+    ).alias("hash")))
+    low = F.lit((1 << _HASH_BITS) - 1)
+    entries = F.transform(F.filter(read, lambda e: e["hash"] != 0), lambda e: (
+        e["hash"].bitwiseAND(low).bitwiseOR(shift(e["number"], F.lit(_HASH_BITS)))))
+    return rows.withColumn(name, entries).drop(words, terms, hashed, level)
 
 
 def likeness(a: str, b: str) -> Column:
