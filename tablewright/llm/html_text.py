@@ -52,12 +52,15 @@ NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist "
     "advertisement".split())
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox adslot banner banners billboard breadcrumb breadcrumbs "
-    "byline comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer footers gdpr "
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot alert alerts announcement banner banners "
+    "billboard breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer footers gdpr "
     "header headers login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay "
     "pager paginate pagination paywall popup popups promo promos promotion recommended related reply replies respond "
-    "share sharing sidebar sidebars signup sitemap skip social sponsor sponsored sponsors subscribe subscription tags "
+    "promoted responses discussion share sharing sidebar sidebars signup sitemap skip social sponsor sponsored sponsors subscribe subscription tags "
     "teaser toolbar topbar widget widgets".split())
+NOISE_ENDINGS = ("nav", "menu", "sidebar", "banner", "comments", "cookie", "cookies", "advert", "adverts", "footer", "popup")
+#: What marks an article as a reader's comment or an advert; other class names say little of it.
+NOISE_ARTICLES = frozenset("comment reply ad advert advertisement promo sponsored teaser".split())
 ARTICLE_TAGS = frozenset({"article", "main"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"})
 
@@ -79,15 +82,25 @@ class Node:
 def _is_noise(tag: str, attributes: str, parent: Node | None) -> bool:
     if tag in NOISE_TAGS:
         return True
+    # The head of an article holds its title; the page's own header does not.
+    page_part = not any(a.tag in ARTICLE_TAGS for a in _ancestors(parent))
     if tag == "header":
-        # The head of an article holds its title; the page's own header does not.
-        return not any(a.tag in ARTICLE_TAGS for a in _ancestors(parent))
-    if not attributes or tag in ("html", "body", *ARTICLE_TAGS):
+        return page_part
+    if not attributes or tag in ("html", "body", "main"):
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
-        words = {w.lower() for w in _WORD.findall(value)}
-        name = name.lower()
-        if name == "role" and words & NOISE_ROLES or name in ("class", "id") and words & NOISE_WORDS:
+        name, words = name.lower(), {w.lower() for w in _WORD.findall(value)}
+        if name not in ("role", "class", "id"):
+            continue
+        if tag == "article":
+            if name == "class" and set(value.strip("\"'").lower().split()) & NOISE_ARTICLES:
+                return True
+        elif name == "role":
+            if words & NOISE_ROLES:
+                return True
+        elif words & {"header", "headers"} and not page_part:
+            words -= {"header", "headers"}
+        if name != "role" and tag != "article" and (words & NOISE_WORDS or any(w.endswith(NOISE_ENDINGS) for w in words)):
             return True
     return False
 
@@ -125,6 +138,10 @@ def parse(page: str) -> Node:
             here = _ended(here, ENDED[tag])
         node = Node(tag, here, _is_noise(tag, found[3], here))
         here.children.append(node)
+        if tag in ARTICLE_TAGS and not node.noise:
+            # A layout that is named after its sidebar still holds the article.
+            for outer in _ancestors(here):
+                outer.noise = outer.noise and (outer.tag in NOISE_TAGS or outer.tag in ARTICLE_TAGS)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             node.children.append(page[at : close.start() if close else size])

@@ -51,3 +51,13 @@ def test_rows(spark):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(
         [(1, "u", "é", 1), (1, "u", "é", 1), (2, None, "", 0), (None, "v", "", 0)], key=repr)
     assert extracted(pages.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div class='content with-sidebar'><article><p>{LONG}</p></article><div class='leftSidebar'>x</div></div>", LONG),
+    (f"<article><div class='post-header'><h1>T</h1></div><p>{LONG}</p></article>"
+     f"<section class=comments><article class='comment'><p>{LONG}</p></article></section>", f"T\n{LONG}"),
+    (f"<div id='header'><p>Site</p></div><div><div><p>{LONG}</p><p>{LONG}</p></div><div class='topnav'>a b c</div></div>", f"{LONG}\n{LONG}"),
+])
+def test_layouts(page, text):
+    assert main_text(page) == text
