@@ -862,6 +862,45 @@ def _(spark, sf_dir):
     return forecast_series(orders, "o_orderdate", "o_totalprice", 6, "Month")[0]
 
 
+# Models on tables whose answer is known: planted outliers, clouds far apart, a straight line.
+
+
+@query("anomalies_planted", "SELECT count(*) AS rows, count(*) FILTER (l_discount <> 0.05) AS scored, "
+       "count(*) FILTER (l_orderkey % 997 = 0 AND l_discount <> 0.05) AS planted_and_flagged, CAST(0 AS BIGINT) AS flagged_without_score FROM lineitem")
+def _(spark, sf_dir):
+    far = F.when(F.col("l_orderkey") % 997 == 0, 1000).otherwise(1)
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_quantity").cast("double") * far).alias("quantity"),
+        F.when(F.col("l_discount") != F.lit("0.05").cast("decimal(4,2)"), F.col("l_extendedprice").cast("double") * far).alias("price"))
+    flagged = detect_anomalies(lines, ["quantity", "price"], 0.02, key=["l_orderkey", "l_linenumber"])
+    scored, planted = F.col("anomaly_score").isNotNull(), F.col("l_orderkey") % 997 == 0
+    return flagged.agg(
+        F.count("*").alias("rows"), F.count_if(scored).alias("scored"),
+        F.count_if(F.col("anomaly") & planted).alias("planted_and_flagged"),
+        F.count_if(F.col("anomaly") & ~scored).alias("flagged_without_score"))
+
+
+@query("segments_planted", "SELECT c_nationkey % 3 AS cloud, count(*) AS rows, CAST(1 AS BIGINT) AS segments, "
+       "round(avg(CAST(c_acctbal AS DOUBLE)), 4) AS balance FROM customer GROUP BY 1")
+def _(spark, sf_dir):
+    cloud, balance = F.col("c_nationkey") % 3, F.col("c_acctbal").cast("double")
+    customers = table(spark, sf_dir, "customer").select(
+        cloud.alias("cloud"), balance.alias("balance"), (cloud * 1e6 + balance).alias("x"), (cloud * -2e6 - balance).alias("y"))
+    found = segment_rows(customers, ["x", "y"], 3)[0]
+    return rounded(found.groupBy("cloud").agg(
+        F.count("*").alias("rows"), F.countDistinct("segment").alias("segments"), F.avg("balance").alias("balance")), "balance", digits=4)
+
+
+@query("forecast_line", "WITH m AS (SELECT min(date_trunc('month', o_orderdate)) AS a, max(date_trunc('month', o_orderdate)) AS b FROM orders) "
+       "SELECT CAST(last_day(b + to_months(CAST(h AS INTEGER))) AS DATE) AS month, "
+       "CAST(100 + 5 * (date_diff('month', a, b) + h) AS DOUBLE) AS forecast FROM m, range(1, 4) r(h)")
+def _(spark, sf_dir):
+    months = table(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "month").alias("month")).distinct()
+    first = months.agg(F.min("month")).scalar()
+    line = months.withColumn("value", 100 + 5 * F.round(F.months_between("month", first)))
+    return rounded(forecast_series(line, "month", "value", 3, "Month")[1].select("month", "forecast"), "forecast", digits=3)
+
+
 # --- Recipes ------------------------------------------------------------------
 
 REVENUE_RECIPE = [
