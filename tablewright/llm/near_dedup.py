@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -219,6 +219,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
     return sets.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles"))
 
 
+#: Sizes in the band that begins at a size: one below 128, then a 64th to a 128th of the size.
+_BAND_WIDTH = "shiftleft(1L, greatest(length(bin({0})) - 7, 0))"
+
+
+def _band(size: str) -> Column:
+    """The smallest size in the band of a size."""
+    return F.expr(f"{size} - {size} % {_BAND_WIDTH.format(size)}")
+
+
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs with the component of either side, those within one component left out."""
     for side, name in (("id", "own_label"), ("head", "head_label")):
@@ -294,8 +303,13 @@ def _across(sets: DataFrame, labels: DataFrame, apart: DataFrame, percent: int)
 
     Shingles are put in order of their number of documents, rare ones first.  Two similar
     sets share one among the first few of either, and what is behind the first common one
-    must suffice for the overlap.  A copy that was edited too much to be linked begins with
-    shingles of its own, so it meets nothing, however large the group that it stems from.
+    must suffice for the overlap.  How few depends on both sizes, so documents meet by
+    shingle and size bands: for each band that a document can match it gives only the
+    shingles that still suffice there (for equal sizes of n the first n / 9 at 80 %).  Copies
+    that were edited too much to be linked have as many of their own in front and meet
+    nothing, however large the group, but for those short of it by less than a band is wide.
+
+    Where documents meet, those of the largest component are not paired with one another.
     """
     touched = apart.select(F.col("own_label").alias("label")).unionByName(
         apart.select(F.col("head_label").alias("label"))
@@ -310,17 +324,42 @@ def _across(sets: DataFrame, labels: DataFrame, apart: DataFrame, percent: int)
     ordered = rows.join(shared, "shingle").groupBy("id", "label", "n").agg(
         F.sort_array(F.collect_list(F.struct("documents", "shingle"))).alias("ordered"))
     few = F.expr(f"slice(ordered, 1, n - ({percent} * n + 99) div 100 + 1)")
+    fronts = settle(
+        ordered.select("id", "label", F.col("n").cast("long").alias("n"), F.posexplode(few).alias("at", "entry"))
+        .where("entry.documents > 1").select(F.col("entry.shingle").alias("shingle"), "id", "label", "n", "at")
+        .withColumn("band", _band("n")),
+        "fronts",
+    )
+    # Of a shingle at most 64 bands for each doubling of the size.
+    held = fronts.groupBy("shingle").agg(
+        F.collect_set("band").alias("bands"), F.min("label").alias("least"), F.max("label").alias("most"),
+    ).where("least < most").select("shingle", "bands")
+    smallest = F.greatest("other", F.expr(f"({percent} * n + 99) div 100"))
+    reaches = fronts.join(held, "shingle").select(
+        "shingle", "id", "label", "n", "at", "band", F.explode("bands").alias("other")
+    ).withColumn("smallest", smallest).where(
+        f"""smallest < other + {_BAND_WIDTH.format("other")} and 100 * n >= {percent} * smallest
+        and {100 + percent} * (n - at) >= {percent} * (n + smallest)"""
+    ).drop("smallest")
+    place = ["shingle", "low", "high"]
+    reaches = settle(
+        reaches.withColumns({"low": F.least("band", "other"), "high": F.greatest("band", "other")}), "reaches")
+    largest = (
+        reaches.groupBy(*place, "label").agg(F.count("*").alias("rows"))
+        .groupBy(*place).agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), F.count("*").alias("labels"))
+        .where("labels > 1").drop("labels")
+    )
     firsts = settle(
-        ordered.select("id", "label", "n", F.posexplode(few).alias("at", "entry")).where("entry.documents > 1")
-        .select(F.col("entry.shingle").alias("shingle"), "id", "label", "n", "at"),
+        reaches.join(largest, place).select("shingle", "band", "other", "id", "label", "n", "at",
+                                            (F.col("label") == F.col("largest")).alias("of_largest")),
         "firsts",
     )
-    other = firsts.select("shingle", F.col("id").alias("head"), F.col("label").alias("head_label"),
-                          F.col("n").alias("m"), F.col("at").alias("head_at"))
-    return firsts.join(other, "shingle").where(
-        f"""head < id and label <> head_label and 100 * n >= {percent} * m and 100 * m >= {percent} * n
+    partner = firsts.select("shingle", F.col("band").alias("other"), F.col("other").alias("band"), F.col("id").alias("head"),
+                            F.col("label").alias("head_label"), F.col("n").alias("m"), F.col("at").alias("head_at"))
+    return firsts.where("not of_largest").join(partner, ["shingle", "band", "other"]).where(
+        f"""label <> head_label and 100 * n >= {percent} * m and 100 * m >= {percent} * n
         and {100 + percent} * least(n - at, m - head_at) >= {percent} * (n + m)"""
-    ).select("id", "head").distinct()
+    ).select(F.greatest("id", "head").alias("id"), F.least("id", "head").alias("head")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import pytest
 
+from tablewright.llm import near_dedup
 from tablewright.llm.components import components
 from tablewright.llm.near_dedup import drop_near_duplicates, near_duplicates
 
@@ -77,5 +79,39 @@ def test_components_of_a_path_a_star_and_a_loop(spark):
     assert found == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 130)}, 201: 201, 202: 201}
 
 
+def _met(monkeypatch):
+    """Tables of the exact filter by name; rows that share all of what they are joined on make pairs."""
+    settled = {}
+    settle = near_dedup.settle
+    monkeypatch.setattr(near_dedup, "settle", lambda df, label: settled.setdefault(label, []).append(settle(df, label)) or settled[label][-1])
+
+    def pairs():
+        rows = [r for df in settled.get("firsts", []) for r in df.drop("id", "label", "n", "at", "of_largest", "low", "high").collect()]
+        return sum(n * n for n in Counter(rows).values())
+
+    return pairs
+
+
+def test_copies_of_a_template_below_the_threshold_do_not_meet(spark, documents, monkeypatch):
+    pairs = _met(monkeypatch)
+    shared = [f"t{k}" for k in range(86)]
+    rows = [(doc, " ".join([*shared, *(f"o{doc}_{k}" for k in range(14 + doc % 3))])) for doc in range(300)]
+    found = near_duplicates(documents(*rows), width=1).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in found)
+    assert pairs() < 300
+
+
+def test_open_links_of_sizes_on_both_sides_of_a_band(spark, documents):
+    sizes = [80, 81, 90, 99, 100, 124, 125, 127, 128, 129, 130, 160, 161, 200, 256, 257, 259, 300, 320]
+    rows = [(k, " ".join(f"w{j}" for j in range(n))) for k, n in enumerate(sizes)]
+    sets = spark.createDataFrame([(k, list(range(n))) for k, n in enumerate(sizes)], "id long, shingles array<long>")
+    labels = spark.createDataFrame([], "node long, component long")
+    apart = spark.createDataFrame([(k, 0) for k in range(1, len(sizes))], "own_label long, head_label long")
+    found = {tuple(r) for r in near_dedup._across(sets, labels, apart, 80).select("id", "head").collect()}
+    assert found >= {(b, a) for a in range(len(sizes)) for b in range(a + 1, len(sizes)) if 100 * sizes[a] >= 80 * sizes[b]}
+    found = near_duplicates(documents(*rows), width=1).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == brute_force(rows, 1)
+
+
 def test_agrees_with_sql(spark, agrees):
     agrees(spark, "op10_minhash_near_dedup")
