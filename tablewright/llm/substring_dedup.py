@@ -11,7 +11,8 @@ the low bytes of the hashes and differences of positions (about 8 bytes a window
 a block only the first window of a hash goes on, the others are known to be repeated.  So
 a passage shared by a third of all documents reaches the task that counts it once a block.
 Repeated windows travel on to their documents in the same form.  A range is a bounded
-share of the windows: their number follows the size of the texts.
+share of the windows: their number follows the size of the texts, and windows known to be
+repeated are dealt to the ranges by a hash of their document.
 """
 
 from __future__ import annotations
@@ -106,25 +107,23 @@ def _packed_by(groups: np.ndarray, ids: np.ndarray, positions: np.ndarray, hashe
 
 
 def _windows(texts: DataFrame, window: int, range_bits: int) -> DataFrame:
-    """(range, packed, known): windows of a range of hashes; windows known to be repeated, in any range."""
+    """(range, packed, known): windows of a range of hashes; windows known to be repeated, by their documents."""
     width = 8 - range_bits // 8
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
         for batch in batches:
             all_ids = batch.column(0).to_numpy(zero_copy_only=False)
             all_texts = as_bytes(batch.column(1))
             for begin, stop in blocks(all_texts, PACK_BYTES):
-                turn += 1
                 ids, positions, hashes = [], [], []
                 for at in begin + np.argsort(all_ids[begin:stop], kind="stable"):
                     rolled = _rolled(_WORDS.of(all_texts[at].split()), window)
                     hashes.append(rolled)
                     ids.append(np.full(len(rolled), all_ids[at]))
                     positions.append(np.arange(len(rolled), dtype=np.uint32))
-                yield _sorted_out(*map(np.concatenate, (ids, positions, hashes)), turn)
+                yield _sorted_out(*map(np.concatenate, (ids, positions, hashes)))
 
-    def _sorted_out(ids, positions, hashes, turn) -> pa.RecordBatch:
+    def _sorted_out(ids, positions, hashes) -> pa.RecordBatch:
         hashes = mixed(hashes)
         order = np.argsort(hashes, kind="stable")
         ordered = hashes[order]
@@ -134,8 +133,8 @@ def _windows(texts: DataFrame, window: int, range_bits: int) -> DataFrame:
         fresh = ~again
         ranges = (hashes[fresh] >> np.uint64(64 - range_bits)).astype(np.int64)
         rows = [(k, data, None) for k, data in _packed_by(ranges, ids[fresh], positions[fresh], hashes[fresh], width)]
-        somewhere = np.full(again.sum(), turn % (1 << range_bits))
-        rows += [(k, None, data) for k, data in _packed_by(somewhere, ids[again], positions[again], hashes[again], 0)]
+        dealt = (mixed(ids[again].view(np.uint64)) >> np.uint64(64 - range_bits)).astype(np.int64)
+        rows += [(k, None, data) for k, data in _packed_by(dealt, ids[again], positions[again], hashes[again], 0)]
         kinds = (pa.int64(), pa.binary(), pa.binary())
         return pa.record_batch(
             [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], ["range", "packed", "known"])

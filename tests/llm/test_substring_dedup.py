@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -53,6 +54,16 @@ def test_rolling_hash_and_packing():
     assert owners.tolist() == [5, 5, 5, -7, -7] and at.tolist() == positions.tolist() and back.tolist() == hashes.tolist()
 
 
+def test_known_windows_are_spread_over_the_ranges(spark):
+    rows = [(doc, " ".join(f"d{doc}_{k % 30}" for k in range(90))) for doc in range(640)]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(16)
+    held = Counter()
+    for row in substring_dedup._windows(texts, 20, 6).where("known is not null").collect():
+        held[row["range"]] += len(substring_dedup._unpack(bytes(row["known"]), 0)[0])
+    assert sum(held.values()) == 640 * 41
+    assert max(held.values()) < 5 * 640 * 41 / 64
+
+
 def test_agrees_with_sql(spark, agrees):
     agrees(spark, "op7_rolling_substring_dedup")
 
