@@ -6,7 +6,8 @@ and the subtree with the largest sum is the main text.  The smallest density on
 from that subtree to the body is the threshold: the choice widens to a parent as long as all
 of the parent's other parts reach it, and to the article that encloses it.  Parts that are no text of
 the page's author (menus, adverts, forms, comments of readers and so on) count nothing
-and are left out of the result.
+and are left out of the result.  A class or id with an ordinary word (related, discussion)
+only marks a candidate: inside the main text it stays when it is dense prose with few links.
 
 The measure and the threshold follow Sun, Song and Liao, "DOM based content extraction via
 text density" (SIGIR 2011).
@@ -59,6 +60,15 @@ NOISE_WORDS = frozenset(
     "promoted responses discussion share sharing sidebar sidebars signup sitemap skip social sponsor sponsored sponsors subscribe subscription tags "
     "teaser toolbar topbar widget widgets".split())
 NOISE_ENDINGS = ("nav", "menu", "sidebar", "banner", "comments", "cookie", "cookies", "advert", "adverts", "footer", "popup")
+#: Words that name no part of an author's text: adverts, consent, readers' comments.  Others mark candidates.
+CLEAR_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot comment comments commentlist consent cookie cookies "
+    "disqus gdpr newsletter paywall popup popups promo promos promoted reply replies respond signup sponsor sponsored sponsors".split())
+#: Words that may stand before the one that names a part.
+PLACES = frozenset("site page main post entry left right top bottom primary secondary".split())
+#: Characters a tag of dense prose, and the percentage of them that may be in links.
+PROSE_CHARS = 30
+PROSE_LINK_PERCENT = 25
 #: What marks an article as a reader's comment or an advert; other class names say little of it.
 NOISE_ARTICLES = frozenset("comment reply ad advert advertisement promo sponsored teaser".split())
 ARTICLE_TAGS = frozenset({"article", "main"})
@@ -72,37 +82,51 @@ _WORD = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "named")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: bool, named: bool = False):
+        self.tag, self.parent, self.noise, self.named = tag, parent, noise, named
         self.children: list[Node | str] = []
 
 
-def _is_noise(tag: str, attributes: str, parent: Node | None) -> bool:
+def _name(token: str) -> str | None:
+    """The noise word that a class or id is, begins with, or has after its place."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    if len(words) > 1 and words[0] in PLACES:
+        words = words[1:]
+    if not words:
+        return None
+    if words[0] in NOISE_WORDS:
+        return words[0]
+    return next((e for e in NOISE_ENDINGS if len(words) == 1 and words[0].endswith(e)), None)
+
+
+def _noise(tag: str, attributes: str, parent: Node | None) -> tuple[bool, bool]:
+    """Whether an element is noise, and whether only its name says so."""
     if tag in NOISE_TAGS:
-        return True
+        return True, False
     # The head of an article holds its title; the page's own header does not.
     page_part = not any(a.tag in ARTICLE_TAGS for a in _ancestors(parent))
     if tag == "header":
-        return page_part
+        return page_part, False
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return False, False
+    named = False
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, words = name.lower(), {w.lower() for w in _WORD.findall(value)}
-        if name not in ("role", "class", "id"):
-            continue
+        name, tokens = name.lower(), value.strip("\"'").split()
         if tag == "article":
-            if name == "class" and set(value.strip("\"'").lower().split()) & NOISE_ARTICLES:
-                return True
+            if name == "class" and {t.lower() for t in tokens} & NOISE_ARTICLES:
+                return True, False
         elif name == "role":
-            if words & NOISE_ROLES:
-                return True
-        elif words & {"header", "headers"} and not page_part:
-            words -= {"header", "headers"}
-        if name != "role" and tag != "article" and (words & NOISE_WORDS or any(w.endswith(NOISE_ENDINGS) for w in words)):
-            return True
-    return False
+            if {w.lower() for w in _WORD.findall(value)} & NOISE_ROLES:
+                return True, False
+        elif name in ("class", "id"):
+            found = {w for w in map(_name, tokens) if w} - (set() if page_part else {"header", "headers"})
+            # Converters name sections by their headings, whatever the heading says.
+            if found & CLEAR_WORDS and not (tag == "section" and name == "id"):
+                return True, False
+            named = named or bool(found)
+    return named, named
 
 
 def _ancestors(node: Node | None) -> Iterator[Node]:
@@ -136,7 +160,7 @@ def parse(page: str) -> Node:
             here = _ended(here, ENDED["p"])
         if tag in ENDED and tag != "p":
             here = _ended(here, ENDED[tag])
-        node = Node(tag, here, _is_noise(tag, found[3], here))
+        node = Node(tag, here, *_noise(tag, found[3], here))
         here.children.append(node)
         if tag in ARTICLE_TAGS and not node.noise:
             # A layout that is named after its sidebar still holds the article.
@@ -219,8 +243,20 @@ def main_node(root: Node) -> Node:
     return best if best.total > 0 else body
 
 
+def _prose(node: Node) -> bool:
+    """Whether a measured subtree is dense text with few links."""
+    return node.chars >= PROSE_CHARS * max(node.tags, 1) and 100 * node.link_chars <= PROSE_LINK_PERCENT * node.chars
+
+
+def _stays(node: Node) -> bool:
+    """Whether a candidate inside the main text is text of its own."""
+    if node.named:
+        measure(node)
+    return node.named and _prose(node)
+
+
 def blocks_of(node: Node) -> list[str]:
-    """Texts of the blocks below a node, in page order; noise is left out."""
+    """Texts of the blocks below a node, in page order; noise is left out, but for candidates that are prose."""
     found: list[str] = []
     open_text: list[str] = []
 
@@ -237,7 +273,7 @@ def blocks_of(node: Node) -> list[str]:
             close()
         elif isinstance(item, str):
             open_text.append(item)
-        elif item.noise and item is not node:
+        elif item.noise and item is not node and not _stays(item):
             if item.tag in BLOCK:
                 close()
         elif item.tag == "br":
@@ -254,7 +290,23 @@ def blocks_of(node: Node) -> list[str]:
 def main_text(page: str) -> str:
     root = parse(page)
     measure(root)
-    return "\n".join(blocks_of(main_node(root)))
+    chosen = main_node(root)
+    if not _prose(chosen) and _unnamed(root):
+        measure(root)
+        chosen = main_node(root)
+    return "\n".join(blocks_of(chosen))
+
+
+def _unnamed(root: Node) -> bool:
+    """Makes candidates that hold prose, outside of other noise, ordinary elements; whether there were any."""
+    found, stack = False, [root]
+    while stack:
+        node = stack.pop()
+        if node.noise and _stays(node):
+            node.noise, found = False, True
+        if not node.noise or node.named:
+            stack.extend(c for c in node.children if isinstance(c, Node))
+    return found
 
 
 def extracted(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

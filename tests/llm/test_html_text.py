@@ -61,3 +61,18 @@ def test_rows(spark):
 ])
 def test_layouts(page, text):
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article><p>{LONG}</p><section id='discussion'><h2>Discussion</h2><p>{LONG} {LONG}</p></section></article>",
+     f"{LONG}\nDiscussion\n{LONG} {LONG}"),
+    (f"<article><p>{LONG}</p><section id='related-work'><h2>Related</h2><p>{LONG}</p></section>"
+     f"<section id='cookies'><p>{LONG}</p></section></article>", f"{LONG}\nRelated\n{LONG}\n{LONG}"),
+    (f"<body><div><div class='elementor-widget'><h2>T</h2></div><div class='elementor-widget'><p>{LONG}</p></div></div></body>", f"T\n{LONG}"),
+    (f"<body><div class='content no-sidebar'><p>{LONG}</p><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}"),
+    (f"<body><div class='widget'><p>{LONG}</p></div><div class='menu'><a href=1>{LONG}</a></div></body>", LONG),
+    (f"<article><p>{LONG}</p><div class='related'><a href=1>{LONG}</a></div><div class='comments'><p>{LONG}</p></div></article>", LONG),
+    (f"<article><p>{LONG}</p><div class='site-footer'>x</div><div class='share-buttons'>Tell</div></article>", LONG),
+])
+def test_names_only_mark_candidates(page, text):
+    assert main_text(page) == text
