@@ -7,7 +7,8 @@ for a share to mean much, so guards leave them to the base rules.
 
 Everything is a column expression: one pass sums the histograms of each language (a
 handful of rows), a second one judges every row where it is.  Nothing is joined or
-shuffled but those sums.
+shuffled but those sums.  Languages of the table without a fixed list of common words get
+theirs from its clean documents, by counts of words that are summed before the shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tablewright.llm.common import SPACES
 
@@ -30,6 +32,9 @@ COMMON_WORDS = {
     "es": ("de", "la", "que", "el", "los", "del", "las", "por", "con", "para"),
     "fr": ("le", "la", "et", "les", "des", "est", "dans", "pour", "que", "une"),
 }
+#: Common words that are learned for another language, and the least share of its words that one makes up.
+LEARNED_WORDS = 10
+LEARNED_SHARE = 0.005
 #: Letters and digits are one class: numbers in a short text are no sign of poor quality.
 LETTERS = r"[\p{L}\p{M}\p{Nd}]+"
 #: Character classes apart from letters; what is in none is "other".
@@ -93,19 +98,62 @@ def _shares(counts: Column) -> Column:
     return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1)))
 
 
-def _distance(shares: Column, reference: Sequence[float]) -> Column:
-    """Jensen-Shannon distance; the reference is a literal."""
+def _distance(shares: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance."""
 
     def part(p: Column, m: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
 
     terms = F.zip_with(
-        shares, F.array(*map(F.lit, reference)),
+        shares, reference,
         lambda p, q: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2,
     )
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
+def _numbers(values: Sequence[float]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _shaping() -> Column:
+    """Whether a document shapes the references."""
+    few = 100 * F.get("chars", F.lit(3)) <= REFERENCE_SYMBOL_PERCENT * F.col("n_chars")
+    return (F.col("n_words") >= MIN_WORDS) & few
+
+
+def learned_references(
+    docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang",
+    common: Mapping[str, Sequence[str]] = COMMON_WORDS,
+) -> list[tuple[list[float], list[str], list[float]]]:
+    """Shares of character classes, common words and their shares (the rest last) of each language not in ``common``.
+
+    Common words are the most frequent ones, of those that make up 0.5 % of the words of
+    the language's clean documents: at most 200 a language are ranked and 10 are taken.
+    """
+    rows = _rows(docs, text_col, lang_col)
+    rows = rows.where(F.col("lang").isNotNull() & ~F.col("lang").isin(sorted(common)))
+    if lang_col is None or rows.select("lang").isEmpty():
+        return []
+    clean = _histograms(rows, common).where(_shaping())
+    sums = [F.sum(F.get("chars", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES) + 2)]
+    totals = {r["lang"]: r for r in clean.groupBy("lang").agg(*sums, F.sum("n_words").alias("n_words")).orderBy("lang").collect()}
+    if not totals:
+        return []
+    counts = clean.select("lang", F.explode("words").alias("word")).groupBy("lang", F.lower("word").alias("word")).count()
+    total = F.create_map(*[F.lit(x) for lang, r in totals.items() for x in (lang, r["n_words"])])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    ranked = counts.where(F.col("count") >= LEARNED_SHARE * total[F.col("lang")]).withColumn("rank", rank)
+    words: dict[str, dict[str, float]] = {lang: {} for lang in totals}
+    for r in ranked.where(F.col("rank") <= LEARNED_WORDS).orderBy("lang", "rank").collect():
+        words[r["lang"]][r["word"]] = r["count"] / totals[r["lang"]]["n_words"]
+    found = []
+    for lang, r in totals.items():
+        chars = [r[f"c{k}"] for k in range(len(CLASSES) + 2)]
+        shares = list(words[lang].values())
+        found.append(([c / max(sum(chars), 1) for c in chars], list(words[lang]), [*shares, max(1 - sum(shares), 0.0)]))
+    return found
+
+
 def references(
     docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang",
     common: Mapping[str, Sequence[str]] = COMMON_WORDS,
@@ -118,9 +166,8 @@ def references(
     """
     vocabulary = _vocabulary(common)
     known = F.when(F.col("lang").isin(sorted(common)), F.col("lang"))
-    few = 100 * F.get("chars", F.lit(3)) <= REFERENCE_SYMBOL_PERCENT * F.col("n_chars")
     # Left out inside the sums: a filter would be moved below the histograms and take a copy of them along.
-    shaping = lambda counts, k: F.sum(F.when((F.col("n_words") >= MIN_WORDS) & few, F.get(counts, F.lit(k))))
+    shaping = lambda counts, k: F.sum(F.when(_shaping(), F.get(counts, F.lit(k))))
     sums = [shaping("chars", k).alias(f"c{k}") for k in range(len(CLASSES) + 2)]
     sums += [shaping("commons", k).alias(f"w{k}") for k in range(len(vocabulary) + 1)]
     measured = _histograms(_rows(docs, text_col, lang_col), common)
@@ -176,11 +223,15 @@ def judged(
     second is not judged.  The label of a document's language plays no part in its own
     verdict, so a wrong or missing one costs nothing.
 
+    * Languages of the table that are not in ``common`` have references on words of their
+      own.  One that only a few documents are labelled with is shaped by these few, so a
+      label given to nothing but junk without symbols vouches for that junk.
     * A null text counts as empty: 0 words, base_failed.  A null language is in no reference.
     * Without any language reference (empty table) the base rules decide alone.
     * Repeated rows are judged one by one, all equal; extra columns stay inside ``row``.
     """
-    learned = references(docs, text_col, lang_col, common)
+    fixed = references(docs, text_col, lang_col, common)
+    learned = learned_references(docs, text_col, lang_col, common)
     rows = _repeat_words(_histograms(_rows(docs, text_col, lang_col), common))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("lines", lines).withColumns({
@@ -192,9 +243,25 @@ def judged(
     })
     rows = rows.withColumn("char_shares", _shares(F.col("chars"))).withColumn("word_shares", _shares(F.col("commons")))
     far = F.array(*[
-        F.struct(_distance(F.col("char_shares"), chars).alias("chars"), _distance(F.col("word_shares"), words).alias("words"))
-        for chars, words in learned
-    ]) if learned else F.expr("cast(array() as array<struct<chars:double,words:double>>)")
+        F.struct(_distance(F.col("char_shares"), _numbers(chars)).alias("chars"),
+                 _distance(F.col("word_shares"), _numbers(words)).alias("words"))
+        for chars, words in fixed
+    ]) if fixed else F.expr("cast(array() as array<struct<chars:double,words:double>>)")
+    if learned:
+        rows = rows.withColumn("lowered", F.transform("words", F.lower))
+        own = F.array(*[
+            F.struct(_numbers(chars).alias("chars"), F.array(*map(F.lit, words)).cast("array<string>").alias("words"),
+                     _numbers(shares).alias("shares"))
+            for chars, words, shares in learned
+        ])
+
+        def held(words: Column) -> Column:
+            counts = F.transform(words, lambda w: F.size(F.filter("lowered", lambda x: x == w)).cast("long"))
+            named = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+            return _shares(F.concat(counts, F.array(F.col("n_words") - named)))
+
+        far = F.concat(far, F.transform(own, lambda r: F.struct(
+            _distance(F.col("char_shares"), r["chars"]).alias("chars"), _distance(held(r["words"]), r["shares"]).alias("words"))))
     fits = F.exists("distances", lambda d: (
         ((d["chars"] <= max_char_distance) | (F.col("n_chars") < GUARD_CHARS))
         & ((d["words"] <= max_word_distance) | (F.col("n_words") < GUARD_WORDS))))

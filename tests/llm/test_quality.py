@@ -51,3 +51,15 @@ def test_long_text(spark, documents):
     words = [f"the w{k}" for k in range(40_000)]
     found = measures(documents((1, " ".join(words))))[1]
     assert found.n_words == 80_000 and found.n_repeat_words == 0 and not found.base_failed
+
+
+def test_clean_documents_of_a_fifth_language_stay(spark, documents):
+    dutch = [" ".join(f"het w{k}x{d} van een v{k}x{d} wordt u{k}x{d}, niet t{k}x{d} voor s{k}x{d}." for k in range(8)) for d in range(6)]
+    english = [(k, CLEAN + f" number {k}") for k in range(8)]
+    salad = " ".join(f"q{k}z" for k in range(90)) + "."
+    docs = documents(*english, *[(20 + d, text, "nl") for d, text in enumerate(dutch)], (40, dutch[0] + " wordt", None), (50, salad, "en"))
+    found = measures(docs)
+    assert all(found[k].kept for k in [*range(8), *range(20, 26), 40])
+    assert not found[50].kept
+    alone = measures(documents(*english, (50, salad, "en")))
+    assert all(found[k].distances[0] == alone[k].distances[0] for k in range(8))
