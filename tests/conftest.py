@@ -44,8 +44,3 @@ def frame(spark):
 @pytest.fixture
 def plain(frame):
     return frame.drop("_row_id")
-
-
-def rows(df, *columns):
-    shown = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in shown.collect()), key=repr)

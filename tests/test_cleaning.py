@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from comparing import rows
 from pyspark.sql import functions as F
 
 from tablewright import apply_operation, calculated, filter_rows, search_all

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import rows
+from comparing import rows
 from pyspark.sql import functions as F
 
 from tablewright import compare_quality, data_health, dataset_summary, evaluate_kpis, kpi_breakdown, kpi_definition

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from comparing import rows
 
 from tablewright import ROW_ID, column_groups, deduplicate, group_summary, melt, pivot_table, read_csv, read_parquet, treat_missing
 from tablewright.sources.sinks import write_csv, write_data_dictionary, write_parquet
