@@ -17,6 +17,7 @@ from tablewright.llm import (
     sentencepiece_scan,
     substring_dedup,
     warc,
+    whitening,
 )
 from tablewright.llm.oracles import ORACLES as SQL
 
@@ -90,6 +91,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a vector and component; deviation is null where it exceeds a long (from some millions of rows)."""
+    found = whitening.whitened(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("*", F.posexplode("whitened").alias("at", "score")).select(
+        "row.vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").try_cast("long").alias("deviation"),
+        F.col("score").alias("whitened"), F.get("explained", "at").alias("explained"), "identity_error",
+    )
+
+
 QUERIES = {
     "op1_ngram_language_id": op1_ngram_language_id,
     "op2_weighted_fair_mixing": op2_weighted_fair_mixing,
@@ -101,6 +111,7 @@ QUERIES = {
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_jacobi_davidson_whitening": op11_jacobi_davidson_whitening,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {name: sql for name, sql in SQL.items() if name in QUERIES}
