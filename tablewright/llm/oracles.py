@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tablewright.llm import conversation_repair as repair
 from tablewright.llm import quality, secret_scan
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -163,11 +164,67 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM words LEFT JOIN kept USING (doc_id)"""
 
 
+def conversation_repair_sql() -> str:
+    spoken = {0: 2, 1: 2, 2: 3, 3: 2}
+    edits = [("D", q, q, "NULL", repair.DELETE) for q in spoken] + [("R", q, to, "NULL", repair.REROLE) for q, to in spoken.items()]
+    edits += [("K", 0, 1, "'s'", repair.KEEP)] + [("K", q, to, "'u'" if to == 2 else "'a'", repair.KEEP) for q, to in spoken.items()]
+    arcs = ", ".join(f"('{letter}', {q}, {to}, {initial}, {cost})" for letter, q, to, initial, cost in edits)
+    reached = f"""[{{'q': q, 'v': v}},
+        {{'q': CASE q WHEN 2 THEN 3 ELSE 2 END, 'v': {{'cost': v.cost + {repair.INSERT}, 'audit': v.audit || 'I',
+          'lines': list_append(v.lines, CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END)}}}},
+        {{'q': CASE q WHEN 2 THEN 2 ELSE 3 END, 'v': {{'cost': v.cost + {2 * repair.INSERT}, 'audit': v.audit || 'II',
+          'lines': v.lines || CASE q WHEN 2 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END}}}}]"""
+    return rf"""
+WITH RECURSIVE bits AS (
+    SELECT i::UBIGINT AS i, i::UBIGINT AS c, 0 AS k FROM range(256) t(i)
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+fated AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+              list_prepend(4294967295::UBIGINT, list_transform(string_split(
+                  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::UBIGINT)),
+              lambda acc, b: xor(acc >> 8, t[(xor(acc, b) & 255)::INT + 1])), 4294967295) % 20 AS fate FROM conversations, crcs),
+said AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+                CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE fate WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM fated WHERE fate <> 0),
+placed AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+                  regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS ending FROM said),
+faulty AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair, CASE
+               WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+               WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+counted AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+edits(letter, q, next, initial, cost) AS (VALUES {arcs}),
+walk AS (
+    SELECT conv_id, 0::BIGINT AS i, o.q AS q, o.v AS v
+    FROM (SELECT conv_id, unnest({reached.replace("q WHEN", "0 WHEN").replace("'q': q", "'q': 0")}) AS o
+          FROM (SELECT conv_id, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS v FROM counted))
+    UNION ALL
+    SELECT conv_id, i, o.q, min(o.v) FROM (
+        SELECT conv_id, i, unnest({reached}) AS o FROM (
+            SELECT w.conv_id, f.i, e.next AS q, {{
+                'cost': (w.v.cost + e.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN {repair.TRUNCATED} ELSE 0 END)::BIGINT,
+                'audit': w.v.audit || letter, 'lines': CASE letter WHEN 'D' THEN w.v.lines WHEN 'K' THEN list_append(w.v.lines, role || ':' || text)
+                    ELSE list_append(w.v.lines, CASE e.next WHEN 2 THEN 'user:' ELSE 'assistant:' END || text) END}} AS v
+            FROM walk w JOIN faulty f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1
+            JOIN edits e ON e.q = w.q AND (letter = 'D' OR fault IN ('', 'truncated')) AND coalesce(e.initial = f.initial, true)))
+    GROUP BY conv_id, i, o.q),
+least AS (SELECT w.conv_id, min(v) AS v FROM walk w JOIN counted c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND i = n
+          WHERE q IN (0, 3) GROUP BY w.conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v.cost, 0) AS cost, coalesce(v.audit, '') AS audit,
+       sha256(coalesce(array_to_string(v.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counted c ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN least l ON d.conv_id IS NOT DISTINCT FROM l.conv_id"""
+
+
 ORACLES = {
     "op2_weighted_fair_mixing": mixing_sql(),
     "op4_seekable_warc": warc_sql(),
     "op5_divergence_quality": quality_sql(),
     "op7_rolling_substring_dedup": substring_dedup_sql(),
+    "op13_auction_conversation_repair": conversation_repair_sql(),
     "op9_entropy_secrets": secrets_sql(),
     "op10_minhash_near_dedup": near_dedup_sql(),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablewright.llm import (
+    conversation_repair,
     fingerprints,
     html_text,
     language_id,
@@ -100,6 +101,11 @@ def op11_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op13_auction_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repairs = conversation_repair.repaired(_table(spark, sf_dir, "conversations"), damage=True)
+    return conversation_repair.audited(repairs).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     "op1_ngram_language_id": op1_ngram_language_id,
     "op2_weighted_fair_mixing": op2_weighted_fair_mixing,
@@ -112,6 +118,7 @@ QUERIES = {
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_jacobi_davidson_whitening": op11_jacobi_davidson_whitening,
+    "op13_auction_conversation_repair": op13_auction_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {name: sql for name, sql in SQL.items() if name in QUERIES}
