@@ -14,6 +14,7 @@ from tablewright.llm import (
     mixing,
     near_dedup,
     quality,
+    sanitising,
     secret_scan,
     sentencepiece_scan,
     substring_dedup,
@@ -101,6 +102,16 @@ def op11_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op12_disclosure_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] < 4)
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return sanitising.found_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "row.doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(sanitising.KINDS[:4])],
+        F.sha2(sanitising.listed(base), 256).alias("base_sha256"), sanitising.listed(spans).alias("spans"),
+    )
+
+
 def op13_auction_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     repairs = conversation_repair.repaired(_table(spark, sf_dir, "conversations"), damage=True)
     return conversation_repair.audited(repairs).withColumnRenamed("conv", "conv_id")
@@ -118,6 +129,7 @@ QUERIES = {
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_jacobi_davidson_whitening": op11_jacobi_davidson_whitening,
+    "op12_disclosure_sanitising": op12_disclosure_sanitising,
     "op13_auction_conversation_repair": op13_auction_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
