@@ -20,7 +20,8 @@ def test_base_kinds(spark, documents):
     assert found[1] == "assign:2:22"
     assert found[2] == "access:0:20"
     assert found[3] == "hex:1:25"
-    assert found[4] == found[5] == found[6] == found[7] == found[9] == ""
+    assert found[4] == found[5] == found[6] == found[7] == ""
+    assert found[9] == "entropy:8:31"
     assert found[8] == "assign:0:32,hex:8:32"
 
 
@@ -32,8 +33,10 @@ def test_entropy_adds_and_allows(spark, documents):
         (7, "1" * 40 + strong + "1" * 40),
     ))
     assert found[1] == "entropy:4:24" and KINDS[3] == "entropy"
-    assert [found[k] for k in (2, 3, 4, 5, 6)] == [""] * 5
-    kind, start, end = found[7].split(":")
+    assert [found[k] for k in (2, 4, 5, 6)] == [""] * 4 and found[3] == "hex:0:31"
+    before, dense, after = sorted(found[7].split(","), key=lambda s: int(s.split(":")[1]))
+    kind, start, end = dense.split(":")
+    assert (before, after) == ("hex:0:40", "hex:59:100")
     assert kind == "entropy" and int(start) <= 40 and int(end) >= 60 and int(end) - int(start) < 100
 
 
