@@ -267,14 +267,14 @@ def judged(
         & ((d["words"] <= max_word_distance) | (F.col("n_words") < GUARD_WORDS))))
     rows = rows.withColumn("distances", F.when(~F.col("base_failed"), far))
     kept = ~F.col("base_failed") & (fits | (F.size("distances") == 0))
-    return rows.withColumn("kept", F.coalesce(kept, F.lit(False))).select(
+    # A filter on plain expressions would be moved below them, with copies of them all; it
+    # stays above a column that is not deterministic.  The condition always holds.
+    kept = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(kept, F.lit(False))).otherwise(False)
+    return rows.withColumn("kept", kept).select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distances", "kept"
     )
 
 
 def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns they came with."""
-    # A filter on plain expressions would be moved below them, with copies of them all;
-    # it stays where it is above a column that is not deterministic.
-    rows = judged(docs, text_col, lang_col).withColumn("at", F.monotonically_increasing_id())
-    return rows.where(F.col("kept") & (F.col("at") >= 0)).select("row.*")
+    return judged(docs, text_col, lang_col).where("kept").select("row.*")

@@ -63,3 +63,9 @@ def test_clean_documents_of_a_fifth_language_stay(spark, documents):
     assert not found[50].kept
     alone = measures(documents(*english, (50, salad, "en")))
     assert all(found[k].distances[0] == alone[k].distances[0] for k in range(8))
+
+
+def test_a_filter_does_not_copy_the_plan(spark, documents):
+    found = judged(documents(*[(k, CLEAN + f" number {k}") for k in range(4)]))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert size(found.where("kept")) < 1.2 * size(found)
