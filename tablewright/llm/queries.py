@@ -106,7 +106,7 @@ def op12_disclosure_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] < 4)
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
-    return sanitising.found_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return sanitising.found_spans(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "row.doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(sanitising.KINDS[:4])],
         F.sha2(sanitising.listed(base), 256).alias("base_sha256"), sanitising.listed(spans).alias("spans"),
     )

@@ -9,7 +9,8 @@ entity they disclose, and are generalised (numbers) or removed (words).
 
 One pass over the texts finds entities, the terms around them and the number of documents
 of every term, summed in the task.  What follows holds rows of texts with entities and sums
-only; no text is shuffled.
+only.  Texts are shuffled only where the result keeps them: rows meet their spans by the
+MD5 of the text, and only the columns asked for travel.
 """
 
 from __future__ import annotations
@@ -192,9 +193,9 @@ def _disclosing(texts: DataFrame, observed: DataFrame, disclosure: float, least_
 
 def found_spans(
     docs: DataFrame, text_col: str = "text", window: int = WINDOW, disclosure: float = DISCLOSURE,
-    least_bits: float = LEAST_BITS, least_texts: int = LEAST_TEXTS,
+    least_bits: float = LEAST_BITS, least_texts: int = LEAST_TEXTS, keep: list[str] | None = None,
 ) -> DataFrame:
-    """Every row as struct ``row`` with ``spans``: array<struct<start,kind,end>> by start, then kind.
+    """Every row as struct ``row`` (of the columns ``keep``, else all) with its ``text`` and ``spans``: array<struct<start,kind,end>> by start, then kind.
 
     Kind is an index of ``KINDS``; positions are code points, end exclusive.  Spans by pattern
     are always there; spans of kind term are terms within ``window`` terms of an entity that
@@ -206,7 +207,7 @@ def found_spans(
     * Terms above 64 characters are told apart by MD5; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5(text).alias("digest"), text.alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.md5(text).alias("digest"), text.alias("text"))
     observed = _observed(rows, window)
     texts = observed.where("digest is not null").groupBy("digest").agg(
         F.count("*").alias("copies"), F.any_value(F.struct("spans", "near")).alias("kept"))
