@@ -26,6 +26,8 @@ RECORDS = "Records"
 MAX_PIVOT_KEYS = 10_000
 # Texts beyond this many characters are compared by digest.
 LONG_TEXT = 64
+#: Lists of leaders up to this many rows carry a broadcast hint.
+MAX_HINTED = 10_000
 
 
 def check_aggregation(aggregation: str) -> str:
@@ -186,6 +188,11 @@ def distinct_count(df: DataFrame, groups: list[str], column: str, name: str = "u
     )
 
 
+def _hinted(leaders: DataFrame, most: int) -> DataFrame:
+    """Broadcast a list of at most ``most`` rows where that is few; else the sizes decide."""
+    return F.broadcast(leaders) if most <= MAX_HINTED else leaders
+
+
 def value_counts(df: DataFrame, columns: list[str] | None = None, top: int = 5) -> DataFrame:
     """The most frequent populated values of each field: ``field, value, count``.
 
@@ -208,9 +215,9 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, top: int = 5)
     ranked = Window.partitionBy("field").orderBy(F.desc("count"), F.asc("key"))
     leaders = counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
     short = leaders.filter(~F.col("long")).select("field", F.col("key").alias("value"), "count")
-    # At most ``top`` rows per field, so this side may be broadcast; when no long
-    # text made the list, adaptive execution leaves the second reading out.
-    listed = F.broadcast(leaders.filter("long").select("field", "key", "long", "count"))
+    # At most ``top`` rows per field; when no long text made the list, adaptive
+    # execution leaves the second reading out.
+    listed = _hinted(leaders.filter("long").select("field", "key", "long", "count"), top * len(columns))
     texts = keyed.filter("long").join(listed, ["field", "key", "long"]).groupBy("field", "key", "count")
     return short.unionByName(texts.agg(F.first("value").alias("value")).select("field", "value", "count"))
 
@@ -275,8 +282,7 @@ def top_categories(df: DataFrame, category: str, value: str, n: int) -> DataFram
         .orderBy(F.desc("__total"), F.asc("__category")).limit(int(n)).select("__category")
     )
     keyed = df.withColumn("__category", key)
-    # At most n short rows, so the semi-join side may be broadcast.
-    return join_null_safe(keyed, F.broadcast(leaders), ["__category"], "left_semi").drop("__category")
+    return join_null_safe(keyed, _hinted(leaders, int(n)), ["__category"], "left_semi").drop("__category")
 
 
 def sort_rows(df: DataFrame, value: str, ascending: bool = False, by_magnitude: bool = False) -> DataFrame:

@@ -236,3 +236,12 @@ def test_resample_series(spark):
     assert [(s, str(t), v) for s, t, v in found] == [
         ("a", "2024-01-31", 1), ("a", "2024-02-29", 0), ("a", "2024-03-31", 2), (None, "2024-02-29", 3),
     ]
+
+
+def test_leaders_are_hinted_only_where_few(frame):
+    from tablewright.operators.grouping import MAX_HINTED, top_categories
+
+    plan = lambda n: top_categories(frame, "region", "revenue", n)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(2) and "broadcast" not in plan(MAX_HINTED + 1)
+    few, many = top_categories(frame, "region", "revenue", 10), top_categories(frame, "region", "revenue", MAX_HINTED + 1)
+    assert rows(few) == rows(many) and many.count() == frame.count()
