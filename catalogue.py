@@ -799,6 +799,15 @@ def _(spark, sf_dir):
     return rounded(found, "statistic", digits=8)
 
 
+@query("csv_multiline", "SELECT doc_id, '<' || replace(coalesce(text, ''), '. ', '.' || chr(10) || '\"so\", ') || '>' AS note, n_chars FROM documents")
+def _(spark, sf_dir):
+    # Whole texts as cells with line ends, quotes and commas.
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    note = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit('.\n"so", '))
+    write_csv(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<"), note, F.lit(">")).alias("note"), "n_chars"), path)
+    return read_csv(spark, path)
+
+
 @query("test_results")
 def _(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")

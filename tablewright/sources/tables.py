@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tablewright.functions.columns import ROW_ID, col, fields, parse_integer, parse_number
 from tablewright.functions.dates import NAME_HINTS, best_formats, parse_with
+from tablewright.sources import quoted_lines
 
 # Cell texts read as missing.
 MISSING_TOKENS = (
@@ -22,11 +23,6 @@ TRUE_TEXTS = ("True", "TRUE", "true")
 FALSE_TEXTS = ("False", "FALSE", "false")
 DATE_SHARE = 0.8
 
-# A quoted stretch on one line (a doubled quote merely joins two), and a quote that
-# opens a cell.
-_QUOTED = '"[^"]*+"'
-_OPENING = '(^|,)"'
-
 
 def clean_names(names: list[str]) -> list[str]:
     """Lower-case words joined by underscores, ``column`` for a blank name.
@@ -55,6 +51,8 @@ def read_csv(
     One pass over the raw lines settles the encoding (UTF-8, else Latin-1) and
     whether quoted cells span lines; one aggregate over the cells settles every
     field's type.  Both are skipped with ``encoding`` given and ``infer=False``.
+    Files with spanning cells are split like any other (see ``quoted_lines``); a
+    line end inside a cell reads as ``\\n``.
     ``row_id`` attaches the file order as ``_row_id``.
     """
     lines = spark.read.text(path)
@@ -64,44 +62,57 @@ def read_csv(
     checks = _check_lines(lines) if encoding is None else None
     if checks is not None:
         encoding = "UTF-8" if checks["undecodable"] == 0 else "ISO-8859-1"
-    headers = [(_header(head["raw"].decode(encoding)), head["files"]) for head in heads]
+    spanning = checks is not None and checks["open_lines"] > 0
+    if spanning:
+        whole, heads = _spanning_records(lines, heads, encoding)
+    else:
+        heads = [{"text": head["raw"].decode(encoding), "files": head["files"]} for head in heads]
+    headers = [(_header(head["text"]), head["files"]) for head in heads]
     header = headers[0][0]
     if any(sorted(other) != sorted(header) for other, _ in headers):
         raise ValueError("The files do not have the same fields.")
     width = len(header)
-    spanning = False
-    if checks is not None:
-        spanning = checks["open_lines"] > 0
-        if spanning and checks["quotes"] % 2:
-            raise ValueError("A quoted cell is never closed.")
-        if not spanning and checks["widest"] > width:
-            raise ValueError("A line holds more cells than the header.")
+    if checks is not None and not spanning and checks["widest"] > width:
+        raise ValueError("A line holds more cells than the header.")
     names = [f"c{i}" for i in range(width)]
-    source = (
-        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-        .option("header", True).option("quote", '"').option("escape", '"')
-        .option("encoding", encoding).option("multiLine", spanning)
-    )
-    if len(headers) == 1:
-        raw = source.csv(path).select(*names, "_metadata")
-    else:
-        # Files whose fields come in another order are read apart and put in the first one's.
-        parts = [
-            source.csv(list(files)).select(*[F.col(f"c{other.index(cell)}").alias(n) for n, cell in zip(names, header)], "_metadata")
-            for other, files in headers
-        ]
-        raw = functools.reduce(DataFrame.unionByName, parts)
-    cells = [F.when(~F.col(n).isin(*MISSING_TOKENS), F.col(n)).alias(n) for n in names]
+    source = T.StructType([T.StructField(n, T.StringType()) for n in names])
     order = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
-    ).alias(ROW_ID)
-    table = raw.select(*cells, *([order] if row_id else []))
+    )
+    if spanning:
+        parsed = whole.where("not head").select(
+            F.from_csv("text", ", ".join(f"{n} string" for n in names), {"quote": '"', "escape": '"'}).alias("cells"),
+            F.struct("file", "block", "line").alias("order"))
+    # Files whose fields come in another order are read apart and put in the first one's.
+    parts = []
+    for other, files in headers:
+        placed = [f"c{other.index(cell)}" for cell in header]
+        if spanning:
+            chosen = parsed if len(headers) == 1 else parsed.where(F.col("order.file").isin(list(files)))
+            parts.append(chosen.select(*[F.col("cells")[c].alias(n) for n, c in zip(names, placed)], "order"))
+        else:
+            reader = spark.read.schema(source).option("header", True).option("quote", '"').option("escape", '"')
+            chosen = reader.option("encoding", encoding).csv(path if len(headers) == 1 else list(files))
+            parts.append(chosen.select(*[F.col(c).alias(n) for n, c in zip(names, placed)], order.alias("order")))
+    raw = functools.reduce(DataFrame.unionByName, parts)
+    cells = [F.when(~F.col(n).isin(*MISSING_TOKENS), F.col(n)).alias(n) for n in names]
+    table = raw.select(*cells, *([F.col("order").alias(ROW_ID)] if row_id else []))
     table = table.toDF(*clean_names(header), *([ROW_ID] if row_id else []))
     return infer_datetime_columns(infer_types(table)) if infer else table
 
 
+def _spanning_records(lines: DataFrame, heads, encoding: str):
+    """The records of files whose quoted cells span lines, and their headers as text with their files."""
+    whole = quoted_lines.records(lines, encoding, quoted_lines.borders(lines, encoding))
+    texts = [{"text": head["raw"].decode(encoding), "files": head["files"]} for head in heads]
+    if any(quoted_lines.is_left_open(head["text"].lstrip("\ufeff")) for head in texts):  # a header over several lines
+        grouped = whole.where("head").groupBy("text").agg(F.sort_array(F.collect_list("file")).alias("files"))
+        texts = sorted(grouped.collect(), key=lambda row: row["files"][0])
+    return whole, texts
+
+
 def _first_lines(lines: DataFrame):
     """The different first lines of the files, as bytes, each with the files that begin with it.
 
@@ -129,16 +140,14 @@ def _header(line: str) -> list[str]:
 
 
 def _check_lines(lines: DataFrame):
-    line = F.regexp_replace("value", "\r$", "")
     valid = F.is_valid_utf8("value")
-    bare = F.regexp_replace(line, _QUOTED, "")
+    bare = quoted_lines.outside_quotes(F.col("value"))
+    bare = F.when(F.contains("value", F.lit('"')), bare).otherwise(F.col("value"))
     cells = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     return lines.agg(
         F.count_if(~valid).alias("undecodable"),
-        F.count_if(bare.rlike(_OPENING)).alias("open_lines"),
-        F.coalesce(F.sum(quotes), F.lit(0)).alias("quotes"),
-        F.coalesce(F.max(F.when(F.length(F.trim(line)) > 0, cells)), F.lit(0)).alias("widest"),
+        F.count_if(quoted_lines.left_open(F.col("value"))).alias("open_lines"),
+        F.coalesce(F.max(F.when(F.length(F.trim("value")) > 0, cells)), F.lit(0)).alias("widest"),
     ).first()
 
 
