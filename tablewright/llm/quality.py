@@ -5,10 +5,11 @@ the shares of common words, over all documents of a language.  The measure is th
 Jensen-Shannon distance (base 2, 0 to 1).  Short texts have too few characters or words
 for a share to mean much, so guards leave them to the base rules.
 
-Everything is a column expression: one pass sums the histograms of each language (a
-handful of rows), a second one judges every row where it is.  Nothing is joined or
-shuffled but those sums.  Languages of the table without a fixed list of common words get
-theirs from its clean documents, by counts of words that are summed before the shuffle.
+Everything is a column expression.  One pass splits every text into words and settles its
+counts; the references are sums of these counts by language (a handful of rows), and the
+verdicts are made of them too, so no text is split twice.  Nothing is joined or shuffled
+but those sums.  Languages of the table without a fixed list of common words get theirs
+first, from their clean documents, by counts of words that are summed before the shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import SPACES
+from tablewright.llm.common import SPACES, settle
 
 WINDOW_WORDS = 8
 MIN_WORDS = 20
@@ -55,41 +56,37 @@ def _vocabulary(common: Mapping[str, Sequence[str]]) -> list[str]:
     return sorted({word for words in common.values() for word in words})
 
 
-def _rows(docs: DataFrame, text_col: str, lang_col: str | None) -> DataFrame:
-    """The whole row as one struct, next to the text and the language; no name can clash."""
+def _rows(docs: DataFrame, text_col: str, lang_col: str | None, carry: Sequence[str]) -> DataFrame:
+    """The carried columns as one struct, next to the text and the language; no name can clash."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         lang.alias("lang"),
     )
 
 
-def _histograms(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Adds words, n_words, chars (counts by class) and commons (counts by common word)."""
-    vocabulary = _vocabulary(common)
+def _histograms(rows: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    """Adds words, n_words, n_chars, chars (counts by class) and commons (counts by word of the vocabulary)."""
 
     def left_out(column: str, pattern: str) -> Column:
         return F.char_length(column) - F.char_length(F.regexp_replace(column, pattern, ""))
 
-    def occurring(word: str) -> Column:
-        return F.size(F.filter("found", lambda w: F.lower(w) == word))
-
     rows = rows.withColumn("rest", F.regexp_replace("text", LETTERS, ""))
-    rows = rows.withColumn("words", F.filter(F.split("text", SPACES), lambda w: w != ""))
+    rows = rows.withColumn("words", F.array_remove(F.split("text", SPACES), ""))
     rows = rows.withColumns({
         "n_words": F.size("words").cast("long"),
         "n_chars": F.char_length("text").cast("long"),
         "counted": F.array(*[left_out("rest", p).cast("long") for p in CLASSES.values()]),
-        "found": F.filter("words", lambda w: F.lower(w).isin(vocabulary)),
+        "found": F.filter(F.transform("words", F.lower), lambda w: w.isin(list(vocabulary))),
     })
     counted = [F.get("counted", F.lit(k)) for k in range(len(CLASSES))]
     letters = F.col("n_chars") - F.char_length("rest")
     other = F.char_length("rest") - sum(counted, F.lit(0))
-    commons = [occurring(v).cast("long") for v in vocabulary]
+    commons = [(F.size("found") - F.size(F.array_remove("found", word))).cast("long") for word in vocabulary]
     return rows.withColumns({
         "chars": F.array(letters, *counted, other.cast("long")),
-        "commons": F.array(*commons, F.col("n_words") - F.size("found")),
+        "commons": F.array(*commons),
     }).drop("rest", "counted", "found")
 
 
@@ -130,11 +127,16 @@ def learned_references(
     Common words are the most frequent ones, of those that make up 0.5 % of the words of
     the language's clean documents: at most 200 a language are ranked and 10 are taken.
     """
-    rows = _rows(docs, text_col, lang_col)
+    if lang_col is None:
+        return []
+    rows = _rows(docs, text_col, lang_col, [lang_col])
     rows = rows.where(F.col("lang").isNotNull() & ~F.col("lang").isin(sorted(common)))
-    if lang_col is None or rows.select("lang").isEmpty():
+    if rows.select("lang").isEmpty():
         return []
-    clean = _histograms(rows, common).where(_shaping())
+    # The filter stays above a column that is not deterministic, else it would be moved below
+    # the histograms with a copy of them.
+    shapes = F.when(F.monotonically_increasing_id() >= 0, _shaping()).otherwise(False)
+    clean = _histograms(rows, []).withColumn("shapes", shapes).where("shapes")
     sums = [F.sum(F.get("chars", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES) + 2)]
     totals = {r["lang"]: r for r in clean.groupBy("lang").agg(*sums, F.sum("n_words").alias("n_words")).orderBy("lang").collect()}
     if not totals:
@@ -154,31 +156,29 @@ def learned_references(
     return found
 
 
-def references(
-    docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang",
-    common: Mapping[str, Sequence[str]] = COMMON_WORDS,
-) -> list[tuple[list[float], list[float]]]:
+def references(measured: DataFrame, common: Mapping[str, Sequence[str]] = COMMON_WORDS) -> list[tuple[list[float], list[float]]]:
     """Shares of character classes and of common words of each language in ``common``.
 
-    Summed over documents of at least 20 words and at most 2 % symbols: one pair for each
-    language that such documents have, or one pair over all of them where none has.  At
-    most ``len(common) + 1`` rows reach the driver.
+    Summed over measured documents of at least 20 words and at most 2 % symbols: one pair
+    for each language that such documents have, or one pair over all of them where none
+    has.  At most ``len(common) + 1`` rows reach the driver.  ``commons`` begins with the
+    counts of the words of ``common``.
     """
     vocabulary = _vocabulary(common)
     known = F.when(F.col("lang").isin(sorted(common)), F.col("lang"))
-    # Left out inside the sums: a filter would be moved below the histograms and take a copy of them along.
-    shaping = lambda counts, k: F.sum(F.when(_shaping(), F.get(counts, F.lit(k))))
-    sums = [shaping("chars", k).alias(f"c{k}") for k in range(len(CLASSES) + 2)]
-    sums += [shaping("commons", k).alias(f"w{k}") for k in range(len(vocabulary) + 1)]
-    measured = _histograms(_rows(docs, text_col, lang_col), common)
-    found = measured.groupBy(known.alias("lang")).agg(*sums).where("c0 is not null").orderBy("lang").collect()
+    sums = [F.sum(F.get("chars", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES) + 2)]
+    sums += [F.sum(F.get("commons", F.lit(k))).alias(f"w{k}") for k in range(len(vocabulary))]
+    found = measured.where(_shaping()).groupBy(known.alias("lang")).agg(*sums, F.sum("n_words").alias("words")).orderBy("lang").collect()
     named = [row for row in found if row["lang"] is not None] or found
 
-    def shares(row, letter: str, count: int) -> list[float]:
-        values = [row[f"{letter}{k}"] for k in range(count)]
+    def shares(values: list[int]) -> list[float]:
         return [v / max(sum(values), 1) for v in values]
 
-    return [(shares(r, "c", len(CLASSES) + 2), shares(r, "w", len(vocabulary) + 1)) for r in named]
+    pairs = []
+    for row in named:
+        words = [row[f"w{k}"] for k in range(len(vocabulary))]
+        pairs.append((shares([row[f"c{k}"] for k in range(len(CLASSES) + 2)]), shares([*words, row["words"] - sum(words)])))
+    return pairs
 
 
 def _repeat_words(rows: DataFrame) -> DataFrame:
@@ -208,6 +208,19 @@ def _repeat_words(rows: DataFrame) -> DataFrame:
         "h1", "h2", "h4", "h8", "placed", "starts")
 
 
+def _measured(docs: DataFrame, text_col: str, lang_col: str | None, vocabulary: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """Every row with its counts; the only pass that reads all texts."""
+    rows = _repeat_words(_histograms(_rows(docs, text_col, lang_col, carry), vocabulary))
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    return rows.withColumn("lines", lines).withColumns({
+        "word_chars": F.col("n_chars") - F.get("chars", F.lit(1)),
+        "n_symbols": F.get("chars", F.lit(3)),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        "base_failed": (F.col("n_words") < MIN_WORDS)
+        | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
+    }).drop("text", "words", "lines")
+
+
 def judged(
     docs: DataFrame,
     text_col: str = "text",
@@ -215,6 +228,7 @@ def judged(
     common: Mapping[str, Sequence[str]] = COMMON_WORDS,
     max_char_distance: float = MAX_CHAR_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every row as struct ``row`` with its measures, base_failed, distances and kept.
 
@@ -229,39 +243,26 @@ def judged(
     * A null text counts as empty: 0 words, base_failed.  A null language is in no reference.
     * Without any language reference (empty table) the base rules decide alone.
     * Repeated rows are judged one by one, all equal; extra columns stay inside ``row``.
+    * ``carry`` names the columns of ``row``, all by default.  They are written with the
+      counts, to the shared folder, so a caller that needs an id asks for no more.
     """
-    fixed = references(docs, text_col, lang_col, common)
     learned = learned_references(docs, text_col, lang_col, common)
-    rows = _repeat_words(_histograms(_rows(docs, text_col, lang_col), common))
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.withColumn("lines", lines).withColumns({
-        "word_chars": F.col("n_chars") - F.get("chars", F.lit(1)),
-        "n_symbols": F.get("chars", F.lit(3)),
-        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        "base_failed": (F.col("n_words") < MIN_WORDS)
-        | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-    })
-    rows = rows.withColumn("char_shares", _shares(F.col("chars"))).withColumn("word_shares", _shares(F.col("commons")))
+    vocabulary = _vocabulary(common)
+    vocabulary += sorted({word for _, words, _ in learned for word in words} - set(vocabulary))
+    carried = docs.columns if carry is None else list(carry)
+    rows = settle(_measured(docs, text_col, lang_col, vocabulary, carried), "measures")
+    held = {word: F.get("commons", F.lit(k)) for k, word in enumerate(vocabulary)}
+
+    def word_shares(words: Sequence[str]) -> Column:
+        return _shares(F.array(*[held[w] for w in words], F.col("n_words") - sum((held[w] for w in words), F.lit(0).cast("long"))))
+
+    rows = rows.withColumn("char_shares", _shares(F.col("chars"))).withColumn("word_shares", word_shares(_vocabulary(common)))
+    far = [(chars, F.col("word_shares"), words) for chars, words in references(rows, common)]
+    far += [(chars, word_shares(words), shares) for chars, words, shares in learned]
     far = F.array(*[
-        F.struct(_distance(F.col("char_shares"), _numbers(chars)).alias("chars"),
-                 _distance(F.col("word_shares"), _numbers(words)).alias("words"))
-        for chars, words in fixed
-    ]) if fixed else F.expr("cast(array() as array<struct<chars:double,words:double>>)")
-    if learned:
-        rows = rows.withColumn("lowered", F.transform("words", F.lower))
-        own = F.array(*[
-            F.struct(_numbers(chars).alias("chars"), F.array(*map(F.lit, words)).cast("array<string>").alias("words"),
-                     _numbers(shares).alias("shares"))
-            for chars, words, shares in learned
-        ])
-
-        def held(words: Column) -> Column:
-            counts = F.transform(words, lambda w: F.size(F.filter("lowered", lambda x: x == w)).cast("long"))
-            named = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-            return _shares(F.concat(counts, F.array(F.col("n_words") - named)))
-
-        far = F.concat(far, F.transform(own, lambda r: F.struct(
-            _distance(F.col("char_shares"), r["chars"]).alias("chars"), _distance(held(r["words"]), r["shares"]).alias("words"))))
+        F.struct(_distance(F.col("char_shares"), _numbers(chars)).alias("chars"), _distance(shown, _numbers(shares)).alias("words"))
+        for chars, shown, shares in far
+    ]) if far else F.expr("cast(array() as array<struct<chars:double,words:double>>)")
     fits = F.exists("distances", lambda d: (
         ((d["chars"] <= max_char_distance) | (F.col("n_chars") < GUARD_CHARS))
         & ((d["words"] <= max_word_distance) | (F.col("n_words") < GUARD_WORDS))))

@@ -57,7 +57,7 @@ def op4_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.judged(docs).select(
+    return quality.judged(docs, carry=["doc_id"]).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
