@@ -82,11 +82,12 @@ _WORD = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "named")
+    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "named", "inside")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool, named: bool = False):
         self.tag, self.parent, self.noise, self.named = tag, parent, noise, named
         self.children: list[Node | str] = []
+        self.inside = tag in ARTICLE_TAGS or (parent is not None and parent.inside)
 
 
 def _name(token: str) -> str | None:
@@ -106,7 +107,7 @@ def _noise(tag: str, attributes: str, parent: Node | None) -> tuple[bool, bool]:
     if tag in NOISE_TAGS:
         return True, False
     # The head of an article holds its title; the page's own header does not.
-    page_part = not any(a.tag in ARTICLE_TAGS for a in _ancestors(parent))
+    page_part = parent is None or not parent.inside
     if tag == "header":
         return page_part, False
     if not attributes or tag in ("html", "body", "main"):
@@ -163,9 +164,9 @@ def parse(page: str) -> Node:
         node = Node(tag, here, *_noise(tag, found[3], here))
         here.children.append(node)
         if tag in ARTICLE_TAGS and not node.noise:
-            # A layout that is named after its sidebar still holds the article.
+            # A layout that is named after its sidebar still holds the article, as does a form around the page.
             for outer in _ancestors(here):
-                outer.noise = outer.noise and (outer.tag in NOISE_TAGS or outer.tag in ARTICLE_TAGS)
+                outer.noise = outer.noise and outer.tag != "form" and (outer.tag in NOISE_TAGS or outer.tag in ARTICLE_TAGS)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             node.children.append(page[at : close.start() if close else size])
@@ -255,6 +256,14 @@ def _stays(node: Node) -> bool:
     return node.named and _prose(node)
 
 
+def _wraps(node: Node) -> bool:
+    """Whether a form's own main text is prose, as that of a form around a whole page."""
+    if node.tag != "form":
+        return False
+    measure(node)
+    return _prose(main_node(node))
+
+
 def blocks_of(node: Node) -> list[str]:
     """Texts of the blocks below a node, in page order; noise is left out, but for candidates that are prose."""
     found: list[str] = []
@@ -298,11 +307,11 @@ def main_text(page: str) -> str:
 
 
 def _unnamed(root: Node) -> bool:
-    """Makes candidates that hold prose, outside of other noise, ordinary elements; whether there were any."""
+    """Makes candidates and forms that hold prose, outside of other noise, ordinary elements; whether there were any."""
     found, stack = False, [root]
     while stack:
         node = stack.pop()
-        if node.noise and _stays(node):
+        if node.noise and (_stays(node) or _wraps(node)):
             node.noise, found = False, True
         if not node.noise or node.named:
             stack.extend(c for c in node.children if isinstance(c, Node))

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -29,6 +30,22 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<body><form action=/><div class=menu><a href=1>m</a></div><article><h1>T</h1><p>{LONG}</p></article><input></form>", f"T\n{LONG}"),
+    (f"<body><form><nav><a href=1>m</a></nav><div><p>{LONG}</p><p>{LONG}</p><p>Short.</p></div><input></form></body>", f"{LONG}\n{LONG}\nShort."),
+    (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><form><p>Your name and your address, please.</p><input></form></body>", f"{LONG}\n{LONG}"),
+    ("<body><form><label>Name</label><input><label>Pass</label><input></form></body>", ""),
+])
+def test_forms_around_pages_and_in_them(page, text):
+    assert main_text(page) == text
+
+
+def test_nested_inline_elements_take_linear_time():
+    begin = time.process_time()
+    assert main_text("<article><p>" + "<b>" * 16_000 + LONG + "</b>" * 16_000 + "</article>") == LONG
+    assert time.process_time() - begin < 2
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert main_text("<article>" + f"<p>{LONG}</p>" * 5000 + "</article>").count("\n") == 4999
