@@ -132,7 +132,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The documents of the mix in their order, repeated as often as they are served.
 
     Rows are whole: a turn in service when the budget ends counts when half its words are
-    served.  The columns are those of ``docs``.
+    served.  A text without words is never served.  The columns are those of ``docs``.
     """
-    turns = schedule(docs, id_col, text_col, source_col).where(2 * F.col("taken") >= F.col("size"))
+    turns = schedule(docs, id_col, text_col, source_col).where((F.col("size") > 0) & (2 * F.col("taken") >= F.col("size")))
     return in_order(turns).select("row.*")

@@ -59,6 +59,11 @@ def test_mix_is_in_order_and_whole(spark, documents):
     assert finish[-1] >= 1 and sum(f > 1 for f in finish) <= 2
 
 
+def test_texts_without_words_are_not_served(spark, documents):
+    docs = documents((1, "a b c", "en", "a"), (2, "", "en", "a"), (3, None, "en", "b"), (4, " \n", "en", "b"), (5, "d e", "en", "b"))
+    assert {r.doc_id for r in mixed(docs).collect()} == {1, 5}
+
+
 def test_empty_table(spark, documents):
     none = documents((1, "a")).where("false")
     assert taken_words(schedule(none)).collect() == [] and mixed(none).collect() == []
