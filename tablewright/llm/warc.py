@@ -31,6 +31,8 @@ from tablewright.llm.common import new_folder, settle
 MIN_REVISIT_BYTES = 1000
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
+#: Bytes of records that a task reads back, about.
+READ_BYTES = 32 << 20
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the seekable format and of the revisit profile.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -227,7 +229,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()),
         T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType()),
     ])
-    rows = index.select("bundle", "frame", "offset", "length").repartition("bundle")
+    # A number of its own: adaptive execution would join partitions by the few bytes of the
+    # index, not by the records behind them.
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    rows = index.select("bundle", "frame", "offset", "length").repartition(max(1, -(-size // READ_BYTES)), "bundle")
     return rows.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(work, schema)
 
 
