@@ -20,9 +20,11 @@ REMEMBERED_WORDS = 400_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, else one in the warehouse."""
+    """The folder all executors see: ``spark.checkpoint.dir``; on one machine else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_settled"
     return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
 
