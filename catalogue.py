@@ -597,6 +597,33 @@ def _(spark, sf_dir):
     return rounded(quality.correlation_matrix(gapped(spark, sf_dir)), *_EVENT_NUMBERS)
 
 
+@query("corr_matrix_by_blocks", ORACLES["corr_matrix"])
+def _(spark, sf_dir):
+    return rounded(quality.correlation_matrix(gapped(spark, sf_dir), wide=True), *_EVENT_NUMBERS)
+
+
+# A wide table of lines: a bit of each key in turn, with gaps, beside the measures.
+_WIDE = {f"b{k}": ("l_orderkey", "l_partkey", "l_suppkey")[k % 3] for k in range(44)}
+_WIDE_SQL = ("WITH w AS (SELECT " + ", ".join(
+    f"CASE WHEN l_linenumber <> {k % 7 + 1} THEN l_quantity * (({c} >> {k % 11}) & 3) END AS {n}"
+    for k, (n, c) in enumerate(_WIDE.items())) + ", l_extendedprice, l_discount FROM lineitem), "
+    "c AS (SELECT " + ", ".join(
+        f"corr({a}, {b}) AS {a}__{b}" for a, b in combinations([*_WIDE, "l_extendedprice", "l_discount"], 2)) + " FROM w), "
+    "p AS (UNPIVOT c ON * INTO NAME pair VALUE r) ")
+
+
+@query("corr_pairs_wide", _WIDE_SQL + "SELECT split_part(pair, '__', 1) AS first, split_part(pair, '__', 2) AS second, "
+       "round(r, 6) AS r FROM p")
+def _(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    bits = [
+        F.when(F.col("l_linenumber") != k % 7 + 1,
+               F.col("l_quantity") * F.shiftright(c, k % 11).bitwiseAND(F.lit(3))).alias(n)
+        for k, (n, c) in enumerate(_WIDE.items())
+    ]
+    return rounded(quality.correlation_pairs(lines.select(*bits, "l_extendedprice", "l_discount")), "r")
+
+
 @query("report_tables", f"{_FACTORS}, d AS (" + " UNION ALL ".join(_description(f, 6) for f in ("user_id", "value")) + ") "
        "SELECT 'overview' AS section, CAST(NULL AS VARCHAR) AS field, 'rows' AS metric, CAST(n AS DOUBLE) AS value FROM m "
        "UNION ALL SELECT 'overview', NULL, 'columns', 3 UNION ALL SELECT 'overview', NULL, 'duplicates', n - kept FROM m "

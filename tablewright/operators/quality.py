@@ -26,6 +26,7 @@ from tablewright.functions.columns import (
     require_numeric,
     text,
 )
+from tablewright.operators.gram import pairwise_correlations
 from tablewright.operators.grouping import LONG_TEXT, describe, value_counts
 from tablewright.operators.quantiles import quantile_table
 from tablewright.operators.sampling import data_only
@@ -34,6 +35,8 @@ from tablewright.operators.sampling import data_only
 COMPLETENESS_WEIGHT, UNIQUENESS_WEIGHT, USEFULNESS_WEIGHT = 0.55, 0.30, 0.15
 # Most distinct values a field may hold for each use.
 COLOUR_LIMIT, KPI_SPLIT_LIMIT, CHART_CATEGORY_LIMIT, TEST_GROUP_LIMIT = 20, 30, 40, 20
+# Most fields whose pairs are written out in one aggregate.
+NARROW_FIELDS = 32
 # The chart families, and the numeric, categorical and date fields each needs.
 CHART_NEEDS = {
     "Column chart": (0, 1, 0),
@@ -293,12 +296,18 @@ def correlation(df: DataFrame, x: str, y: str) -> Column:
     return F.try_divide(F.covar_samp(a, b), deviations)
 
 
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``first, second, r`` of every unordered pair, from one aggregate."""
-    columns = list(columns or column_groups(df).numeric)
-    require_numeric(df, *columns)
-    if len(columns) < 2:
-        raise ValueError("At least two numeric fields are needed.")
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None, wide: bool | None = None) -> DataFrame:
+    """``first, second, r`` of every unordered pair, from one pass.
+
+    Up to ``NARROW_FIELDS`` fields each pair is an expression of one aggregate; more
+    fields (or ``wide``) take blocks of pairwise moments, whose plan grows with the
+    fields, not with the pairs.  Both give the same figures.
+    """
+    columns = _correlated(df, columns)
+    if wide if wide is not None else len(columns) > NARROW_FIELDS:
+        names = F.array(*[F.lit(n) for n in columns])
+        pairs = pairwise_correlations(df, columns).filter("i < j")
+        return pairs.select(F.get(names, F.col("i")).alias("first"), F.get(names, F.col("j")).alias("second"), "r")
     pairs = [
         F.struct(F.lit(x).alias("first"), F.lit(y).alias("second"), correlation(df, x, y).alias("r"))
         for x, y in combinations(columns, 2)
@@ -306,12 +315,11 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return df.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """The square matrix: ``field`` and one column per field."""
-    columns = list(columns or column_groups(df).numeric)
-    require_numeric(df, *columns)
-    if len(columns) < 2:
-        raise ValueError("At least two numeric fields are needed.")
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None, wide: bool | None = None) -> DataFrame:
+    """The square matrix: ``field`` and one column per field; ``wide`` as for the pairs."""
+    columns = _correlated(df, columns)
+    if wide if wide is not None else len(columns) > NARROW_FIELDS:
+        return _matrix_by_blocks(df, columns)
     cells = {frozenset(pair): correlation(df, *pair) for pair in combinations(columns, 2)}
     own = {x: F.when(F.stddev_samp(number(df, x)) > 0, 1.0) for x in columns}
     flat = {f"c{i}_{j}": (own[x] if x == y else cells[frozenset((x, y))])
@@ -327,9 +335,29 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     return matrix.select(F.inline(F.array(*rows)))
 
 
-def strongest_correlations(df: DataFrame, top: int = 4) -> DataFrame:
+def _correlated(df: DataFrame, columns: list[str] | None) -> list[str]:
+    columns = list(columns or column_groups(df).numeric)
+    require_numeric(df, *columns)
+    if len(columns) < 2:
+        raise ValueError("At least two numeric fields are needed.")
+    return columns
+
+
+def _matrix_by_blocks(df: DataFrame, columns: list[str]) -> DataFrame:
+    half = pairwise_correlations(df, columns).select("i", "j", "r")
+    # Each pair stands in the rows of both its fields.
+    cells = half.select(F.inline(F.array(
+        F.struct(F.col("i").alias("row"), F.col("j").alias("at"), "r"),
+        F.struct(F.col("j").alias("row"), F.col("i").alias("at"), "r"))))
+    across = cells.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("at", "r"))).alias("r"))
+    names = F.array(*[F.lit(n) for n in columns])
+    return across.orderBy("row").select(
+        F.get(names, F.col("row")).alias("field"), *[F.col("r")[k].alias(n) for k, n in enumerate(columns)])
+
+
+def strongest_correlations(df: DataFrame, top: int = 4, wide: bool | None = None) -> DataFrame:
     """The pairs with the largest |r|, rounded to three places."""
-    pairs = correlation_pairs(df).filter(F.col("r").isNotNull())
+    pairs = correlation_pairs(df, wide=wide).filter(F.col("r").isNotNull())
     strongest = pairs.orderBy(F.desc(F.abs("r")), "first", "second").limit(top)
     return strongest.select("first", "second", F.round("r", 3).alias("correlation"))
 

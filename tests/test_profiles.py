@@ -176,3 +176,52 @@ def test_points_histogram_box(spark):
     spiked = df.withColumn("x", F.when(F.col("id") == 9, 1e6).otherwise(F.col("x")))
     assert C.box_table(spiked, "x").first()["outliers"] == 1
     assert rows(C.box_outliers(spiked, "x")) == [("All", 1e6)]
+
+
+def _corr_rows(df, wide):
+    return {(r["first"], r["second"]): r["r"] for r in Q.correlation_pairs(df, wide=wide).collect()}
+
+
+def test_correlations_by_blocks_equal_the_aggregate(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(400, 5)) + 1e6, columns=list("abcde"))
+    pdf["b"] += pdf["a"] - 1e6
+    for name in "cde":
+        pdf.loc[rng.random(400) < .3, name] = np.nan
+    pdf["k"] = 0.1
+    pdf["half"] = np.where(pdf["c"].isna(), rng.normal(size=400), 0.7)  # constant wherever c is held
+    pdf["void"] = np.nan
+    pdf["once"] = [4.0] + [np.nan] * 399
+    pdf["far"] = [np.inf] + list(rng.normal(size=399))
+    df = spark.createDataFrame(pdf).repartition(5)
+    plain, blocks = _corr_rows(df, False), _corr_rows(df, True)
+    assert plain.keys() == blocks.keys() and len(blocks) == 45
+    for pair, r in plain.items():
+        if r is None or np.isnan(r):
+            assert repr(blocks[pair]) == repr(r), pair
+        else:
+            assert blocks[pair] == pytest.approx(r, abs=1e-9), pair
+    assert blocks["c", "half"] is None and blocks["a", "k"] is None and blocks["a", "once"] is None
+    for one, other in zip(Q.correlation_matrix(df, wide=False).collect(), Q.correlation_matrix(df, wide=True).collect()):
+        assert one["field"] == other["field"]
+        for n in pdf.columns:
+            assert (one[n] is None and other[n] is None) or one[n] == pytest.approx(other[n], nan_ok=True), n
+
+
+def test_blocks_do_not_change_correlations(spark):
+    from tablewright.operators.gram import pairwise_correlations
+
+    df = spark.range(300).select(*[F.when(F.col("id") % (k + 2) != 0, F.hash("id", F.lit(k)) % 100).alias(f"x{k}") for k in range(7)])
+    whole, small = (pairwise_correlations(df, df.columns, b).orderBy("i", "j").collect() for b in (64, 3))
+    assert [tuple(r)[:3] for r in whole] == [tuple(r)[:3] for r in small] and len(whole) == 28
+    assert all(a["r"] == pytest.approx(b["r"]) for a, b in zip(whole, small))
+    empty = pairwise_correlations(df.limit(0), df.columns).collect()
+    assert len(empty) == 28 and all(r["n"] == 0 and r["r"] is None for r in empty)
+
+
+def test_the_plan_of_wide_correlations_grows_with_fields(spark):
+    def plan(width):
+        df = spark.range(10).select(*[(F.col("id") + k).alias(f"x{k}") for k in range(width)])
+        return len(Q.correlation_pairs(df)._jdf.queryExecution().optimizedPlan().toString())
+
+    assert plan(200) < 2.5 * plan(100)
