@@ -225,3 +225,30 @@ def test_division_by_zero(spark):
 def test_unknown_operation(frame):
     with pytest.raises(ValueError):
         apply_operation(frame, {"kind": "not-real", "params": {}})
+
+
+def test_date_formats_are_counted_on_every_cell_they_read(spark):
+    from tablewright.functions import dates
+
+    cells = [
+        "2024-03-05", "2024-3-5", "2024/03/05", "2024/13/05", "03/25/2024", "25/03/2024", "0003/25/2024", "3/5/2024 7:08",
+        "3/5/2024 7:08:09", "25/3/2024 7:08", "03-25-2024", "25-03-2024", "25.03.2024", "5.13.2024", "20240305", "+120240305",
+        "5 Mar 2024", "5-mar-2024", "MAR 5, 2024", "March 5, 2024", "5 March 2024", "Mar 2024", "march 2024", "2024-03", "+12024/3/5",
+        "-3/5/2024", "a/b/c", "//", "--", "", "  2024-03-05 ", " 3/5/2024 ", "99999999999/1/2020", "٣/٥/2024", "soon", "May 2024", "5 May 2024", None,
+        "2024-03-05T07:08:09Z", "2024-03-05 07:08", "1/2/3", "2024-03-05-06", "3/5/2024  7:08", "12/31/99", "02/30/2024",
+    ]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    forms = [dates.ISO_FORMAT, *dates.DATE_FORMATS]
+    plain = df.select("c", *[dates.parse_with(F.col("c"), f).cast("string").alias(f"p{i}") for i, f in enumerate(forms)]).collect()
+    trimmed = F.trim("c")
+    marks = dates._marks(F.col("c"))
+    bare = F.translate(marks, dates._LETTERS, "")
+    gates = df.select("c", *[dates._may_fit(f, trimmed, marks, bare).alias(f"p{i + 1}") for i, f in enumerate(forms[1:])]).collect()
+    for read, gate in zip(plain, gates):
+        for i, form in enumerate(forms[1:], 1):
+            assert gate[f"p{i}"] or read[f"p{i}"] is None, (read["c"], form)
+    # The format chosen over any one cell is the first that reads it.
+    for read in plain[::6]:
+        first = next((f for i, f in enumerate(forms) if read[f"p{i}"] is not None), None)
+        one = spark.createDataFrame([(read["c"],)], "c string")
+        assert dates.best_formats(one, ["c"])["c"] == first, read["c"]
