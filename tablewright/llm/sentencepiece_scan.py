@@ -38,8 +38,8 @@ from tablewright.llm.common import as_bytes, blocks, settle
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of more characters are encoded in chunks of CHUNK_CHARS.
-GIANT_CHARS = 40_000
-CHUNK_CHARS = 10_000
+GIANT_CHARS = 20_000
+CHUNK_CHARS = 5_000
 #: Matrices multiplied by one task before those of a document meet.
 BLOCK_PARTS = 64
 #: Pieces and pairs remembered by a worker before it starts anew.
