@@ -981,6 +981,40 @@ def _(spark, sf_dir):
     return rounded(undone.select("event_id", "user_id", "event_type", "value"), "value")
 
 
+# Labels follow the centres: the clouds of customers lie apart in x, every seventh has no x.
+_CLOUDS = ("WITH c AS (SELECT c_custkey, c_nationkey % 4 + 1 AS cloud, CAST(c_acctbal AS DOUBLE) AS balance, "
+           "CASE WHEN c_custkey % 7 <> 0 THEN (c_nationkey % 4) * 1e6 + CAST(c_acctbal AS DOUBLE) END AS x FROM customer) ")
+
+
+def _clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    balance, cloud = F.col("c_acctbal").cast("double"), F.col("c_nationkey") % 4
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", balance.alias("balance"),
+        F.when(F.col("c_custkey") % 7 != 0, cloud * 1e6 + balance).alias("x"))
+
+
+@query("segments_labelled", _CLOUDS + "SELECT c_custkey, CASE WHEN x IS NOT NULL THEN CAST(cloud AS INTEGER) END AS segment FROM c")
+def _(spark, sf_dir):
+    return segment_rows(_clouds(spark, sf_dir), ["x"], 4)[0].select("c_custkey", "segment")
+
+
+@query("segment_profiles_labelled", _CLOUDS + "SELECT CAST(cloud AS INTEGER) AS segment, round(avg(x), 2) AS x, count(*) AS rows "
+       "FROM c WHERE x IS NOT NULL GROUP BY 1")
+def _(spark, sf_dir):
+    return rounded(segment_rows(_clouds(spark, sf_dir), ["x"], 4)[1], "x", digits=2)
+
+
+@query("recipe_segments_labelled", _CLOUDS + "SELECT CAST(cloud AS INTEGER) AS segment, count(balance) AS balance FROM c "
+       "WHERE x IS NOT NULL GROUP BY 1")
+def _(spark, sf_dir):
+    steps = [
+        operation_record("missing", "Rows with x", {"column": "x", "method": "Drop rows"}),
+        operation_record("segment", "Segment customers", {"columns": ["x"], "clusters": 4}),
+        operation_record("group", "By segment", {"groups": ["segment"], "values": ["balance"], "aggregation": "count"}),
+    ]
+    return replay_recipe(_clouds(spark, sf_dir), steps)[0]
+
+
 @query("recipe_join", "SELECT n_name, count(c_acctbal) AS c_acctbal FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def _(spark, sf_dir):
     steps = [

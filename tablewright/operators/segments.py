@@ -18,7 +18,11 @@ def segment_rows(
     df: DataFrame, columns: list[str], clusters: int, seed: int = SEED, max_iterations: int = MAX_ITERATIONS
 ) -> tuple[DataFrame, DataFrame]:
     """Append ``segment`` (1..clusters, missing for incomplete rows); also return the
-    mean of each field and the row count per segment."""
+    mean of each field and the row count per segment.
+
+    Segments are numbered by their centres, in the order of the first field, then the
+    next ones, so equal clusters bear equal labels whatever the seed.
+    """
     columns, clusters = list(columns), int(clusters)
     require_numeric(df, *columns)
     if not columns or clusters < 2:
@@ -39,10 +43,13 @@ def segment_rows(
         k=clusters, seed=seed, maxIter=max_iterations, tol=1e-4, featuresCol="__scaled", predictionCol="__cluster"
     ).fit(scaling.transform(assembled).select("__scaled"))
 
+    centres = [tuple(centre) for centre in model.clusterCenters()]
+    ranks = {cluster: rank for rank, cluster in enumerate(sorted(range(len(centres)), key=centres.__getitem__), 1)}
+    label = F.element_at(F.array(*[F.lit(ranks[c]) for c in range(len(centres))]), F.col("__cluster") + 1)
     labelled = model.transform(scaling.transform(assembler.transform(prepared)))
     segmented = labelled.select(
         *[col(n) for n in df.columns if n != "segment"],
-        F.when(complete, F.col("__cluster") + 1).cast("int").alias("segment"),
+        F.when(complete, label).cast("int").alias("segment"),
     )
     return segmented, segment_profiles(segmented, columns)
 
