@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.functions.storage import shared_folder
-from tablewright.operators import charts, cleaning, filtering, grouping, hypothesis_tests, kpis, quality, timeseries
+from tablewright.operators import charts, cleaning, filtering, grouping, hypothesis_tests, kpis, quality, segment_tests, timeseries
 from tablewright.operators.anomalies import detect_anomalies, top_anomalies
 from tablewright.operators.forecasting import forecast_series
 from tablewright.operators.joining import join_tables
@@ -835,20 +835,90 @@ def _(spark, sf_dir):
     return read_csv(spark, path)
 
 
-@query("test_results")
-def _(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders")
-    results = [
-        hypothesis_tests.statistical_test(lines, hypothesis_tests.TWO_GROUPS, "l_extendedprice", "l_linestatus"),
-        hypothesis_tests.statistical_test(lines, hypothesis_tests.MANY_GROUPS, "l_extendedprice", "l_returnflag"),
-        hypothesis_tests.statistical_test(orders, hypothesis_tests.ASSOCIATION, None, "o_orderstatus", "o_orderpriority"),
-        hypothesis_tests.statistical_test(lines, hypothesis_tests.RELATIONSHIP, "l_quantity", None, "l_extendedprice"),
-    ]
-    return spark.createDataFrame(
-        [(r.name, r.statistic, r.pvalue, r.confidence, r.significant, r.effect) for r in results],
-        "name string, statistic double, pvalue double, confidence double, significant boolean, effect double",
-    )
+def _t_tail(t: str, dof: str) -> str:
+    """Both tails of Student's t by Simpson's rule over the angle whose tangent is t / sqrt(dof)."""
+    start = f"atan(abs({t}) / sqrt({dof}))"
+    step = f"(least(pi() / 2 - 1e-12, {start} + 40 / sqrt({dof})) - {start}) / 4000"
+    weight = "CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return (f"(SELECT 2 * exp(lgamma(({dof} + 1) / 2) - lgamma({dof} / 2)) / sqrt(pi()) * sum({weight} * "
+            f"exp(({dof} - 1) * ln(cos({start} + k * {step})))) * ({step}) / 3 FROM range(4001) w(k))")
+
+
+def _welch_sql(source: str, keys: str) -> str:
+    """t, dof and effect of prices by line status, a row for each of ``keys``."""
+    return (f"WITH g AS (SELECT {keys}, l_linestatus AS g, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v "
+            f"FROM {source} GROUP BY ALL), p AS (SELECT a.{keys.split()[-1]}, a.m - b.m AS effect, a.v / a.n AS x, b.v / b.n AS y, "
+            f"a.n AS na, b.n AS nb FROM g a JOIN g b USING ({keys.split()[-1]}) WHERE a.g = 'F' AND b.g = 'O') "
+            "SELECT *, na + nb AS n, effect / sqrt(x + y) AS t, (x + y) ** 2 / (x * x / (na - 1) + y * y / (nb - 1)) AS dof FROM p")
+
+
+def _anova_sql(keys: str) -> str:
+    key = keys.split()[-1]
+    return (f"WITH g AS (SELECT {keys}, l_returnflag, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v "
+            f"FROM lineitem GROUP BY ALL), t AS (SELECT {key}, sum(n * m) / sum(n) AS grand FROM g GROUP BY ALL) "
+            f"SELECT {key}, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) AS DOUBLE) - 3 AS within, "
+            "(sum(n * (m - grand) ** 2) / 2) / (sum((n - 1) * v) / (sum(n) - 3)) AS f FROM g JOIN t "
+            f"USING ({key}) GROUP BY ALL")
+
+
+# With two degrees between the groups, the upper tail of F has a closed form; chi-square has one for even degrees.
+_F_TAIL = "pow(within / (within + 2 * f), within / 2)"
+
+
+def _chi_sql(source: str, keys: str, first: str, second: str) -> str:
+    key = keys.split()[-1]
+    return (f"WITH c AS (SELECT {keys}, {first} AS a, {second} AS b, count(*) AS o FROM {source} GROUP BY ALL), "
+            f"m AS (SELECT *, sum(o) OVER (PARTITION BY {key}, a) AS ra, sum(o) OVER (PARTITION BY {key}, b) AS cb, "
+            f"sum(o) OVER (PARTITION BY {key}) AS total FROM c) SELECT {key}, CAST(max(total) AS BIGINT) AS n, "
+            "max(total) * (sum(o * o / (ra * cb)) - 1) AS chi FROM m GROUP BY ALL")
+
+
+_TESTED = "round(statistic, 6) AS statistic, round(pvalue, 7) AS pvalue, pvalue < 0.05 AS significant, round(effect, 6) AS effect"
+
+
+def _tested(results: DataFrame) -> DataFrame:
+    told = rounded(rounded(results, "statistic", "effect"), "pvalue", digits=7)
+    return told.drop("dof", "dof_within", "confidence")
+
+
+@query("test_results",
+       f"WITH welch AS ({_welch_sql('lineitem', '1 AS one')}), anova AS ({_anova_sql('1 AS one')}), "
+       f"chi AS ({_chi_sql('orders', '1 AS one', 'o_orderstatus', 'o_orderpriority')}), "
+       "r AS (SELECT count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem), "
+       f"k AS (SELECT 'Welch''s t-test' AS name, n, t AS statistic, {_t_tail('t', 'dof')} AS pvalue, effect FROM welch "
+       f"UNION ALL SELECT 'One-way ANOVA', n, f, {_F_TAIL}, NULL FROM anova "
+       "UNION ALL SELECT 'Chi-square association test', n, chi, exp(-chi / 2) * (1 + chi / 2 + chi ** 2 / 8 + chi ** 3 / 48), "
+       "sqrt(chi / (n * 2)) FROM chi "
+       f"UNION ALL SELECT 'Pearson correlation test', n, r, {_t_tail('r * sqrt((n - 2) / (1 - r * r))', '(n - 2.0)')}, r FROM r) "
+       f"SELECT name, n, {_TESTED} FROM k")
+def _(spark, sf_dir):
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return _tested(segment_tests.tests_together([
+        segment_tests.segment_tests(lines, hypothesis_tests.TWO_GROUPS, [], "l_extendedprice", "l_linestatus"),
+        segment_tests.segment_tests(lines, hypothesis_tests.MANY_GROUPS, [], "l_extendedprice", "l_returnflag"),
+        segment_tests.segment_tests(orders, hypothesis_tests.ASSOCIATION, [], None, "o_orderstatus", "o_orderpriority"),
+        segment_tests.segment_tests(lines, hypothesis_tests.RELATIONSHIP, [], "l_quantity", None, "l_extendedprice"),
+    ]))
+
+
+for _name, _test, _columns, _sql in [
+    ("welch_by_segment", hypothesis_tests.TWO_GROUPS, ("l_extendedprice", "l_linestatus", None),
+     f"WITH k AS (SELECT *, t AS statistic, {_t_tail('t', 'dof')} AS pvalue, 'Welch''s t-test' AS name FROM ("
+     + _welch_sql("lineitem", "l_linenumber") + "))"),
+    ("anova_by_segment", hypothesis_tests.MANY_GROUPS, ("l_extendedprice", "l_returnflag", None),
+     f"WITH k AS (SELECT *, f AS statistic, {_F_TAIL} AS pvalue, 'One-way ANOVA' AS name, CAST(NULL AS DOUBLE) AS effect FROM ("
+     + _anova_sql("l_linenumber") + "))"),
+    ("association_by_segment", hypothesis_tests.ASSOCIATION, (None, "l_returnflag", "l_linestatus"),
+     "WITH k AS (SELECT *, chi AS statistic, exp(-chi / 2) AS pvalue, 'Chi-square association test' AS name, sqrt(chi / n) AS effect FROM ("
+     + _chi_sql("lineitem", "l_linenumber", "l_returnflag", "l_linestatus") + "))"),
+    ("relationship_by_segment", hypothesis_tests.RELATIONSHIP, ("l_discount", None, "l_tax"),
+     "WITH k AS (SELECT *, r AS statistic, r AS effect, 'Pearson correlation test' AS name, "
+     + _t_tail("r * sqrt((n - 2) / (1 - r * r))", "(n - 2.0)") + " AS pvalue FROM (SELECT l_linenumber, count(*) AS n, "
+     "corr(l_discount, l_tax) AS r FROM lineitem GROUP BY 1))"),
+]:
+    @query(_name, f"{_sql} SELECT l_linenumber, name, n, {_TESTED} FROM k")
+    def _(spark, sf_dir, test=_test, columns=_columns):
+        return _tested(segment_tests.segment_tests(table(spark, sf_dir, "lineitem"), test, ["l_linenumber"], *columns))
 
 
 # --- Models -------------------------------------------------------------------

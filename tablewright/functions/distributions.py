@@ -1,6 +1,7 @@
 """Tail probabilities of the t, F and chi-square distributions.
 
-Only single numbers left after an aggregation pass through here, on the driver.
+Only numbers left after an aggregation pass through here: single ones on the driver, one
+row a test in Arrow batches on the executors.
 The incomplete beta and gamma functions use the continued fractions and series of
 the standard numerical literature.
 """
@@ -8,6 +9,10 @@ the standard numerical literature.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, functions as F
 
 _TINY = 1e-300
 _PRECISION = 1e-15
@@ -89,6 +94,35 @@ def chi_square_upper(statistic: float, dof: float) -> float:
     return upper_gamma(dof / 2.0, statistic / 2.0)
 
 
+def r_two_sided(r: float, dof: float) -> float:
+    """P(|R| >= |r|) of a correlation over dof + 2 pairs of independent values."""
+    rest = 1 - min(1.0, r * r)
+    return 0.0 if rest == 0 else t_two_sided(r * math.sqrt(dof / rest), dof)
+
+
+TAILS: dict[str, Callable[[float, float, float], float]] = {
+    "t": lambda statistic, dof, _: t_two_sided(statistic, dof),
+    "F": f_upper,
+    "chi-square": lambda statistic, dof, _: chi_square_upper(statistic, dof),
+    "r": lambda statistic, dof, _: r_two_sided(statistic, dof),
+}
+
+
+def p_value(tail: str, statistic: Column, dof: Column, second_dof: Column) -> Column:
+    """The p-value of each row's statistic; missing where the statistic is NULL or NaN."""
+    probability, two = TAILS[tail], tail == "F"
+
+    @F.pandas_udf("double")
+    def pvalues(statistics: pd.Series, dofs: pd.Series, seconds: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if pd.isna(s) or pd.isna(d) or (two and pd.isna(e)) else probability(float(s), float(d), float(e))
+            for s, d, e in zip(statistics, dofs, seconds)
+        ], dtype="float64")
+
+    told = pvalues(statistic.cast("double"), dof.cast("double"), second_dof.cast("double"))
+    return F.nanvl(told, F.lit(None))
+
+
 def t_quantile(probability: float, dof: float) -> float:
     """The value below which a t variable falls with the given probability."""
     if not 0.0 < probability < 1.0:

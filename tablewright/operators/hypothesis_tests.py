@@ -12,10 +12,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.columns import col, comparable, join_null_safe, number, require, require_numeric, text
-from tablewright.functions.distributions import chi_square_upper, f_upper, t_quantile, t_two_sided
+from tablewright.functions.distributions import chi_square_upper, f_upper, r_two_sided, t_quantile, t_two_sided
 from tablewright.operators.grouping import contingency
 from tablewright.operators.quality import correlation
 
+# The names of the tests.
 TWO_GROUPS = "Two-group mean comparison"
 MANY_GROUPS = "Multi-group mean comparison"
 ASSOCIATION = "Category association"
@@ -190,7 +191,7 @@ def _relationship(df: DataFrame, x: str, _, y: str) -> tuple:
     if row["n"] < 4:
         raise ValueError(f"Only {row['n']} rows hold both {x} and {y}; four are needed.")
     r = row["statistic"]
-    return "Pearson correlation test", r, _tail(r, lambda s: _pearson_tail(s, row["n"])), r, r
+    return "Pearson correlation test", r, _tail(r, lambda s: r_two_sided(s, row["n"] - 2)), r, r
 
 
 _TESTS = {
@@ -220,8 +221,3 @@ def statistical_test(
 
 def _tail(statistic: float | None, probability) -> float:
     return math.nan if statistic is None or math.isnan(statistic) else probability(statistic)
-
-
-def _pearson_tail(r: float, n: int) -> float:
-    rest = 1 - min(1.0, r * r)
-    return 0.0 if rest == 0 else t_two_sided(r * math.sqrt((n - 2) / rest), n - 2)
