@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.functions.columns import ROW_ID, col, comparable, field_type, is_small, require
@@ -11,8 +13,13 @@ JOINED_SUFFIX = "_joined"
 # The optional side of an outer join is joined in one pass up to this estimated
 # size; beyond it a hot key there could not be split between tasks.
 ONE_PASS_BYTES = 1024**3
+# The rows of a key that has more pairs than the square of this are dealt out, on both
+# sides, in pieces of about so many rows; every two pieces meet in a task of their own.
+PIECE_ROWS = 2000
 
 _LEFT_KEY, _RIGHT_KEY = "__left_key", "__right_key"
+_HOT_KEY, _PLACE = "__hot_key", "__place"
+_PIECES, _LEFT_PIECES, _RIGHT_PIECES = "__pieces", "__left_pieces", "__right_pieces"
 
 
 def join_tables(
@@ -22,6 +29,7 @@ def join_tables(
     right_on: str,
     how: str,
     one_pass_bytes: int | None = None,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """Join on one key; missing keys match missing keys.
 
@@ -32,6 +40,10 @@ def join_tables(
     but only on the preserved side of an outer one, and on neither side of a full
     one.  An outer join with a large optional side is therefore put together from
     an inner join and the unmatched rows, found against distinct keys.
+
+    A key with many rows on both sides, such as the missing one, has few bytes but the
+    product of its rows as output, which adaptive execution leaves to one task.  Such
+    keys are counted first and joined apart, piece by piece.
     """
     if how not in JOIN_METHODS:
         raise ValueError(f"{how!r} is no way to join; choose one of {', '.join(JOIN_METHODS)}.")
@@ -58,21 +70,25 @@ def join_tables(
     matching = col(_LEFT_KEY).eqNullSafe(col(_RIGHT_KEY))
 
     limit = ONE_PASS_BYTES if one_pass_bytes is None else one_pass_bytes
+    hot = _hot_keys(left_side, right_side, PIECE_ROWS if piece_rows is None else piece_rows)
+    # Hot keys have rows on both sides: none of theirs is unmatched.
+    left_rest, right_rest = _without(left_side, _LEFT_KEY, hot), _without(right_side, _RIGHT_KEY, hot)
     if how == "inner":
-        rows = left_side.join(right_side, matching, "inner")
+        rows = left_rest.join(right_rest, matching, "inner")
     elif how == "left":
-        rows = _keep_left(left_side, right_side, matching, limit)
+        rows = _keep_left(left_rest, right_rest, matching, is_small(right_side, limit))
     elif how == "right":
         if is_small(left, limit):
-            rows = left_side.join(right_side, matching, "right")
+            rows = left_rest.join(right_rest, matching, "right")
         else:
-            rows = left_side.join(right_side, matching, "inner").unionByName(
-                _unmatched(right_side, left_side, _LEFT_KEY, matching), allowMissingColumns=True
+            rows = left_rest.join(right_rest, matching, "inner").unionByName(
+                _unmatched(right_rest, left_rest, _LEFT_KEY, matching), allowMissingColumns=True
             )
     else:
-        rows = _keep_left(left_side, right_side, matching, limit).unionByName(
-            _unmatched(right_side, left_side, _LEFT_KEY, matching), allowMissingColumns=True
+        rows = _keep_left(left_rest, right_rest, matching, is_small(right_side, limit)).unionByName(
+            _unmatched(right_rest, left_rest, _LEFT_KEY, matching), allowMissingColumns=True
         )
+    rows = rows.unionByName(_join_pieces(left_side, right_side, hot), allowMissingColumns=True)
 
     def output(name: str) -> Column:
         if shared_key and name == left_on:
@@ -82,8 +98,8 @@ def join_tables(
     return rows.select(*[output(n) for n in left.columns], *[col(n) for n in right_names])
 
 
-def _keep_left(left: DataFrame, right: DataFrame, matching: Column, limit: int) -> DataFrame:
-    if is_small(right, limit):
+def _keep_left(left: DataFrame, right: DataFrame, matching: Column, right_small: bool) -> DataFrame:
+    if right_small:
         return left.join(right, matching, "left")
     return left.join(right, matching, "inner").unionByName(
         _unmatched(left, right, _RIGHT_KEY, matching), allowMissingColumns=True
@@ -95,6 +111,54 @@ def _unmatched(kept: DataFrame, other: DataFrame, other_key: str, matching: Colu
     return kept.join(other.select(other_key).distinct(), matching, "left_anti")
 
 
+def _hot_keys(left: DataFrame, right: DataFrame, piece_rows: int) -> DataFrame:
+    """The keys with more than ``piece_rows`` squared pairs, and each side's number of pieces.
+
+    Each has that many rows of output, so there are few of them for the size of the result.
+    """
+    counted = left.select(col(_LEFT_KEY).alias(_HOT_KEY), F.lit(1).alias("left_rows"), F.lit(0).alias("right_rows")).unionAll(
+        right.select(col(_RIGHT_KEY), F.lit(0), F.lit(1)))
+    totals = counted.groupBy(_HOT_KEY).agg(F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"))
+    # As doubles, since the product may be beyond a long.
+    pairs = F.col("left_rows").cast("double") * F.col("right_rows")
+    return totals.filter(pairs > float(piece_rows) ** 2).select(
+        _HOT_KEY, *[F.ceil(F.col(f"{side}_rows") / piece_rows).alias(f"__{side}_count") for side in ("left", "right")])
+
+
+def _without(side: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    return side.join(F.broadcast(hot), col(key).eqNullSafe(col(_HOT_KEY)), "left_anti")
+
+
+def _join_pieces(left: DataFrame, right: DataFrame, hot: DataFrame) -> DataFrame:
+    """The inner join on hot keys: a row is in one piece of its side and meets every piece of the other."""
+    left = _dealt(left, _LEFT_KEY, hot, "left").withColumnRenamed(_PIECES, _LEFT_PIECES)
+    right = _dealt(right, _RIGHT_KEY, hot, "right").withColumnRenamed(_PIECES, _RIGHT_PIECES)
+    # Structs are equal where both hold a missing key.
+    return left.join(right, col(_LEFT_PIECES) == col(_RIGHT_PIECES)).drop(_LEFT_PIECES, _RIGHT_PIECES)
+
+
+def _dealt(side: DataFrame, key: str, hot: DataFrame, name: str) -> DataFrame:
+    other = {"left": "right", "right": "left"}[name]
+    hot_rows = side.join(F.broadcast(hot), col(key).eqNullSafe(col(_HOT_KEY)))
+    # Rows are numbered in an order of their own: a task that runs again deals them to
+    # the same pieces, in whatever order it reads them, and copies to different ones.
+    hashed = [col(f.name) for f in side.schema if not re.search(r"\b(map<|variant\b)", f.dataType.simpleString())]
+    numbered = hot_rows.sortWithinPartitions(F.xxhash64(*hashed)).withColumn(_PLACE, F.monotonically_increasing_id())
+    # Never null, like the other number: the two sides' pieces must be of one type.
+    numbers = {
+        name: F.coalesce(F.pmod(F.xxhash64(_PLACE), col(f"__{name}_count")), F.lit(0).cast("long")),
+        other: F.explode(F.sequence(F.lit(0).cast("long"), col(f"__{other}_count") - 1)),
+    }
+    pieces = numbered.withColumns({f"__{n}_piece": number for n, number in numbers.items()})
+    # A number of partitions that is given is kept; merged by their few bytes, pieces would
+    # end up in one task again.
+    session = side.sparkSession
+    partitions = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    return pieces.select(
+        *[col(n) for n in side.columns], F.struct(col(_HOT_KEY).alias("key"), "__left_piece", "__right_piece").alias(_PIECES)
+    ).repartition(partitions, _PIECES)
+
+
 def _check_key_types(left: T.DataType, right: T.DataType) -> None:
     def family(kind: T.DataType) -> str:
         if isinstance(kind, T.NumericType):

@@ -5,7 +5,7 @@ from comparing import rows
 from pyspark.sql import functions as F
 
 from tablewright import group_summary, join_tables, melt, pivot_table, resample
-from tablewright.operators import grouping as G
+from tablewright.operators import grouping as G, joining
 from tablewright.operators.quantiles import quantile_table
 from tablewright.operators.sampling import evidence_sample, sample_rows
 
@@ -46,6 +46,25 @@ def test_joins_agree_with_pandas(spark, how, limit):
           for r in clean.itertuples(index=False)}
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_hot_keys_are_joined_by_many_tasks(spark, monkeypatch, how, limit):
+    monkeypatch.setattr(joining, "PIECE_ROWS", 20, raising=False)
+    # Missing keys with whole copies among them, a hot key with one row opposite, zeros of both signs, single keys.
+    a = [(None, i // 100) for i in range(300)] + [(5.0, i) for i in range(900)] + [(-0.0, 1), (0.0, 2), (float("nan"), 3), (8.0, 4)]
+    b = [(None, i // 2) for i in range(300)] + [(5, 7), (0, 8), (9, 9)]
+    left = spark.createDataFrame(a, "k double, v long").withColumn("m", F.create_map(F.lit("x"), "v"))
+    result = join_tables(left, spark.createDataFrame(b, "id long, w long"), "k", "id", how, limit)
+    shown = result.select("k", "v", F.col("m")["x"], "id", "w")
+    expected = [(None if k != k else k, v, v, i, w) for k, v in a for i, w in b if k == i or (k is None or k != k) and i is None]
+    expected += [(8.0, 4, 4, None, None)] if how in ("left", "outer") else []
+    expected += [(None, None, None, 9, 9)] if how in ("right", "outer") else []
+    found = [(None if r[0] is not None and r[0] != r[0] else r[0], *r[1:]) for r in shown.collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    tasks = result.filter("id IS NULL AND k IS NULL OR isnan(k)").groupBy(F.spark_partition_id()).count()
+    assert tasks.agg(F.max("count")).first()[0] < 301 * 300 / 4
+
+
 def test_group(frame):
     assert rows(group_summary(frame, ["group"], ["cost"], "sum")) == [("A", 200.0), ("B", 290.0)]
     by_region = dict(rows(group_summary(frame, ["region"], ["revenue"], "count")))
