@@ -88,6 +88,29 @@ def _smallest(seeds: np.ndarray, copies: np.ndarray, tree: int, trees: int, coun
     return kept_rows, kept
 
 
+def _keep_smallest(batches: Iterator[pd.DataFrame], trees: int, rows_per_tree: int, width: int) -> Iterator[pd.DataFrame]:
+    """The rows with the smallest digests of each tree among a task's batches."""
+    best = [(np.empty(0), np.empty(0, dtype=np.int64), np.empty((0, width)))] * trees
+    part = 0
+    for batch in batches:
+        if batch.empty:
+            continue
+        # A cell of the batch is a view that would keep the whole batch in memory; rows of a
+        # matrix are copied when they are chosen.
+        part, points = int(batch["part"].iloc[0]), np.stack(batch["x"].to_numpy())
+        numbers, copies = batch["seed"].to_numpy(), batch["copies"].to_numpy()
+        for tree, held in enumerate(best):
+            bound = held[0].max() if len(held[0]) == rows_per_tree else np.inf
+            chosen, digests = _smallest(numbers, copies, tree, trees, rows_per_tree, bound)
+            if len(chosen):
+                merged = [np.concatenate(pair) for pair in zip(held, (digests, numbers[chosen], points[chosen]))]
+                order = np.lexsort((merged[1], merged[0]))[:rows_per_tree]
+                best[tree] = tuple(values[order] for values in merged)
+    for tree, (digests, numbers, points) in enumerate(best):
+        if len(digests):
+            yield pd.DataFrame({"tree": tree, "part": part, "digest": digests, "seed": numbers, "x": list(points)})
+
+
 def draw_rows(
     df: DataFrame, columns: list[str], trees: int = TREES, rows_per_tree: int = ROWS_PER_TREE,
     seed: int = SEED, key: list[str] | None = None,
@@ -106,24 +129,10 @@ def draw_rows(
     counted = rows.withColumn("copies", F.lit(1).cast("long")) if keys else rows.groupBy("x").agg(F.count("*").alias("copies"))
     seeded = counted.select("x", seeds.alias("seed"), "copies", F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS)).alias("part"))
 
+    width = len(columns)
+
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = [(np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=object))] * trees
-        part = 0
-        for batch in batches:
-            if batch.empty:
-                continue
-            part, points = int(batch["part"].iloc[0]), batch["x"].to_numpy()
-            numbers, copies = batch["seed"].to_numpy(), batch["copies"].to_numpy()
-            for tree, held in enumerate(best):
-                bound = held[0].max() if len(held[0]) == rows_per_tree else np.inf
-                chosen, digests = _smallest(numbers, copies, tree, trees, rows_per_tree, bound)
-                if len(chosen):
-                    merged = [np.concatenate(pair) for pair in zip(held, (digests, numbers[chosen], points[chosen]))]
-                    order = np.lexsort((merged[1], merged[0]))[:rows_per_tree]
-                    best[tree] = tuple(values[order] for values in merged)
-        for tree, (digests, numbers, points) in enumerate(best):
-            if len(digests):
-                yield pd.DataFrame({"tree": tree, "part": part, "digest": digests, "seed": numbers, "x": points})
+        return _keep_smallest(batches, trees, rows_per_tree, width)
 
     kept = seeded.mapInPandas(keep, "tree int, part int, digest double, seed long, x array<double>")
     for group in (["tree", "part"], ["tree"]):
