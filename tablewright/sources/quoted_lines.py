@@ -41,14 +41,21 @@ class Border(NamedTuple):
     header: int | None  # number of the line that begins the file's header, if it is here
 
 
+def single_quotes(line: Column) -> Column:
+    """The line without its doubled quotes."""
+    return F.replace(line, F.lit(DOUBLED), F.lit(""))
+
+
 def outside_quotes(line: Column) -> Column:
     """The line with every closed quoted cell replaced by a letter."""
-    return F.regexp_replace(F.replace(line, F.lit(DOUBLED), F.lit("")), CLOSED, "$1x")
+    rest = single_quotes(line)
+    return F.when(F.contains(rest, F.lit('"')), F.regexp_replace(rest, CLOSED, "$1x")).otherwise(rest)
 
 
 def left_open(line: Column) -> Column:
     """Whether a line that begins outside quotes ends inside."""
-    return F.contains(line, F.lit('"')) & outside_quotes(line).rlike(OPENING)
+    rest = single_quotes(line)
+    return F.contains(rest, F.lit('"')) & F.regexp_replace(rest, CLOSED, "$1x").rlike(OPENING)
 
 
 def is_left_open(line: str) -> bool:
@@ -62,7 +69,11 @@ def _numbered(lines: DataFrame, encoding: str) -> DataFrame:
     text = F.when(F.startswith(text, F.lit("\ufeff")), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
     placed = lines.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), text.alias("text"))
-    ends = left_open(F.col("text")).cast("int") + 2 * left_open(F.concat(F.lit(INSIDE), "text")).cast("int")
+    # Most lines inside a long cell have no single quote and keep either state; only the
+    # others are searched.
+    ends = F.when(
+        F.contains(single_quotes(F.col("text")), F.lit('"')),
+        left_open(F.col("text")).cast("int") + 2 * left_open(F.concat(F.lit(INSIDE), "text")).cast("int")).otherwise(2)
     return placed.select("file", "block", "text", ends.cast("tinyint").alias("ends"), (F.trim("text") == "").alias("blank"))
 
 

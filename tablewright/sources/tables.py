@@ -59,7 +59,7 @@ def read_csv(
     heads = _first_lines(lines)
     if not heads:
         raise ValueError("The table has no rows or no fields.")
-    checks = _check_lines(lines) if encoding is None else None
+    checks = _line_checks(lines).first() if encoding is None else None
     if checks is not None:
         encoding = "UTF-8" if checks["undecodable"] == 0 else "ISO-8859-1"
     spanning = checks is not None and checks["open_lines"] > 0
@@ -139,16 +139,17 @@ def _header(line: str) -> list[str]:
     return names
 
 
-def _check_lines(lines: DataFrame):
-    valid = F.is_valid_utf8("value")
-    bare = quoted_lines.outside_quotes(F.col("value"))
-    bare = F.when(F.contains("value", F.lit('"')), bare).otherwise(F.col("value"))
+def _line_checks(lines: DataFrame) -> DataFrame:
+    # The line without its closed quoted cells is made once, in a step of its own, and only
+    # for lines with quotes; inside the aggregate every use would search the line again.
+    quoted = F.when(F.contains("value", F.lit('"')), quoted_lines.outside_quotes(F.col("value")))
+    bare = F.coalesce("quoted", "value")
     cells = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    return lines.agg(
-        F.count_if(~valid).alias("undecodable"),
-        F.count_if(quoted_lines.left_open(F.col("value"))).alias("open_lines"),
+    return lines.select("value", quoted.alias("quoted")).agg(
+        F.count_if(~F.is_valid_utf8("value")).alias("undecodable"),
+        F.count_if(F.col("quoted").rlike(quoted_lines.OPENING)).alias("open_lines"),
         F.coalesce(F.max(F.when(F.length(F.trim("value")) > 0, cells)), F.lit(0)).alias("widest"),
-    ).first()
+    )
 
 
 def infer_types(df: DataFrame) -> DataFrame:

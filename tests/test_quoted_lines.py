@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright import ROW_ID, read_csv
-from tablewright.sources import quoted_lines
+from tablewright.sources import quoted_lines, tables
 
 
 def text_of(cells, end="\n"):
@@ -109,3 +109,14 @@ def test_states_of_a_line(spark):
         line = lines[row["i"]]
         assert (row["outside"], row["inside"]) == (walked(line, "C"), walked(line, "Q")), line
         assert row["outside"] == quoted_lines.is_left_open(line)
+
+
+def test_lines_are_searched_once_and_only_for_single_quotes(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,"x\n""y"", z\n"\n2,"""w"""\n')
+    lines = spark.read.text(str(tmp_path))
+    checks = tables._line_checks(lines)
+    assert checks.first().asDict() == {"undecodable": 0, "open_lines": 2, "widest": 2}
+    plan = checks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    shown = {r["text"]: r["ends"] for r in quoted_lines._numbered(lines, "UTF-8").collect()}
+    assert shown == {"a,b": 2, '1,"x': 1, '""y"", z': 2, '"': 1, '2,"""w"""': 0}
