@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,14 +60,29 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes together; a longer text stands alone."""
+    return _ranges([len(text) for text in texts], limit)
+
+
+def _ranges(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     start = held = 0
-    for at, text in enumerate(texts):
-        if held and held + len(text) > limit:
+    for at, size in enumerate(sizes):
+        if held and held + size > limit:
             yield start, at
             start, held = at, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], at: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of text in column ``at``; a longer text stands alone.
+
+    A batch holds thousands of whole texts; what is made of them stays as small as a slice.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+        for start, stop in _ranges(sizes, limit):
+            yield batch.slice(start, stop - start)
 
 
 class WordHashes(dict):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import WordHashes, as_bytes, blocks, mixed, settle
+from tablewright.llm.common import WordHashes, as_bytes, mixed, settle, sliced
 from tablewright.llm.components import components
 
 SIMILARITY_PERCENT = 80
@@ -93,18 +93,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, keys: in
     """(id, n_shingles, digest, bands) of every document; digest and bands are null for empty sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), as_bytes(batch.column(1))
-            for start, stop in blocks(texts):
-                sets = _shingles(texts[start:stop], width)
-                full = [s for s in sets if len(s)]
-                rows = iter(_bands(full, keys, values).view(np.int64).tolist() if full else [])
-                yield pa.record_batch([
-                    ids.slice(start, stop - start),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([next(rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                ], ["id", "n_shingles", "digest", "bands"])
+        for batch in sliced(batches, 1):
+            sets = _shingles(as_bytes(batch.column(1)), width)
+            full = [s for s in sets if len(s)]
+            rows = iter(_bands(full, keys, values).view(np.int64).tolist() if full else [])
+            yield pa.record_batch([
+                batch.column(0),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                pa.array([next(rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
+            ], ["id", "n_shingles", "digest", "bands"])
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([
@@ -200,19 +198,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = shared.value
-        for batch in batches:
+        for batch in sliced(batches, 1):
             at = batch.column(2).to_numpy().astype(np.uint64)
             passes = marked[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
             batch = batch.filter(pa.array(passes.astype(bool)))
-            texts = as_bytes(batch.column(1))
-            for start, stop in blocks(texts):
-                sets = _shingles(texts[start:stop], width)
-                offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                values = pa.array(np.concatenate(sets).view(np.int64))
-                yield pa.record_batch(
-                    [batch.column(0).slice(start, stop - start), pa.ListArray.from_arrays(offsets, values)],
-                    ["id", "shingles"],
-                )
+            if not batch.num_rows:
+                continue
+            sets = _shingles(as_bytes(batch.column(1)), width)
+            offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            values = pa.array(np.concatenate(sets).view(np.int64))
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, values)], ["id", "shingles"])
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = texts.withColumn("bit", bit).mapInArrow(work, "id long, shingles array<long>")

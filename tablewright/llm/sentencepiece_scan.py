@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import as_bytes, blocks, settle
+from tablewright.llm.common import as_bytes, settle, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of more characters are encoded in chunks of CHUNK_CHARS.
@@ -42,6 +42,8 @@ GIANT_CHARS = 20_000
 CHUNK_CHARS = 5_000
 #: Matrices multiplied by one task before those of a document meet.
 BLOCK_PARTS = 64
+#: Text encoded at once inside a task: ids as Python lists take some 20 times the text.
+ENCODED_BYTES = 1 << 20
 #: Pieces and pairs remembered by a worker before it starts anew.
 REMEMBERED = 300_000
 
@@ -260,6 +262,32 @@ def _to_pairs(rows: dict[int, list[int]]) -> list[int]:
     return [a * 65536 + b for a, row in rows.items() for b in row]
 
 
+def _encode(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, ids, round_trip) of batches of (id, text), a slice at a time."""
+    for batch in sliced(batches, 1, ENCODED_BYTES):
+        texts = as_bytes(batch.column(1))
+        found = pieces.model.encode([t.decode() for t in texts], num_threads=1)
+        fits = [pieces.decode(ids) == t for ids, t in zip(found, texts)]
+        yield pa.record_batch([batch.column(0), _lists(found), pa.array(fits)], ["id", "ids", "round_trip"])
+
+
+def _chunk(pieces: Pieces, row: dict) -> Chunk:
+    ends = row["part"] == 0, row["part"] == row["parts"] - 1
+    return Chunk(pieces, row["before"], row["body"], row["after"], *ends)
+
+
+def _trace(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, part, ids) of batches of chunks with both states, a slice at a time."""
+    for batch in _chunk_slices(batches):
+        found = [_chunk(pieces, r).trace(r["first"], r["last"]) for r in batch.to_pylist()]
+        yield pa.record_batch([batch.column("digest"), batch.column("part"), _lists(found)], ["digest", "part", "ids"])
+
+
+def _chunk_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from sliced(iter([batch]), batch.schema.get_field_index("body"), ENCODED_BYTES)
+
+
 def encoded(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -285,16 +313,7 @@ def encoded(
     giant = F.char_length("text") > giant_chars
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(vocabulary.value)
-        for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for start, stop in blocks(texts):
-                found = pieces.model.encode([t.decode() for t in texts[start:stop]], num_threads=1)
-                fits = [pieces.decode(ids) == t for ids, t in zip(found, texts[start:stop])]
-                yield pa.record_batch(
-                    [batch.column(0).slice(start, stop - start), _lists(found), pa.array(fits)],
-                    ["id", "ids", "round_trip"],
-                )
+        yield from _encode(_pieces(vocabulary.value), batches)
 
     schema = T.StructType([
         T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -314,7 +333,7 @@ def _giants(texts: DataFrame, vocabulary, chunk_chars: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = _pieces(vocabulary.value).longest
-        for batch in batches:
+        for batch in sliced(batches, 1, ENCODED_BYTES):
             for digest, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 y = SPACE + text.decode().replace(" ", SPACE)
                 starts = list(range(0, len(y), chunk_chars))
@@ -333,18 +352,14 @@ def _giants(texts: DataFrame, vocabulary, chunk_chars: int) -> DataFrame:
     columns = "digest string, part int, parts int, before string, body string, after string"
     parts = settle(texts.mapInArrow(cut, columns).repartition("digest", "part"), "chunks")
 
-    def chunk(pieces: Pieces, row: dict) -> Chunk:
-        ends = row["part"] == 0, row["part"] == row["parts"] - 1
-        return Chunk(pieces, row["before"], row["body"], row["after"], *ends)
-
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(vocabulary.value)
-        for batch in batches:
+        for batch in _chunk_slices(batches):
             table = batch.to_pylist()
             yield pa.record_batch([
                 batch.column("digest"), batch.column("part"),
                 pa.array([r["part"] // BLOCK_PARTS for r in table], pa.int32()),
-                _lists([_to_pairs(chunk(pieces, r).matrix()) for r in table]),
+                _lists([_to_pairs(_chunk(pieces, r).matrix()) for r in table]),
             ], ["digest", "part", "block", "pairs"])
 
     matrices = settle(parts.mapInArrow(transfers, "digest string, part int, block int, pairs array<int>"), "matrices")
@@ -373,10 +388,7 @@ def _giants(texts: DataFrame, vocabulary, chunk_chars: int) -> DataFrame:
     )
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(vocabulary.value)
-        for batch in batches:
-            found = [chunk(pieces, r).trace(r["first"], r["last"]) for r in batch.to_pylist()]
-            yield pa.record_batch([batch.column("digest"), batch.column("part"), _lists(found)], ["digest", "part", "ids"])
+        yield from _trace(_pieces(vocabulary.value), batches)
 
     traced = parts.join(states, ["digest", "part"]).mapInArrow(trace, "digest string, part int, ids array<int>")
     whole = traced.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("all"))
@@ -385,9 +397,9 @@ def _giants(texts: DataFrame, vocabulary, chunk_chars: int) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(vocabulary.value)
         for batch in batches:
-            digests = batch.column(0).to_pylist()
-            decoded = [hashlib.sha256(pieces.decode(ids)).hexdigest() for ids in batch.column(1).to_pylist()]
-            fits = pa.array([a == b for a, b in zip(digests, decoded)])
+            # The lists of one text at a time: as Python objects they take nine times their room.
+            decoded = (hashlib.sha256(pieces.decode(ids.as_py())).hexdigest() for ids in batch.column(1))
+            fits = pa.array([a == b for a, b in zip(batch.column(0).to_pylist(), decoded)], pa.bool_())
             yield pa.record_batch([batch.column(0), batch.column(1), fits], ["digest", "ids", "round_trip"])
 
     return whole.mapInArrow(check, "digest string, ids array<int>, round_trip boolean")
